@@ -1,0 +1 @@
+"""Operators for preparing large text corpora: nothing else in the library imports this subpackage."""

@@ -1,0 +1,221 @@
+"""Near-duplicate texts: SuperMinHash signatures, banding, verification on full shingle sets, union-find grouping."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .components import connected_components
+from .storage import write_table
+from .text import NONSPACE, buffer_of, hash_words, mix, slices, words_of
+
+#: Slots of a signature, a prime: a step and an offset below it then walk each slot once.
+SLOTS = 193
+BANDS, ROWS = 32, 6
+_SEED1, _SEED2 = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts in a row, and the n + 1 places where each text's set begins."""
+    starts, ends, first = words_of(data, offsets, NONSPACE)
+    h = hash_words(data, starts, ends)
+    n = len(offsets) - 1
+    counts = np.diff(first)
+    sizes = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
+    if len(h) == 0:
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    with np.errstate(over="ignore"):
+        rolled = np.zeros(len(h), dtype=np.uint64)
+        odd = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64)) for k in range(width)]
+        for k in range(width):
+            rolled[: len(h) - k] += h[k:] * odd[k]
+    out = np.empty(int(sizes.sum()), dtype=np.uint64)
+    places = np.zeros(n + 1, dtype=np.int64)
+    at = 0
+    for i in range(n):
+        c, p = int(counts[i]), int(first[i])
+        if c >= width:
+            own = mix(rolled[p : p + c - width + 1])
+            own.sort()
+            if len(own) > 1:
+                fresh = np.empty(len(own), dtype=bool)
+                fresh[0] = True
+                np.not_equal(own[1:], own[:-1], out=fresh[1:])
+                own = own[fresh]
+            out[at : at + len(own)] = own
+            at += len(own)
+        elif c:
+            value = 0x27D4EB2F165667C5 + c
+            for x in h[p : p + c].tolist():
+                value = (value * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
+            out[at] = value
+            at += 1
+        places[i + 1] = at
+    return out[:at], places
+
+
+def signatures(sets: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """SuperMinHash: (texts, SLOTS). Element e puts r_j(e) + j into the j-th slot of its own walk of all slots.
+
+    Each slot keeps its least value. All elements of all texts take step j together; a text whose slots all
+    hold values below j is finished, since step j and later ones only bring values of j and more.
+    """
+    n = len(places) - 1
+    sig = np.full(n * SLOTS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(places))
+    x = sets
+    if len(x) == 0:
+        return sig.reshape(n, SLOTS)
+    walk = mix(x ^ _SEED1)
+    place = (walk % np.uint64(SLOTS)).astype(np.int64)
+    step = ((walk >> np.uint64(20)) % np.uint64(SLOTS - 1)).astype(np.int64) + 1
+    state = mix(x ^ _SEED2)
+    for j in range(SLOTS):
+        rank = state >> np.uint64(24)
+        rank += np.uint64(j << 40)
+        np.minimum.at(sig, owner * SLOTS + place, rank)
+        if j + 1 == SLOTS:
+            break
+        open_ = (sig.reshape(n, SLOTS).max(axis=1) >> np.uint64(40)) > j
+        keep = open_[owner]
+        if not keep.any():
+            break
+        if not keep.all():
+            owner, place, step, state = owner[keep], place[keep], step[keep], state[keep]
+        place = place + step
+        place[place >= SLOTS] -= SLOTS
+        state = mix(state + np.uint64(0x9E3779B97F4A7C15))
+    return sig.reshape(n, SLOTS)
+
+
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, bands array<long>"
+
+
+def _sketch(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            sets, places = shingle_sets(*buffer_of(batch.column("text")), width)
+            n = batch.num_rows
+            sig = signatures(sets, places)
+            sizes = np.diff(places)
+            with np.errstate(over="ignore"):
+                sums = np.zeros((2, len(sets) + 1), dtype=np.uint64)
+                np.cumsum(sets, out=sums[0, 1:])
+                np.cumsum(mix(sets ^ np.uint64(0x1B873593CC9E2D51)), out=sums[1, 1:])
+                a, b = (s[places[1:]] - s[places[:-1]] for s in sums)
+                bands = np.zeros((n, BANDS), dtype=np.uint64)
+                for k in range(ROWS):
+                    bands = bands * np.uint64(0x9DDFEA08EB382D69) + sig[:, k : BANDS * ROWS : ROWS]
+                bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+                one = (mix(sig[:, :192].copy()) & np.uint64(1)).reshape(n, 3, 64)
+                bits = (one << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(sizes.astype(np.int64)),
+                    pa.array(a.view(np.int64)),
+                    pa.array(b.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 3), pa.array(bits.reshape(-1).view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64))),
+                ],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bits", "bands"],
+            )
+
+
+def _verify(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (head, salt, doc_id, text) with each head's own text first in its group: true links to the head."""
+    key, held = None, None
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            sets, places = shingle_sets(*buffer_of(batch.column("text")), width)
+            a, b = [], []
+            for i, k in enumerate(zip(batch.column("head").to_pylist(), batch.column("salt").to_pylist(), batch.column("doc_id").to_pylist())):
+                own = sets[places[i] : places[i + 1]]
+                if k[0] == k[2]:
+                    if k[:2] != key:
+                        key, held = k[:2], own.copy()
+                    continue
+                if k[:2] != key:
+                    raise ValueError(f"the text of document {k[0]} is missing")
+                at = np.searchsorted(held, own)
+                at[at == len(held)] = 0
+                common = int((held[at] == own).sum()) if len(held) else 0
+                if 100 * common >= percent * (len(held) + len(own) - common):
+                    a.append(k[2])
+                    b.append(k[0])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_salt: int, broadcast_rows: int) -> DataFrame:
+    """True links among pairs (a, head): the texts of each head and its partners meet in one sorted run.
+
+    A head with many partners is split over salts, each with its own copy of the head's text.
+    """
+    pairs = write_table(pairs, "pairs")
+    many = pairs.groupBy("head").count().where(F.col("count") > per_salt).select("head", F.ceil(F.col("count") / per_salt).cast("int").alias("salts"))
+    pairs = pairs.join(many, "head", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    pairs = pairs.select("head", F.expr("cast(pmod(xxhash64(a), salts) as int)").alias("salt"), F.col("a").alias("doc_id"))
+    heads = pairs.select("head", "salt").distinct().select("head", "salt", F.col("head").alias("doc_id"))
+    wanted = write_table(pairs.union(heads), "wanted")
+    small = wanted.count() <= broadcast_rows
+    met = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("head", "salt", "doc_id", "text")
+    run = met.repartition("head", "salt").sortWithinPartitions("head", "salt", F.col("head") != F.col("doc_id"))
+    return run.mapInArrow(partial(_verify, width, percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, per_salt: int = 5_000, broadcast_rows: int = 500_000) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string, any others).
+
+    Links: two texts whose sets of distinct width-word shingles have 100 * intersection >= percent * union.
+    Words are runs of anything but ASCII white space with A-Z as a-z; a text of fewer words is one shingle;
+    a null, empty or blank text has an empty set and is its own component. Rows with equal doc_id count as
+    one document that has the texts of all of them: each row is returned, with the component of the id.
+    Other columns, whatever their names, aren't read; an empty table gives an empty result.
+
+    Equal sets are folded first, so copies cost one row each. Banding of 32 x 6 SuperMinHash slots misses a
+    pair at the limit with a chance of (1 - 0.85 ** 6) ** 32 < 3e-7. In each bucket all are first compared with
+    its least document; then pairs that are still in different components, compatible in size and by their
+    192 one-bit slots (five standard deviations), are compared: links that can change no component are spared.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketch = write_table(docs.mapInArrow(partial(_sketch, width), SKETCH), "sketch")
+    full = sketch.where("n_shingles > 0")
+    same = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), F.first(F.struct("bits", "bands")).alias("s"))
+    same = write_table(same, "sets")
+    copies = full.join(same.where("copies > 1").select("n_shingles", "set_a", "set_b", "head"), ["n_shingles", "set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b")
+
+    rows = same.select(F.col("head").alias("id"), F.col("n_shingles").alias("n"), F.col("s.bits").alias("bits"), F.explode("s.bands").alias("band"))
+    least = rows.groupBy("band").agg(F.min(F.struct("id", "n", "bits")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    least = least.select("band", F.col("least.id").alias("h"), F.col("least.n").alias("hn"), F.col("least.bits").alias("hbits"))
+    bucketed = write_table(rows.join(least, "band"), "buckets")
+
+    def close(x: str, y: str, nx: str, ny: str) -> str:
+        bits = " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(3))
+        # one bit agrees with a chance of (1 + J) / 2
+        return f"100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny}) and {bits} <= {round(192 * ((1 - percent / 100) / 2 + 5 * ((1 - (percent / 100) ** 2) / 4 / 192) ** 0.5))}"
+
+    first = bucketed.where(f"id <> h and {close('bits', 'hbits', 'n', 'hn')}").select(F.col("id").alias("a"), F.col("h").alias("head")).distinct()
+    texts = docs
+    stars = write_table(_confirmed(first, texts, width, percent, per_salt, broadcast_rows), "links")
+    joined = connected_components(stars)
+
+    left = bucketed.select("band", "id", "n", "bits").join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    split = left.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    left = write_table(left.join(split, "band"), "open")
+    x, y = left.alias("x"), left.alias("y")
+    rest = x.join(y, F.expr(f"x.band = y.band and x.id > y.id and x.c <> y.c and {close('x.bits', 'y.bits', 'x.n', 'y.n')}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("head")).distinct()
+    rest = rest.join(first, ["a", "head"], "left_anti")
+    more = _confirmed(rest, texts, width, percent, per_salt, broadcast_rows)
+
+    whole = connected_components(stars.union(more).union(copies))
+    return (
+        sketch.select("doc_id", "n_shingles")
+        .join(whole, F.col("doc_id") == F.col("id"), "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    )
