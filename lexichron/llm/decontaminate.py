@@ -1,0 +1,284 @@
+"""Benchmark decontamination: a generalised suffix automaton of normalised test items, streamed over training words."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .text import ALNUM, LOWER, buffer_of, hash_words, mix, slices, words_of
+
+#: Bytes of item texts in one automaton; more items are matched block by block.
+BLOCK_BYTES = 16 << 20
+MATCHES = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+_BUILT: dict[str, Automaton] = {}
+
+
+class Automaton:
+    """Words that occur in items, and the states of all their substrings.
+
+    A window is window consecutive words of an item; an item of fewer words, but not none, is one window.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], window: int):
+        self.window, self.ids = window, {}
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.len = [-1], [0]
+        self.items: dict[int, set[int]] = {}
+        self.short: dict[int, set[int]] = {}
+        self._cut: dict[int, int] = {}
+        self._ends: dict[int, tuple[int, ...]] = {}
+        texts = []
+        for item, text in items:
+            raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+            s, e, _ = words_of(raw, np.array([0, len(raw)]), ALNUM)
+            if len(s):
+                own = [self.ids.setdefault(raw[a:b].tobytes().translate(LOWER), len(self.ids)) for a, b in zip(s, e)]
+                texts.append((item, own, hash_words(raw, s, e)))
+                self._add(own)
+        for item, own, _ in texts:
+            state = 0
+            for i, w in enumerate(own):
+                state = self.next[state][w]
+                if i + 1 >= window:
+                    self.items.setdefault(self.cut(state), set()).add(item)
+            if len(own) < window:
+                self.short.setdefault(state, set()).add(item)
+        self.least = min((min(len(own), window) for _, own, _ in texts), default=0)
+        grams = [h if self.least == 1 else _pairs(h) for _, _, h in texts]
+        grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        self.bits = min(26, max(16, int(64 * len(grams)).bit_length()))
+        self.known = np.zeros(1 << self.bits, dtype=bool)
+        self.known[grams >> np.uint64(64 - self.bits)] = True
+
+    def _add(self, own: list[int]) -> None:
+        last = 0
+        for w in own:
+            nxt = self.next
+            if w in nxt[last]:
+                q = nxt[last][w]
+                last = q if self.len[q] == self.len[last] + 1 else self._clone(last, w, q)
+                continue
+            new = self._state(self.len[last] + 1)
+            p = last
+            while p != -1 and w not in nxt[p]:
+                nxt[p][w] = new
+                p = self.link[p]
+            if p == -1:
+                self.link[new] = 0
+            else:
+                q = nxt[p][w]
+                self.link[new] = q if self.len[q] == self.len[p] + 1 else self._clone(p, w, q)
+            last = new
+
+    def _state(self, length: int) -> int:
+        self.next.append({})
+        self.link.append(0)
+        self.len.append(length)
+        return len(self.len) - 1
+
+    def _clone(self, p: int, w: int, q: int) -> int:
+        c = self._state(self.len[p] + 1)
+        self.next[c] = dict(self.next[q])
+        self.link[c], self.link[q] = self.link[q], c
+        while p != -1 and self.next[p].get(w) == q:
+            self.next[p][w] = c
+            p = self.link[p]
+        return c
+
+    def cut(self, state: int) -> int:
+        """The state of the last window words of a match that ends in state."""
+        if (u := self._cut.get(state)) is None:
+            u = state
+            while self.len[self.link[u]] >= self.window:
+                u = self.link[u]
+            self._cut[state] = u
+        return u
+
+    def ends(self, state: int) -> tuple[int, ...]:
+        """States of whole short items that are suffixes of what state holds."""
+        if (found := self._ends.get(state)) is None:
+            found, u = (), state
+            while u > 0:
+                if u in self.short:
+                    found += (u,)
+                u = self.link[u]
+            self._ends[state] = found
+        return found
+
+    def stream(self, words: list[bytes], at: int, spans: list[list[int]], items: set[int]) -> None:
+        """Follow the words from place at on; add merged spans of window occurrences and the items they are of."""
+        state, length, nxt = 0, 0, self.next
+        for i, word in enumerate(words, at):
+            w = self.ids.get(word, -1)
+            while state and w not in nxt[state]:
+                state = self.link[state]
+                length = self.len[state]
+            if w in nxt[state]:
+                state = nxt[state][w]
+                length += 1
+            span = 0
+            if length >= self.window:
+                span = length
+                items |= self.items[self.cut(state)]
+            if self.short and length:
+                for u in self.ends(state):
+                    if self.len[u] <= length:
+                        items |= self.short[u]
+                        span = max(span, self.len[u])
+            if span:
+                lo = i + 1 - span
+                while spans and spans[-1][1] >= lo:
+                    lo = min(lo, spans.pop()[0])
+                spans.append([lo, i + 1])
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:])
+
+
+def _match(name: str, shared, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton(shared.value, window)
+    auto = _BUILT[name]
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            data, offsets = buffer_of(batch.column("text"))
+            starts, ends, first = words_of(data, offsets, ALNUM)
+            found: dict[int, tuple[list[list[int]], set[int]]] = {}
+            if auto.least and len(starts):
+                grams = hash_words(data, starts, ends)
+                if auto.least > 1:
+                    grams = _pairs(grams)
+                known = np.zeros(len(grams) + 2, dtype=np.int8)
+                known[1:-1] = auto.known[grams >> np.uint64(64 - auto.bits)]
+                if auto.least > 1:  # pairs across texts
+                    b = first[1:-1]
+                    b = b[(b > 0) & (b <= len(grams))]
+                    known[b] = 0
+                turn = np.diff(known)
+                lo, hi = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+                need = max(1, auto.least - 1)
+                wide = hi - lo >= need
+                for p, q in zip(lo[wide].tolist(), (hi[wide] + (auto.least > 1)).tolist()):
+                    # a run of single words may go on in the next text
+                    row = int(np.searchsorted(first, p, side="right")) - 1
+                    while p < q:
+                        to = min(q, int(first[row + 1]))
+                        if to > p:
+                            raw = data[starts[p] : ends[to - 1]].tobytes().translate(LOWER)
+                            base = starts[p]
+                            words = [raw[a:b] for a, b in zip((starts[p:to] - base).tolist(), (ends[p:to] - base).tolist())]
+                            auto.stream(words, p - int(first[row]), *found.setdefault(row, ([], set())))
+                        p, row = to, row + 1
+            n = batch.num_rows
+            carried = [c for c in batch.schema.names if c not in ("n_words", "spans", "items")]
+            spans: list = [[] for _ in range(n)]
+            items: list = [[] for _ in range(n)]
+            if "spans" in batch.schema.names:
+                spans = [[[s["start"], s["end"]] for s in x] for x in batch.column("spans").to_pylist()]
+                items = batch.column("items").to_pylist()
+            for row, (s, i) in found.items():
+                spans[row] = _merged(spans[row] + s)
+                items[row] = sorted({*items[row], *i})
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in carried),
+                    pa.array(np.diff(first)),
+                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array(items, pa.list_(pa.int64())),
+                ],
+                names=[*carried, "n_words", "spans", "items"],
+            )
+
+
+def _merged(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
+    block, size = [], 0
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+        block.append((r[0], r[1]))
+        size += len(r[1] or "")
+        if size >= block_bytes:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns of carry, n_words, spans (merged word ranges that lie in occurrences of windows), items (their ids, sorted).
+
+    One row per row of docs (doc_id long, text string; others aren't read); null text has no words. Items with
+    null or blank text have no window; items with equal texts all count; rows with equal item_id are one item.
+    An empty benchmark matches nothing. Only blocks of at most block_bytes of items are held at once: documents
+    go through one automaton after another without a shuffle.
+    """
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + f", {MATCHES}"
+    empty = True
+    for block in _blocks(benchmark, block_bytes):
+        out = out.mapInArrow(partial(_match, uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block), window), schema)
+        empty = False
+    if empty:
+        out = out.mapInArrow(partial(_match, uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast([]), window), schema)
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and coverage * n_hit >= n_words)."""
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return matches(docs, benchmark, window, block_bytes).select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string")))), 256).alias("items_sha256"),
+        ((n_hit > 0) & (coverage * n_hit >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            if not spans:
+                out.append(text)
+                continue
+            raw = np.frombuffer(text.encode(), np.uint8)
+            s, e, _ = words_of(raw, np.array([0, len(raw)]), ALNUM)
+            keep, at = [], 0
+            for x in spans:
+                keep.append(raw[at : s[x["start"]]].tobytes())
+                at = int(e[x["end"] - 1])
+            out.append(b"".join([*keep, raw[at:].tobytes()]).decode())
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without test items: documents over the coverage limit go, in others the matching spans are cut out.
+
+    Returns the columns of documents (doc_id, text, lang, source, n_chars); n_chars is counted anew where
+    text was cut; documents without a match, null and empty texts among them, stay as they are.
+    """
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    found = matches(docs, benchmark, window, block_bytes, ("lang", "source", "n_chars"))
+    found = found.where((n_hit == 0) | (coverage * n_hit < F.col("n_words")))
+    out = found.mapInArrow(_remove, found.schema)
+    cut = F.size("spans") > 0
+    return out.select("doc_id", "text", "lang", "source", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))

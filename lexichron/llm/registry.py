@@ -6,20 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .minhash import near_duplicates
 
 
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1_SQL = f"""
+with item as (select item_id, {_WORDS.format("coalesce(text, '')")} as w from benchmark),
+win as (
+  select item_id, unnest([w[i:i + 12] for i in range(1, greatest(len(w) - 13, 0) + 2)]) as g from item where len(w) >= 1
+),
+sizes as (select distinct len(g) as k from win),
+doc as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+gram as (
+  select doc_id, k, unnest(range(1, len(w) - k + 2)) as p, unnest([w[i:i + k - 1] for i in range(1, len(w) - k + 2)]) as g
+  from doc, sizes where len(w) >= k
+),
+hit as (select doc_id, p, k, item_id from gram join win using (g)),
+pos as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from (select distinct doc_id, p, k from hit)) group by 1),
+found as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by 1
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from doc left join pos using (doc_id) left join found using (doc_id)
+"""
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_decontamination, op8_minhash_near_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": OP1_SQL}
