@@ -1,0 +1,155 @@
+"""Quality by nearest-neighbour voting among labelled latent-semantic vectors."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .text import NONSPACE, buffer_of, hash_words, slices, words_of
+from .training import fit, labelled, remainder
+
+#: Buckets of byte trigrams and of trigrams of character kinds; measures of form; kept dimensions; voting neighbours.
+RAW, KIND, FORM, LATENT, VOTERS = 1024, 1024, 6, 64, 15
+
+_KIND = np.arange(256, dtype=np.uint32)
+_KIND[0x61:0x7B] = _KIND[0x80:] = 0x61
+_KIND[0x41:0x5B] = 0x41
+_KIND[0x30:0x3A] = 0x30
+_UPPER = np.zeros(256, bool)
+_UPPER[0x41:0x5B] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+_OTHER = ~_LETTER
+_OTHER[[0x20, 0x0A, 0x2C, 0x2E]] = False
+
+
+def _trigrams(codes: np.ndarray, bits: int) -> np.ndarray:
+    h = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return h >> np.uint32(32 - bits)
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows of damped trigram counts, each group scaled to length 1, and of measures of form, for whole texts."""
+    n = len(offsets) - 1
+    out = np.zeros((n, RAW + KIND + FORM), dtype=np.float32)
+    if len(data) >= 3:
+        owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+        same = owner[:-2] == owner[2:]
+        for codes, width, at in ((data.astype(np.uint32), RAW, 0), (_KIND[data], KIND, RAW)):
+            slot = owner[:-2] * width + _trigrams(codes, width.bit_length() - 1)
+            counts = np.bincount(slot[same], minlength=n * width).reshape(n, width)
+            group = np.log1p(counts, dtype=np.float32)
+            out[:, at : at + width] = group / np.maximum(np.sqrt((group * group).sum(axis=1, keepdims=True)), 1e-9)
+    size = np.maximum(np.diff(offsets), 1)
+
+    def per_text(mask: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(mask)])
+        return sums[offsets[1:]] - sums[offsets[:-1]]
+
+    starts, ends, first = words_of(data, offsets, NONSPACE)
+    h = hash_words(data, starts, ends)
+    words = np.maximum(np.diff(first), 1)
+    again = np.zeros(len(h) + 1, dtype=np.int64)
+    if len(h) > 1:
+        equal = h[1:] == h[:-1]
+        cut = first[1:-1]
+        equal[cut[(cut > 0) & (cut < len(h))] - 1] = False
+        again[2:] = np.cumsum(equal)
+    form = np.stack(
+        [
+            (again[first[1:]] - again[np.minimum(first[:-1] + 1, first[1:])]) / words,
+            per_text(_UPPER[data]) / np.maximum(per_text(_LETTER[data]), 1),
+            per_text(_OTHER[data]) / size,
+            per_text(data == 0x0A) / words,
+            per_text(data == 0x2E) / words,
+            size / words / 20,
+        ],
+        axis=1,
+    )
+    out[:, RAW + KIND :] = np.clip(form, 0, 2)
+    return out
+
+
+class Neighbours:
+    """Unit vectors of labelled documents in the latent space, with their labels."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.y = y.astype(np.float32)
+        self.mean = x.mean(axis=0) if len(x) else np.zeros(RAW + KIND + FORM, np.float32)
+        z = x - self.mean
+        if len(x):
+            rng = np.random.default_rng(3)
+            basis = z.T @ (z @ rng.standard_normal((z.shape[1], LATENT + 16)).astype(np.float32))
+            for _ in range(2):
+                basis = z.T @ (z @ np.linalg.qr(basis)[0])
+            q = np.linalg.qr(basis)[0]
+            _, _, vt = np.linalg.svd(z @ q, full_matrices=False)
+            self.axes = (q @ vt.T)[:, :LATENT].astype(np.float32)
+        else:
+            self.axes = np.zeros((len(self.mean), 1), np.float32)
+        self.points = self.project(x)
+
+    def project(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.mean) @ self.axes
+        return z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-9)
+
+    def vote(self, x: np.ndarray, block: int = 1024) -> np.ndarray:
+        """Share of label 1 among the nearest by cosine, weighted by similarity; 1 without labelled documents."""
+        if not len(self.y):
+            return np.ones(len(x))
+        out, k = np.empty(len(x)), min(VOTERS, len(self.y))
+        for at in range(0, len(x), block):
+            cos = self.project(x[at : at + block]) @ self.points.T
+            near = np.argpartition(cos, -k, axis=1)[:, -k:]
+            w = np.maximum(np.take_along_axis(cos, near, axis=1).astype(np.float64), 1e-6) ** 4
+            out[at : at + block] = (w * self.y[near]).sum(axis=1) / w.sum(axis=1)
+        return np.clip(out, 0, 1)
+
+
+def train(batches: Iterator[pa.RecordBatch]) -> Neighbours:
+    x, y = [], []
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            x.append(features(*buffer_of(batch.column("text"))))
+            y.append(batch.column("label").to_numpy(zero_copy_only=False))
+    return Neighbours(np.concatenate(x) if x else np.zeros((0, RAW + KIND + FORM), np.float32), np.concatenate(y) if y else np.zeros(0))
+
+
+def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text", 4 << 20):
+            score = pa.array(model.value.vote(features(*buffer_of(batch.column("text")))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
+
+
+def scored(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
+    """docs (doc_id, text and any columns but score) with score: how likely each whole text is of quality 1.
+
+    Learns from at most per_class documents of either label (columns doc_id and quality of labels, repeated
+    rows once) whose crc32(doc_id) mod 3 isn't 1: their latent vectors, at most 2 * per_class * 256 bytes, are
+    broadcast. Null and empty texts have zero counts and are voted on like others. Without labels every score
+    is 1, so that nothing is rejected for want of evidence.
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = fit(labelled(plain, labels, "quality", remainder(3) != 1, {0: per_class, 1: per_class}), train, F.col("doc_id"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
+    return docs.mapInArrow(partial(_score, docs.sparkSession.sparkContext.broadcast(model)), schema)
+
+
+def quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
+    """doc_id, held_out (crc32(doc_id) mod 3 is 1), score, predicted (1 if score >= 0.5) for every row of docs; see scored."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scored(own, labels, per_class).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
+    """The documents, with their columns doc_id, text, lang, source and n_chars, whose score is at least 0.5."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang", "source", "n_chars")
+    return scored(own, labels, per_class).where("score >= 0.5").drop("score")

@@ -1,0 +1,171 @@
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared on every window."""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import zstandard as zstd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .training import fit, labelled, logistic, remainder
+
+WORD = re.compile(r"[^\W\d_]+")
+#: Words in a window, letters by which words are told apart at their start, bins of length differences.
+WINDOW, LETTERS, LEAST, MOST = 12, (4, 13), -3, 16
+#: Stands at both ends of a window: it matches the end of both dictionaries, so that no window is stored as it is.
+ENDS = bytes([4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24])
+
+
+class Onsets(dict):
+    """Words written for the compressor: a blank, then two bytes of a running checksum for each byte of UTF-8.
+
+    The same letters give the same bytes only after the same beginning, so a match is a common start of words.
+    """
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+
+    def __missing__(self, word: str) -> bytes:
+        out, at = [b" "], 0
+        for c in word.encode()[:14]:
+            at = zlib.crc32(bytes((c,)), at)
+            out.append(at.to_bytes(4, "little")[:2])
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = code = b"".join(out)
+        return code
+
+
+class Scales:
+    """The two compressors, the weight of each length difference, and the calibration of their sum."""
+
+    def __init__(self, toxic: list[str], ordinary: list[str]):
+        write = Onsets()
+        plain = b"".join(map(write.__getitem__, ordinary)) + ENDS
+        self.plain, self.toxic = plain, b"".join(map(write.__getitem__, toxic)) + plain
+        self.weights = np.zeros(MOST - LEAST + 1)
+        self.slope, self.shift = 0.0, -10.0
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _open(self) -> None:
+        def compressor(content: bytes) -> zstd.ZstdCompressor:
+            how = zstd.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=5, target_length=32, strategy=zstd.STRATEGY_GREEDY, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+            book = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            book.precompute_compress(compression_params=how)
+            return zstd.ZstdCompressor(dict_data=book, compression_params=how)
+
+        self._write, self._a, self._b = Onsets(), compressor(self.plain).compress, compressor(self.toxic).compress
+
+    def bins(self, text: str) -> np.ndarray:
+        """How often each difference of compressed length, ordinary less toxic, occurs among the windows of a whole text."""
+        if not hasattr(self, "_write"):
+            self._open()
+        codes = list(map(self._write.__getitem__, WORD.findall(text.lower())))
+        a, b, found = self._a, self._b, Counter()
+        for i in range(0, len(codes), WINDOW):
+            window = ENDS + b"".join(codes[i : i + WINDOW]) + ENDS
+            found[len(a(window)) - len(b(window))] += 1
+        out = np.zeros(MOST - LEAST + 1)
+        for d, n in found.items():
+            out[min(max(d, LEAST), MOST) - LEAST] += n
+        return out
+
+    def score(self, text: str) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * float(self.bins(text) @ self.weights) + self.shift))))
+
+
+def _starts(counts: dict[int, Counter], docs: Counter, words: dict[int, int]) -> list[str]:
+    """Word starts far more frequent in toxic documents, the likeliest first, none the start of another."""
+    share = words[1] / max(1, words[1] + words[0])
+    gain = {}
+    for s, p in counts[1].items():
+        n = counts[0][s]
+        if docs[s] >= 5 and p / words[1] > 8 * (n + 0.5) / max(1, words[0]):
+            r = p / (p + n)
+            g = 2 * (p * math.log(r / share) + (n * math.log((1 - r) / (1 - share)) if n else 0))
+            if g >= 30:
+                gain[s] = g
+    kept: list[str] = []
+    for s in sorted(gain, key=lambda s: (-gain[s], -len(s), s)):
+        if not any(k.startswith(s) or s.startswith(k) for k in kept):
+            kept.append(s)
+    return kept[:500]
+
+
+def train(batches: Iterator[pa.RecordBatch]) -> Scales:
+    """Rows half, label, text with half 0 first: dictionaries from half 0, weights and calibration from half 1."""
+    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    docs, words, common = Counter(), {0: 0, 1: 0}, Counter()
+    scales, held = None, []
+    for batch in batches:
+        for half, label, text in zip(*(batch.column(c).to_pylist() for c in ("half", "label", "text"))):
+            if half == 0:
+                found = WORD.findall((text or "").lower())
+                words[label] += len(found)
+                own = Counter(w[:k] for w in found for k in range(LETTERS[0], min(LETTERS[1], len(w) + 1)))
+                for s, n in own.items():
+                    counts[label][s] += min(n, 3)
+                if label:
+                    docs.update(own.keys())
+                else:
+                    common.update(set(found))
+            else:
+                scales = scales or _dictionaries(counts, docs, words, common)
+                held.append((label, scales.bins(text or "")))
+    scales = scales or _dictionaries(counts, docs, words, common)
+    y = np.array([h[0] for h in held], dtype=float)
+    if len(set(y)) == 2:
+        bins = np.array([h[1] for h in held])
+        hot, cold = bins[y == 1].sum(axis=0) + 0.5, bins[y == 0].sum(axis=0) + 0.5
+        scales.weights = np.log(hot / hot.sum()) - np.log(cold / cold.sum())
+        # differences that favour neither dictionary don't speak for toxicity
+        scales.weights[: 1 - LEAST] = np.minimum(scales.weights[: 1 - LEAST], 0)
+        scales.slope, scales.shift = logistic(bins @ scales.weights, y)
+    elif len(y):
+        scales.shift = 10.0 if y[0] else -10.0
+    return scales
+
+
+def _dictionaries(counts: dict[int, Counter], docs: Counter, words: dict[int, int], common: Counter) -> Scales:
+    toxic = _starts(counts, docs, words)
+    heads = {s[: LETTERS[0]] for s in toxic}
+    near = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if w[: LETTERS[0]] in heads and not w.startswith(tuple(toxic))][:1000]
+    often = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:1500]]
+    return Scales(toxic, near + often[::-1])
+
+
+def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    scales = model.value
+    for batch in batches:
+        texts = batch.column("text")
+        score = [scales.score(texts[i].as_py() or "") for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, toxic_docs: int = 2000, ordinary_docs: int = 4000) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs (doc_id long, text string; others aren't read).
+
+    Learns from at most toxic_docs and ordinary_docs documents with label 1 and 0 (columns doc_id and toxic of
+    labels, repeated rows once) whose crc32(doc_id) mod 5 isn't 0. One half of them gives the dictionaries: ordinary
+    words for both, and for the toxic one word starts that toxic documents hold far more often. The other half
+    gives the weight of each difference in compressed window length, and the calibration of a text's sum, so
+    that 0.5 is the decision limit. Every window of the whole text counts. Null, empty and wordless texts have
+    no window and get the score of a sum of 0. Without labels of both classes all scores are near 0 (or 1, where
+    only label 1 occurs).
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = labelled(docs, labels, "toxic", remainder(5) != 0, {1: toxic_docs, 0: ordinary_docs})
+    half = (F.xxhash64("doc_id", F.lit(9)) % 2 == 0).cast("int")
+    model = fit(sample.select("doc_id", half.alias("half"), "label", "text"), train, F.col("half"), F.col("doc_id"))
+    scored = docs.mapInArrow(partial(_score, docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,0 +1,55 @@
+"""Bounded samples of labelled documents, and models fitted on them by one task."""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def remainder(divisor: int) -> Column:
+    """crc32(doc_id as text) mod divisor."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: dict[int, int]) -> DataFrame:
+    """doc_id, text, label of at most per_class documents a class, those of the least hash; labels that aren't 0 or 1 don't count."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(learn & F.col("doc_id").isNotNull())
+    chosen = None
+    for label, most in per_class.items():
+        own = known.where(F.col("label") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        chosen = own if chosen is None else chosen.union(own)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def fit(sample: DataFrame, train: Callable[[Iterator[pa.RecordBatch]], Any], *order: Column) -> Any:
+    """What train makes of the batches of sample, in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(batches))], pa.binary())], names=["model"])
+
+    one = sample.repartition(1).sortWithinPartitions(*order) if order else sample.repartition(1)
+    return pickle.loads(one.mapInArrow(run, "model binary").first()[0])
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of y on x by Newton steps with a little shrinkage."""
+    a, b = 0.0, 0.0
+    scale = max(1e-9, float(np.abs(x).max())) if len(x) else 1.0
+    design = np.stack([x / scale, np.ones(len(x))], axis=1)
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        g = design.T @ (p - y) + 1e-3 * w
+        h = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    a, b = w[0] / scale, w[1]
+    return float(a), float(b)
