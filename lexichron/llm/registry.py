@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .licenses import licenses
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality
+from .secrets import secrets
 from .toxicity import toxicity
 
 
@@ -56,6 +58,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(_read(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -64,8 +70,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op4_quality_classifier, op8_minhash_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op4_quality_classifier, op7_secret_scans, op8_minhash_near_dedup, op9_toxicity, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
