@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .embeddings import near_duplicates as near_vectors
 from .licenses import licenses
 from .minhash import near_duplicates
 from .packing import pack
@@ -54,6 +55,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -75,7 +80,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op4_quality_classifier, op7_secret_scans, op8_minhash_near_dedup, op9_toxicity, op10_license_scans)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_embedding_near_dedup, op4_quality_classifier, op7_secret_scans, op8_minhash_near_dedup, op9_toxicity, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
