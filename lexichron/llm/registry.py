@@ -14,6 +14,7 @@ from .packing import pack
 from .quality import quality
 from .secrets import secrets
 from .toxicity import toxicity
+from .warc import round_trip
 
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -41,6 +42,16 @@ from doc left join pos using (doc_id) left join found using (doc_id)
 """
 
 
+OP5_SQL = """
+with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select d, n, min(page_id) as first from p where n >= 100 group by d, n)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
+  case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to
+from p left join f using (d, n)
+"""
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -63,6 +74,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, _read(spark, sf_dir, "pages"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_read(spark, sf_dir, "documents"))
 
@@ -80,8 +95,8 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_embedding_near_dedup, op4_quality_classifier, op7_secret_scans, op8_minhash_near_dedup, op9_toxicity, op10_license_scans)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_embedding_near_dedup, op4_quality_classifier, op5_warc, op7_secret_scans, op8_minhash_near_dedup, op9_toxicity, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op5_warc": OP5_SQL}
