@@ -1,0 +1,269 @@
+"""Main text of web pages: structure where it tells, and else differencing of pages against their nearest URL on the same host."""
+
+from __future__ import annotations
+
+import html as entities
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .storage import write_table
+from .text import slices
+
+#: A comment, a declaration, or a tag with its attributes; an unfinished one at the end of a page is none of its text.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Elements whose content is no markup; what ends each.
+_RAW = {t: re.compile(rf"</{t}\s*>|</{t}\s[^>]*>|\Z", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "xmp", "noembed", "noframes", "select", "math", "object", "canvas", "audio", "video")}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements within a block.
+_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_DROP = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset"}
+_MAIN = {"article", "main"}
+_BAD = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|subscribe|newsletter|signup|login|"
+    r"share|sharing|social|related|recommend\w*|trending|popular|widget\w*|comments?|commentlist|discussion|disqus|replies|respond|pagination|pager|tags?|toolbar|skip|hidden|copyright|legal|disclaimer)(?=$|[\s_-])",
+    re.I,
+)
+#: Names with which even an article isn't the page's own.
+_SIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|related|teaser\w*|comment|reply)(?=$|[\s_-])", re.I)
+_GOOD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body)(?:[\s_-]?(?:body|content|text|main))?(?:$|[\s_-])", re.I)
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
+_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+
+MAIN, OPEN = 1, 0
+
+
+def _kind(tag: str, attributes: str) -> int | None:
+    """Whether an element is dropped (-1), holds the article (1) or tells nothing (None)."""
+    if tag in _DROP:
+        return -1
+    good = tag in _MAIN
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+            return -1
+        if name == "role":
+            if value.lower() in _ROLES:
+                return -1
+            good |= value.lower() in ("main", "article")
+        if name in ("class", "id"):
+            if tag not in ("html", "body") and (_SIDE if tag in _MAIN else _BAD).search(value):
+                return -1
+            good |= bool(tag not in _INLINE and _GOOD.search(value))
+        if name == "itemprop" and value.lower() == "articlebody":
+            good = True
+    return 1 if good and tag not in ("html", "body") else None
+
+
+def blocks(page: str) -> list[tuple[int, str]]:
+    """(MAIN or OPEN, text) of each block outside dropped elements, in page order; MAIN within an article.
+
+    Only the outermost article, or one that stands beside others, counts; a closing tag closes what was opened
+    after its element; the end of the page closes all.
+    """
+    out: list[tuple[int, str]] = []
+    text: list[str] = []
+    stack: list[tuple[str, int | None]] = []
+    dropped = main = 0
+    at = 0
+
+    def flush() -> None:
+        if text:
+            line = " ".join(entities.unescape("".join(text)).split())
+            text.clear()
+            if line:
+                out.append((MAIN if main else OPEN, line))
+
+    def close(n: int) -> None:
+        nonlocal dropped, main
+        while len(stack) > n:
+            tag, kind = stack.pop()
+            if tag not in _INLINE:
+                flush()
+            if kind == -1:
+                text.clear()
+                dropped -= 1
+            elif kind == 1:
+                flush()
+                main -= 1
+
+    n = len(page)
+    while at < n:
+        m = _TAG.search(page, at)
+        if m is None:
+            if not dropped:
+                text.append(page[at:])
+            break
+        if m.start() > at and not dropped:
+            text.append(page[at : m.start()])
+        at = m.end()
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == tag:
+                    close(i)
+                    break
+            else:
+                if tag == "p" and not dropped:
+                    flush()
+            continue
+        if tag == "br":
+            text.append(" ")
+            continue
+        if tag in _RAW:
+            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
+                at = _RAW[tag].search(page, at).end()
+            continue
+        if tag not in _INLINE and not dropped:
+            flush()
+        if tag in _VOID:
+            continue
+        if tag in _CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+            same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
+            stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody"), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ())
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in same:
+                    close(i)
+                    break
+                if stack[i][0] in stop or (not stop and stack[i][0] not in _INLINE):
+                    break
+        kind = _kind(tag, m[3])
+        if kind == -1:
+            if tag not in _INLINE:
+                flush()
+            elif text and not dropped:
+                # an inline element is dropped without the text before it
+                held = "".join(text)
+                text.clear()
+                close_inline = _end_of(page, at, tag)
+                text.append(held)
+                at = close_inline
+                continue
+            dropped += 1
+        elif kind == 1:
+            main += 1
+        stack.append((tag, kind))
+    close(0)
+    if not dropped:
+        flush()
+    return out
+
+
+def _end_of(page: str, at: int, tag: str) -> int:
+    """The place behind the end of an element that begins at at, nested ones of its name counted."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return len(page)
+
+
+def common(a: list[str], b: list[str]) -> set[int]:
+    """Places of a that lie on a longest common subsequence of a and b: equal ends first, then by rows of lengths."""
+    out, lo = set(), 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        out.add(lo)
+        lo += 1
+    x, y = len(a), len(b)
+    while x > lo and y > lo and a[x - 1] == b[y - 1]:
+        x, y = x - 1, y - 1
+        out.add(x)
+    a, b = a[lo:x], b[lo:y]
+    shared = set(a) & set(b)
+    ia, ib = [i for i, s in enumerate(a) if s in shared], [s for s in b if s in shared]
+    table = [[0] * (len(ib) + 1)]
+    for i in ia:
+        row, prev = [0], table[-1]
+        for j, s in enumerate(ib):
+            row.append(prev[j] + 1 if a[i] == s else max(prev[j + 1], row[j]))
+        table.append(row)
+    i, j = len(ia), len(ib)
+    while i and j:
+        if a[ia[i - 1]] == ib[j - 1]:
+            out.add(lo + ia[i - 1])
+            i, j = i - 1, j - 1
+        elif table[i - 1][j] >= table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+PARSED = "page_id long, url string, text string, lines array<string>"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "html"):
+            texts, lines = [], []
+            for page in batch.column("html"):
+                found = blocks(page.as_py() or "")
+                main = [t for k, t in found if k == MAIN]
+                if main or not found:
+                    texts.append("\n".join(main))
+                    lines.append(None)
+                else:
+                    texts.append(None)
+                    lines.append([t for _, t in found])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))], names=["page_id", "url", "text", "lines"])
+
+
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for own, other in zip(batch.column("lines").to_pylist(), batch.column("other").to_pylist()):
+            gone = common(own, other) if other else set()
+            # pages that are the same tell nothing
+            texts.append("\n".join(own if len(gone) == len(own) else [s for i, s in enumerate(own) if i not in gone]))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def _nearest(pages: DataFrame) -> DataFrame:
+    """Each page with other: the lines of whichever page before or after it, by path on its host, shares the longer start of the path.
+
+    Pages get consecutive numbers over range partitions, so a host of any size is spread, and neighbours meet
+    by joins on those numbers.
+    """
+    url = F.coalesce("url", F.lit(""))
+    keyed = pages.withColumn("host", F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))).withColumn("path", F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^#]*)", 1))
+    run = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    run = write_table(run.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "lines")
+    sizes = run.groupBy("part").agg(F.max("at").alias("most"))
+    before = sizes.select("part", F.coalesce(F.sum(F.col("most") + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    run = run.join(F.broadcast(before), "part").withColumn("n", F.col("base") + F.col("at")).drop("part", "at", "base", "most")
+    side = run.select(F.col("n").alias("m"), F.col("host").alias("h"), F.col("path").alias("p"), F.col("lines").alias("l"))
+    out = run
+    for step, name in ((-1, "prev"), (1, "next")):
+        s = side.select((F.col("m") - step).alias("n"), F.struct("h", "p", "l").alias(name))
+        out = out.join(s, "n", "left").withColumn(name, F.when(F.col(f"{name}.h") == F.col("host"), F.col(name)))
+
+    def start(name: str):
+        return F.expr(f"case when {name} is null then -1 else aggregate(sequence(1, least(length(path), length({name}.p)) + 1), 0, (a, i) -> if(a = i - 1 and i <= length(path) and substring(path, 1, i) = substring({name}.p, 1, i), i, a)) end")
+
+    return out.select("page_id", "url", "lines", F.when(start("next") > start("prev"), F.col("next.l")).otherwise(F.coalesce(F.col("prev.l"), F.col("next.l"))).alias("other"))
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars for every row of pages (page_id long, url string, html string; others aren't read).
+
+    Dropped: script, style and other elements without prose, head, navigation, headers, footers, asides, forms,
+    hidden elements, and those whose class, id or role names an advert, notice, menu, sidebar, comments and the
+    like. What stands within article, main or an element so named is the text. A page without any such element is
+    aligned with the page of its host that is nearest by URL path, line by line, and lines on the longest common
+    subsequence are deleted; without another page on the host all its lines stay. Shared lines within an article
+    are kept: they are text there. Null and empty html give an empty text. Rows with equal page_id are separate.
+    """
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    parsed = write_table(own.mapInArrow(_parse, PARSED), "parsed")
+    done = parsed.where("text is not null").select("page_id", "url", "text")
+    left = parsed.where("text is null").select("page_id", "url", "lines")
+    if not left.isEmpty():
+        done = done.union(_nearest(left).mapInArrow(_difference, "page_id long, url string, text string"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .embeddings import near_duplicates as near_vectors
+from .html import main_text
 from .licenses import licenses
 from .minhash import near_duplicates
 from .packing import pack
@@ -78,6 +79,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, _read(spark, sf_dir, "pages"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_read(spark, sf_dir, "documents"))
 
@@ -95,7 +100,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_embedding_near_dedup, op4_quality_classifier, op5_warc, op7_secret_scans, op8_minhash_near_dedup, op9_toxicity, op10_license_scans)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_embedding_near_dedup, op4_quality_classifier, op5_warc, op6_html_extraction, op7_secret_scans, op8_minhash_near_dedup, op9_toxicity, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
