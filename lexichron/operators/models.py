@@ -1,0 +1,122 @@
+"""Training, evaluating and choosing embedding models."""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.vectors import cosine, dot, normalized
+from ..schemas import VECTORS
+
+
+def grid(spark: SparkSession, years: list[int], **parameters: list) -> DataFrame:
+    """All combinations of years and parameters."""
+    out = spark.createDataFrame([(y,) for y in years], "year int")
+    for name, values in parameters.items():
+        out = out.crossJoin(F.broadcast(spark.createDataFrame([(v,) for v in values], [name])))
+    return out
+
+
+def untrained(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    return tasks.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def skip_gram(corpus: DataFrame, year: int, vector_size: int = 100, window: int = 5, min_count: int = 5, epochs: int = 1, seed: int = 0, partitions: int = 1, model_id: str | None = None) -> DataFrame:
+    """Vectors of one year's corpus (year, tokens, weight) by distributed skip-gram with hierarchical softmax."""
+    from pyspark.ml.feature import Word2Vec
+
+    own = corpus.where(F.col("year") == year).select(F.explode(F.array_repeat("tokens", F.col("weight").cast("int"))).alias("tokens"))
+    model = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="v").fit(own)
+    from pyspark.ml.functions import vector_to_array
+
+    counts = own.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    v = model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector")).join(counts, "word")
+    return v.select(F.lit(model_id or f"w2v_y{year}").alias("model_id"), F.lit(year).alias("year"), "word", "vector", "count").to(VECTORS)
+
+
+def cbow(corpus: DataFrame, vector_size: int = 50, window: int = 5, min_count: int = 2, epochs: int = 5, negatives: int = 5, rate: float = 0.05, seed: int = 0, vocabulary: int = 200_000) -> DataFrame:
+    """Vectors of every year by continuous bag of words with negative sampling: one task a year, batches in numpy.
+
+    A year's corpus goes to its task in Arrow batches; the task holds the vocabulary's two matrices (at most
+    vocabulary words) and the sentences as word numbers. For corpora beyond one task, use skip_gram.
+    """
+
+    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sentences, counts, year = [], {}, None
+        for f in frames:
+            year = int(f["year"].iloc[0])
+            for t, w in zip(f["tokens"], f["weight"]):
+                sentences += [list(t)] * int(w)
+        for s in sentences:
+            for t in s:
+                counts[t] = counts.get(t, 0) + 1
+        words = sorted((t for t, c in counts.items() if c >= min_count), key=lambda t: (-counts[t], t))[:vocabulary]
+        at = {t: i for i, t in enumerate(words)}
+        coded = [c for c in (np.array([at[t] for t in s if t in at]) for s in sentences) if len(c) > 1]
+        rng = np.random.default_rng([seed, zlib.crc32(str(year).encode())])
+        u = (rng.random((len(words), vector_size)) - 0.5) / vector_size
+        v = np.zeros((len(words), vector_size))
+        noise = np.array([counts[t] for t in words], float) ** 0.75
+        noise = np.cumsum(noise / noise.sum()) if len(words) else noise
+        for e in range(epochs):
+            step = rate * (1 - e / epochs)
+            for k in rng.permutation(len(coded)):
+                s = coded[k]
+                n = len(s)
+                near = np.abs(np.arange(n)[:, None] - np.arange(n)[None]) <= rng.integers(1, window + 1, n)[:, None]
+                np.fill_diagonal(near, False)
+                mix = near / np.maximum(near.sum(axis=1, keepdims=True), 1)
+                h = mix @ u[s]
+                others = np.minimum(np.searchsorted(noise, rng.random((n, negatives))), len(words) - 1)
+                target = np.concatenate([s[:, None], others], axis=1)
+                want = np.zeros(target.shape)
+                want[:, 0] = 1
+                p = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", h, v[target]), -30, 30)))
+                g = step * (want - p)
+                back = mix.T @ np.einsum("nk,nkd->nd", g, v[target])
+                np.add.at(v, target, g[:, :, None] * h[:, None, :])
+                np.add.at(u, s, back)
+        yield pd.DataFrame({"model_id": [f"cbow_y{year}"] * len(words), "year": np.full(len(words), year or 0, np.int32), "word": words, "vector": list(u.astype(np.float32)), "count": np.array([counts[t] for t in words], dtype=np.int64)})
+
+    return corpus.select("year", "tokens", "weight").groupBy("year").applyInPandas(train, VECTORS)
+
+
+def similarity_scores(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """model_id, similarity_score (Spearman, ties averaged), pairs found, for word pairs (word1, word2, score)."""
+    v = vectors.select("model_id", "word", "vector")
+    p = F.broadcast(pairs)
+    a = v.select("model_id", F.col("word").alias("word1"), F.col("vector").alias("va")).join(p, "word1")
+    c = a.join(v.select("model_id", F.col("word").alias("word2"), F.col("vector").alias("vb")), ["model_id", "word2"]).select("model_id", "score", cosine(F.col("va"), F.col("vb")).alias("cos"))
+
+    def tied(x: str):
+        return F.rank().over(Window.partitionBy("model_id").orderBy(x)) + (F.count("*").over(Window.partitionBy("model_id", x)) - 1) / 2
+
+    r = c.select("model_id", tied("score").alias("a"), tied("cos").alias("b"))
+    return r.groupBy("model_id").agg(F.corr("a", "b").alias("similarity_score"), F.count("*").alias("pairs"))
+
+
+def analogy_scores(vectors: DataFrame, analogies: DataFrame) -> DataFrame:
+    """model_id, analogy_score, questions: how often the word nearest to b - a + c (the three apart) is d, of questions a model knows in full."""
+    unit = vectors.select("model_id", "word", normalized(F.col("vector")).alias("v"))
+    q = F.broadcast(analogies.select("a", "b", "c", "d").withColumn("q", F.monotonically_increasing_id()))
+    x = unit.select("model_id", F.col("word").alias("a"), F.col("v").alias("va")).join(q, "a")
+    for k in "bcd":
+        x = x.join(unit.select("model_id", F.col("word").alias(k), F.col("v").alias(f"v{k}")), ["model_id", k])
+    x = x.select("model_id", "q", "a", "b", "c", "d", F.zip_with(F.zip_with("vb", "va", lambda s, t: s - t), "vc", lambda s, t: s + t).alias("goal"))
+    # questions are a fixed test set: every word meets each of them, and one best word a question is kept by partial aggregation
+    best = unit.join(F.broadcast(x), "model_id").where("word <> a and word <> b and word <> c").select("model_id", "q", "d", F.struct(dot(F.col("v"), F.col("goal")).alias("s"), F.col("word")).alias("hit"))
+    best = best.groupBy("model_id", "q", "d").agg(F.max("hit").alias("hit"))
+    return best.groupBy("model_id").agg(F.avg((F.col("hit.word") == F.col("d")).cast("double")).alias("analogy_score"), F.count("*").alias("questions"))
+
+
+def evaluate(vectors: DataFrame, pairs: DataFrame, analogies: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """Both scores of each model that done (model) doesn't list."""
+    if done is not None:
+        vectors = vectors.join(done.select(F.col("model").alias("model_id")).distinct(), "model_id", "left_anti")
+    s = similarity_scores(vectors, pairs).drop("pairs").join(analogy_scores(vectors, analogies).drop("questions"), "model_id", "full")
+    return vectors.select("model_id", "year").distinct().join(s, "model_id", "left").withColumnRenamed("model_id", "model")
