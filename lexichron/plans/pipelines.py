@@ -1,0 +1,182 @@
+"""Whole pipelines: acquire, filter, rank, pivot, prepare."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions import tokens as K
+from ..operators import counts as C
+from ..sources import files
+from ..sources.tables import data_rows
+
+#: Words a list may have to stand in the plan as literals; longer ones are joined.
+LITERALS = 1000
+
+
+@dataclass(frozen=True)
+class FilterConfig:
+    lower: str | None = "ascii"
+    alpha_only: bool = True
+    ascii_alpha_only: bool = True
+    filter_short: bool = True
+    min_len: int = 3
+    stop_words: frozenset[str] = frozenset()
+    lemmas: dict[str, str] = field(default_factory=dict)
+    whitelist: frozenset[str] | None = None
+    always_include: frozenset[str] = frozenset()
+    min_context_tokens: int = 2
+    bin_size: int = 1
+    #: whether the unknown mark counts as a valid token of a sentence when a whitelist is applied
+    unk_is_valid: bool = False
+
+
+def ngram_token(t: Column, cfg: FilterConfig) -> Column:
+    """One n-gram token: tag off, lower case, lemma, then whitelist or the checks; unknown where it fails."""
+    w = K.lemma(K.lowered(K.word_part(t), cfg.lower), cfg.lemmas)
+    return F.when(_accepted(w, cfg), w).otherwise(K.UNK)
+
+
+def _accepted(w: Column, cfg: FilterConfig) -> Column:
+    if cfg.whitelist is not None:
+        return K.member(w, cfg.whitelist | cfg.always_include)
+    ok = F.lit(True)
+    if cfg.alpha_only:
+        ok &= K.is_alpha(w, cfg.ascii_alpha_only)
+    if cfg.filter_short:
+        ok &= ~K.is_short(w, cfg.min_len)
+    if cfg.stop_words:
+        ok &= ~K.member(w, cfg.stop_words)
+    return ok
+
+
+def sentence_token(t: Column, cfg: FilterConfig) -> Column:
+    """One sentence token: lower case, whitelist, checks unless always included, lemma last."""
+    w = K.lowered(t, cfg.lower)
+    kept = K.member(w, cfg.always_include)
+    listed = F.lit(True) if cfg.whitelist is None else K.member(w, cfg.whitelist) | kept
+    checks = F.lit(True)
+    if cfg.alpha_only:
+        checks &= K.is_alpha(w, cfg.ascii_alpha_only)
+    if cfg.filter_short:
+        checks &= ~K.is_short(w, cfg.min_len)
+    if cfg.stop_words:
+        checks &= ~K.member(w, cfg.stop_words)
+    return F.when(listed & kept, w).when(listed & checks, K.lemma(w, cfg.lemmas)).otherwise(K.UNK)
+
+
+def _mapped(df: DataFrame, key: str, tokens: Column, rest: list[str], convert: Callable[[Column], Column], listed: DataFrame | None) -> DataFrame:
+    """key, rest, out: tokens converted. Without a long list, in place; with one, each distinct token is converted and looked up once."""
+    if listed is None:
+        return df.select(*rest, F.transform(tokens, convert).alias("out"))
+    at = df.select(*rest, F.xxhash64(key).alias("_id"), key, F.posexplode(tokens).alias("_i", "_t"))
+    table = at.select("_t").distinct().withColumn("_o", convert(F.col("_t")))
+    table = table.join(listed.select(F.col("token").alias("_o")).distinct().withColumn("_k", F.lit(True)), "_o", "left").select("_t", F.when(F.col("_k"), F.col("_o")).otherwise(K.UNK).alias("_o"))
+    by = list(dict.fromkeys([key, *rest]))
+    joined = at.join(table, "_t").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_o"))).alias("_l"))
+    return joined.select(*rest, F.transform("_l", lambda s: s["_o"]).alias("out"))
+
+
+def filter_ngrams(counts: DataFrame, cfg: FilterConfig, whitelist: DataFrame | None = None) -> DataFrame:
+    """Counts by year and n-gram after every token passed the filter; n-grams with too few known tokens go, equal ones add up.
+
+    A whitelist longer than LITERALS is given as a table (token) instead of in cfg; always_include then counts too.
+    """
+    if whitelist is None:
+        out = _mapped(counts, "ngram", K.split_words(F.col("ngram")), ["year", "occurrences", "documents"], lambda t: ngram_token(t, cfg), None)
+    else:
+        words = whitelist.select("token")
+        if cfg.always_include:
+            words = words.union(whitelist.sparkSession.createDataFrame([(w,) for w in sorted(cfg.always_include)], "token string"))
+        # distinct n-grams are converted once, whatever the number of their years
+        ngrams = counts.select("ngram").distinct()
+        plain = _mapped(ngrams, "ngram", K.split_words(F.col("ngram")), ["ngram"], lambda t: K.lemma(K.lowered(K.word_part(t), cfg.lower), cfg.lemmas), words)
+        out = counts.join(plain, "ngram")
+    out = out.where((K.known_tokens(F.col("out")) >= cfg.min_context_tokens) & (F.size("out") > 0))
+    return out.groupBy(S.year_bin(F.col("year"), cfg.bin_size).alias("year"), F.array_join("out", " ").alias("ngram")).agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
+
+
+def filter_sentences(sentences: DataFrame, cfg: FilterConfig) -> DataFrame:
+    """Counts by genre, year and sentence after the filter; sentences with fewer than two known tokens go."""
+    out = sentences.select("genre", "year", "occurrences", "documents", F.transform(K.split_words(F.col("sentence")), lambda t: sentence_token(t, cfg)).alias("out"))
+    valid = F.size("out") if cfg.unk_is_valid and cfg.whitelist is not None else K.known_tokens(F.col("out"))
+    out = out.where(valid >= 2)
+    return out.groupBy("genre", "year", F.array_join("out", " ").alias("sentence")).agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
+
+
+def ingest_ngrams(lines: DataFrame, kind: str = "all", pairs: Iterable[str] = ()) -> DataFrame:
+    """Counts by year and n-gram of raw lines (value); n-grams that become equal when pairs are joined add up."""
+    pairs = list(pairs)
+    join = (lambda c: F.array_join(K.join_pairs(F.split(c, " "), pairs), " ")) if pairs else None
+    rows = lines.select(K.parse_line(F.col("value"), join).alias("r")).where("r is not null").select("r.ngram", "r.freqs")
+    rows = data_rows(rows.where(K.ngram_kind(F.col("ngram"), kind)), "ngram")
+    return C.pivot_years(rows).groupBy("year", "ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
+
+
+def read_ngrams(spark: SparkSession, paths: str | list[str], kind: str = "all", pairs: Iterable[str] = ()) -> DataFrame:
+    return ingest_ngrams(files.gzip_lines(spark, paths), kind, pairs)
+
+
+def ingest_sentences(docs: DataFrame, pairs: Iterable[str] = (), min_tokens: int = 2, genres: list[str] | None = None, bin_size: int = 1) -> DataFrame:
+    """genre, year, sentence, occurrences, documents (how many texts hold it) of texts (doc_id, text, year, genre)."""
+    genre = F.coalesce("genre", F.lit("unknown"))
+    d = docs.select("doc_id", genre.alias("genre"), S.year_bin(F.col("year"), bin_size).alias("year"), "text")
+    if genres is not None:
+        d = d.where(F.col("genre").isin(genres))
+    s = d.select("doc_id", "genre", "year", F.explode(K.sentences(F.col("text"))).alias("s"))
+    t = K.sentence_tokens(F.col("s"))
+    if pairs:
+        t = K.join_pairs(t, pairs, tagged=False, ignore_case=True)
+    s = s.select("doc_id", "genre", "year", t.alias("t")).where(F.size("t") >= max(2, min_tokens)).select("doc_id", "genre", "year", F.array_join("t", " ").alias("sentence"))
+    # by document first: what repeats within one counts once as a document
+    one = s.groupBy("doc_id", "genre", "year", "sentence").agg(F.count("*").alias("n"))
+    return one.groupBy("genre", "year", "sentence").agg(F.sum("n").cast("long").alias("occurrences"), F.count("*").alias("documents"))
+
+
+def ngram_whitelist(counts: DataFrame, top_n: int | None = None, min_count: int = 1, years: tuple[int, int] | None = None, bin_size: int = 1, dictionary: DataFrame | None = None) -> DataFrame:
+    """token, total: the most frequent n-grams that occur in every year of a range."""
+    own = data_rows(counts, "ngram")
+    if years:
+        own = own.join(C.covers_all(own, *years, bin_size), "ngram", "left_semi")
+    t = C.totals(own).withColumnRenamed("ngram", "token").where(F.col("total") >= min_count)
+    t = C.spell_checked(t, dictionary)
+    return C.ranked(t) if top_n is None else C.top(t, top_n)
+
+
+def sentence_whitelist(sentences: DataFrame, top_n: int | None = None, min_count: int = 1, years: tuple[int, int] | None = None, always: Iterable[str] = (), dictionary: DataFrame | None = None) -> DataFrame:
+    """token, total of words that occur in every year that the corpus has of a range; always-included words are added with their total or 0."""
+    tokens = sentences.select("year", F.explode(K.split_words(F.col("sentence"))).alias("token"), "occurrences").where(F.col("token") != K.UNK)
+    yearly = tokens.groupBy("year", "token").agg(F.sum("occurrences").alias("occurrences"))
+    t = C.totals(yearly, "token", *(years or ()))
+    every = t
+    if years:
+        t = t.join(C.covers_corpus(yearly, *years, "token"), "token", "left_semi")
+    t = C.spell_checked(t.where(F.col("total") >= min_count), dictionary)
+    forced = sentences.sparkSession.createDataFrame([(w,) for w in sorted(set(always))], "token string")
+    best = t if top_n is None else C.top(t, top_n)
+    missing = forced.join(best, "token", "left_anti").join(every, "token", "left").select("token", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+    return C.ranked(best.select("token", "total").unionByName(missing))
+
+
+def filter_corpus(sentences: DataFrame, cfg: FilterConfig, top_n: int, years: tuple[int, int] | None = None) -> DataFrame:
+    """Filter, rank the words that remain, and filter again by that list (at most LITERALS words, else an error)."""
+    if top_n > LITERALS:
+        raise ValueError(f"a list of more than {LITERALS} words is joined: use filter_sentences and sentence_whitelist")
+    first = filter_sentences(sentences, cfg)
+    words = frozenset(r[0] for r in sentence_whitelist(first, top_n, 1, years, cfg.always_include).select("token").collect())
+    return filter_sentences(first, FilterConfig(lower=None, alpha_only=False, filter_short=False, whitelist=words, always_include=cfg.always_include, unk_is_valid=cfg.unk_is_valid))
+
+
+def training_corpus(counts: DataFrame, unk: str = "reject", by: str = "freq", base: float | None = 5, text: str = "ngram") -> DataFrame:
+    """year, tokens, weight of the n-grams or sentences that the treatment of unknown tokens leaves."""
+    t = S.unk_mode(K.split_words(F.col(text)), unk)
+    return counts.select("year", t.alias("tokens"), S.weight(by, F.col("occurrences"), F.col("documents"), base).cast("int").alias("weight")).where("tokens is not null")
+
+
+def resume(write: str) -> str:
+    """Spark's write mode for restart (all anew), resume (add what is missing, see unprocessed) and reprocess (all anew from the same input)."""
+    return {"restart": "overwrite", "new": "overwrite", "reprocess": "overwrite", "resume": "append"}[write]
