@@ -1,0 +1,1144 @@
+"""All queries by name, each with the SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .functions import tokens as K
+from .functions import vectors as V
+from .operators import counts as C
+from .operators import drift as D
+from .operators import models as M
+from .operators import regression as R
+from .operators import series as T
+from .operators import vectors as E
+from .plans import adapters as A
+from .plans import pipelines as P
+from .sources import files as FI
+from .sources import metadata as ME
+from .sources import sinks as SK
+from .sources import tables as TB
+from .streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+NG = "ng as (select cast(year(l_shipdate) as int) as year, p_name || ' ' || p_type as ngram, cast(sum(l_quantity) as bigint) as occurrences, count(distinct l_orderkey) as documents from lineitem join part on l_partkey = p_partkey group by 1, 2)"
+BR = "br as (select cast(year(l_shipdate) as int) as year, upper(p_name[1]) || substr(split_part(p_name, ' ', 1), 2) || '_ADJ ' || split_part(p_name, ' ', 2) || '_NOUN ' || p_brand as ngram, cast(sum(l_quantity) as bigint) as occurrences, count(*) as documents from lineitem join part on l_partkey = p_partkey group by 1, 2)"
+DOC = "doc as (select doc_id, text, cast(1900 + doc_id % 100 as int) as year, nullif(lang, 'en') as genre from documents)"
+SENT = DOC + r""", raw as (select doc_id, coalesce(genre, 'unknown') as genre, year, unnest(regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+')) as s from doc),
+tok as (select doc_id, genre, year, list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '' and not regexp_full_match(x, '[.!?,;:"''@-]+')) as t from raw),
+st as (select genre, year, array_to_string(t, ' ') as sentence, count(*) as occurrences, count(distinct doc_id) as documents from tok where len(t) >= 2 group by 1, 2, 3)"""
+MO = "m as (select cast(2000 + vec_id % 10 as int) as year, 'w' || (vec_id // 10) as word, cast(embedding as double[]) as v, 1 + vec_id * 7919 % 1000 as cnt from embeddings)"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+UNIT = "u as (select year, word, cnt, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from m)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str | None = None):
+    c = F.col(c) if isinstance(c, str) and name is None else c
+    out = F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+    return out.alias(name) if name else out
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in cols})
+
+
+def words(lo: int, hi: int) -> list[str]:
+    return [f"w{i}" for i in range(lo, hi)]
+
+
+def inlist(lo: int, hi: int) -> str:
+    return "(" + ", ".join(f"'w{i}'" for i in range(lo, hi)) + ")"
+
+
+_FILTER = P.FilterConfig(min_len=4, stop_words=frozenset({"promo"}), min_context_tokens=2)
+
+
+# the flagship: filter, bin, cover, rank
+
+
+@query(
+    f"""with {NG}, f as (
+      select year, list_transform(list_filter(string_split(ngram, ' '), lambda x: x <> ''), lambda x: {LOWER.format('x')}) as t, occurrences, documents from ng),
+    k as (select year, list_transform(t, lambda x: case when regexp_full_match(x, '[A-Za-z]+') and octet_length(encode(x)) >= 4 and x <> 'promo' then x else '<UNK>' end) as t, occurrences from f),
+    b as (select year - year % 2 as year, array_to_string(t, ' ') as token, sum(occurrences) as n from k where len(list_filter(t, lambda x: x <> '<UNK>')) >= 2 group by 1, 2)
+    select token, cast(sum(n) as bigint) as total from b where year between 1996 and 2001 group by 1 having count(distinct year) = 3 order by total desc, token limit 20"""
+)
+def flagship_whitelist(spark, d):
+    binned = P.filter_ngrams(A.ngram_counts(spark, d), P.FilterConfig(min_len=4, stop_words=frozenset({"promo"}), bin_size=2)).where("year between 1996 and 2001")
+    return P.ngram_whitelist(binned, 20, years=(1996, 2001), bin_size=2)
+
+
+# scans and sources
+
+
+@query(f"with {NG} select ngram, year, occurrences, documents from ng")
+def s1_s2_k1_store_round_trip(spark, d):
+    path = tempfile.mkdtemp(prefix="lexichron-") + "/long"
+    TB.write_long(A.ngram_counts(spark, d), path)
+    return TB.read_long(spark, path).select("ngram", "year", "occurrences", "documents")
+
+
+@query(f"with {NG} select ngram, year, occurrences from ng where ngram >= 'hot' and ngram < 'new rod'")
+def s3_range_scan(spark, d):
+    return TB.range_scan(A.ngram_counts(spark, d), "ngram", "hot", "new rod").select("ngram", "year", "occurrences")
+
+
+@query(f"with {NG} select ngram, year, occurrences from ng where starts_with(ngram, 'red')")
+def s4_prefix_scan(spark, d):
+    return TB.prefix_scan(A.ngram_counts(spark, d), "ngram", "red").select("ngram", "year", "occurrences")
+
+
+@query(f"with {NG} select occurrences, documents from ng where year = 1998 and ngram = 'red bolt PROMO'")
+def s5_point_get(spark, d):
+    return TB.ngram_stats(A.ngram_counts(spark, d), 1998, "red bolt PROMO")
+
+
+@query(f"with {NG} select ngram, occurrences, documents from ng where year = 1997 and contains(ngram, 'ring')")
+def s6_year_scan(spark, d):
+    return TB.year_scan(A.ngram_counts(spark, d), 1997, F.col("ngram").contains("ring"))
+
+
+@query(f"with {NG} select year, ngram, occurrences, documents from ng where year between 1996 and 1998")
+def s7_year_range_scan(spark, d):
+    return TB.year_range_scan(A.ngram_counts(spark, d), 1996, 1998)
+
+
+@query(f"with {NG} select ngram, occurrences from ng where year = 1999")
+def s8_metadata_skipping_scan(spark, d):
+    marks = spark.createDataFrame([("__processed__/a.gz", 0)], "ngram string, occurrences long")
+    return TB.data_rows(A.ngram_counts(spark, d).where("year = 1999").select("ngram", "occurrences").union(marks), "ngram")
+
+
+@query()
+def s9_locations(spark, d):
+    rows = [(n, r, *(lambda x: (x[0], x[1].pattern))(FI.location("file:///mirror", n, r, "eng"))) for n in (1, 5) for r in sorted(FI.RELEASES)]
+    return spark.createDataFrame(rows, "n int, release string, folder string, pattern string")
+
+
+@query()
+def s10_file_listing(spark, d):
+    return FI.listing(spark, d, "*.parquet").select("file")
+
+
+@query(f"with {NG} select year, ngram, occurrences, documents from ng")
+def s12_k11_gzip_lines(spark, d):
+    path = tempfile.mkdtemp(prefix="lexichron-") + "/lines"
+    _lines(spark, d).write.option("compression", "gzip").text(path)
+    return P.read_ngrams(spark, path)
+
+
+_NAMES = "files as (select 'part-' || lpad(cast(n_nationkey as varchar), 3, '0') || '.gz' as file from nation)"
+
+
+def _files(spark, d):
+    return A.table(spark, d, "nation").select(F.concat(F.lit("part-"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.lit(".gz")).alias("file"))
+
+
+@query(f"with {_NAMES} select file from files order by file limit 6 offset 5")
+def s13_file_subset(spark, d):
+    return TB.file_subset(_files(spark, d), 5, 10)
+
+
+@query(f"with {_NAMES} select file from files where file not in ('part-001.gz', 'part-004.gz')")
+def s14_resume_skip(spark, d):
+    return TB.unprocessed(_files(spark, d), spark.createDataFrame([("part-001.gz",), ("part-004.gz",), ("other.gz",)], "file string"))
+
+
+@query()
+def s15_shuffled_files(spark, d):
+    return TB.shuffled_files(_files(spark, d), 7)
+
+
+@query(f"with {_NAMES} select distinct file from files")
+def s16_processed_marks(spark, d):
+    base = tempfile.mkdtemp(prefix="lexichron-")
+    f = _files(spark, d)
+    for _ in range(2):
+        SK.append_batch(f, base + "/data", f, base + "/marks")
+    return spark.read.parquet(base + "/marks").distinct()
+
+
+@query(r"select doc_id, regexp_replace(text, '^[ \t\n\r\f]*(?:@@|##)[^\n]*\n?', '') as content from documents where doc_id < 40")
+def s17_s18_zip_reader(spark, d):
+    import os
+    import zipfile
+
+    folder = tempfile.mkdtemp(prefix="lexichron-")
+    rows = A.table(spark, d, "documents").where("doc_id < 40").select("doc_id", "text").collect()
+    for part in range(2):
+        with zipfile.ZipFile(os.path.join(folder, f"text_19{part}0s_x.zip"), "w") as z:
+            for r in rows:
+                if r[0] % 2 == part:
+                    z.writestr(f"fic_1900_{r[0]}.txt", f"@@{r[0]}\n{r[1]}")
+    return FI.zip_documents(spark, folder).select(F.col("text_id").alias("doc_id"), "content")
+
+
+_MEMBER = "lower(lang) || '_' || (1900 + doc_id % 100) || '_' || doc_id || '.txt'"
+
+
+def _meta(spark, d):
+    return A.table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("text_id"), (1800 + F.col("doc_id") % 50).cast("int").alias("year"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("genre"))
+
+
+@query(
+    "select doc_id, cast(case when doc_id % 3 = 0 then 1800 + doc_id % 50 else 1900 + doc_id % 100 end as int) as year, case when doc_id % 6 = 0 then source else lang end as genre from documents"
+)
+def s19_j1_described_documents(spark, d):
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), F.expr(_MEMBER).alias("member"))
+    return FI.described(docs, _meta(spark, d)).select(F.col("text_id").alias("doc_id"), "year", "genre")
+
+
+@query("select n_nationkey, cast(1800 + 10 * n_nationkey as int) as year from nation")
+def s20_archive_year(spark, d):
+    name = F.format_string("dir/text_%ds_abc.zip", 1800 + 10 * F.col("n_nationkey"))
+    return A.table(spark, d, "nation").select("n_nationkey", FI.archive_year(name).alias("year"))
+
+
+@query("select doc_id, case when doc_id % 4 > 0 then lang end as genre, case when doc_id % 4 > 0 then cast(1900 + doc_id % 100 as int) end as year from documents")
+def s21_s22_document_name(spark, d):
+    n = F.when(F.col("doc_id") % 4 > 0, F.expr(_MEMBER)).otherwise("README.txt")
+    return A.table(spark, d, "documents").select("doc_id", FI.doc_genre(n).alias("genre"), FI.doc_year(n).alias("year"))
+
+
+@query("select doc_id, case doc_id % 3 when 0 then doc_id when 1 then doc_id + 7 end as id from documents")
+def s23_id_marker(spark, d):
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" @@"), "doc_id", F.lit("\nx"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("##"), F.col("doc_id") + 7, F.lit(" y"))).otherwise(F.col("text"))
+    return A.table(spark, d, "documents").select("doc_id", FI.text_id(t).alias("id"))
+
+
+@query()
+def s24_s25_s26_metadata_layouts(spark, d):
+    heads = [("movies", "textID\tfileID\t#words\tgenre", ""), ("glowbe", "textID\twords\tcountry genre", ""), ("coca", "4000001\t1990\tFIC", "")]
+    rows = [(n, ME.dialect(h, s), ",".join(ME.candidates("COCA"))) for n, h, s in heads]
+    return spark.createDataFrame(rows, "layout string, found string, candidates string")
+
+
+@query("select doc_id + 5 as text_id, cast(1900 + doc_id % 100 as int) as year, lang as genre, cast(n_chars as bigint) as words from documents")
+def s27_metadata_movies(spark, d):
+    line = F.format_string("%d\t%d\t%d\t%s\t%d", "doc_id", F.col("doc_id") + 5, "n_chars", F.upper("lang"), 1900 + F.col("doc_id") % 100)
+    return ME.parse_movies(A.table(spark, d, "documents").select(line.alias("value"))).select("text_id", "year", "genre", "words")
+
+
+@query("select doc_id as text_id, cast(1900 + doc_id % 100 as int) as year, lang as genre from documents")
+def s28_metadata_coca(spark, d):
+    line = F.format_string("%d\t%d\t%s", "doc_id", 1900 + F.col("doc_id") % 100, F.upper("lang"))
+    return ME.parse_coca(A.table(spark, d, "documents").select(line.alias("value"))).select("text_id", "year", "genre")
+
+
+@query("select doc_id as text_id, cast(2012 as int) as year, 'GB ' || source as genre, cast(n_chars as bigint) as words from documents where doc_id >= 2")
+def s29_metadata_glowbe(spark, d):
+    line = F.format_string("%d\t%d\tGB %s", "doc_id", "n_chars", "source")
+    return ME.parse_glowbe(A.table(spark, d, "documents").select(F.col("doc_id").alias("n"), line.alias("value"))).select("text_id", "year", "genre", "words")
+
+
+@query("select doc_id as text_id, cast(case when doc_id % 3 = 0 then 1800 + doc_id % 50 end as int) as year, case when doc_id % 6 = 0 then source end as genre from documents")
+def s30_metadata_lookup(spark, d):
+    return ME.lookup(A.table(spark, d, "documents").select(F.col("doc_id").alias("text_id")), _meta(spark, d))
+
+
+@query(f"with {NG} select year, count(*) as unique_ngrams, cast(sum(occurrences) as bigint) as total_freq, cast(sum(case when documents > 2 then documents else 0 end) as bigint) as total_docs from ng group by year")
+def s31_k14_a11_t12_corpus_stats(spark, d):
+    base = tempfile.mkdtemp(prefix="lexichron-")
+    n = A.ngram_counts(spark, d).select("year", F.col("occurrences").alias("freq"), F.when(F.col("documents") > 2, F.col("documents")).alias("doc"))
+    for y in [r[0] for r in n.select("year").distinct().collect()]:
+        _single_json(n.where(F.col("year") == y).select("freq", "doc"), base, y)
+    return SK.write_stats(FI.corpus_stats(spark, base + "/*.jsonl"), base + "/stats.csv", True)
+
+
+def _single_json(df, base, year):
+    import glob
+    import shutil
+
+    df.coalesce(1).write.json(f"{base}/_{year}")
+    shutil.move(glob.glob(f"{base}/_{year}/part-*.json")[0], f"{base}/{year}.jsonl")
+
+
+_WL = f"with {NG}, w as (select ngram as token, cast(sum(occurrences) as bigint) as total from ng group by 1)"
+
+
+@query(_WL + " select token, total from (select * from w order by total desc, token limit 50) where total >= 1500")
+def s32_k10_whitelist_file(spark, d):
+    path = tempfile.mkdtemp(prefix="lexichron-") + "/whitelist"
+    SK.write_whitelist(P.ngram_whitelist(A.ngram_counts(spark, d)), path)
+    return FI.read_whitelist(spark, path, 50, 1500)
+
+
+@query("select distinct split_part(p_name, ' ', 1) as word from part where p_partkey % 5 > 1")
+def s33_vocabulary_lines(spark, d):
+    k = F.col("p_partkey") % 5
+    line = F.when(k == 0, F.concat(F.lit("# "), "p_name")).when(k == 1, "  ").when(k == 2, F.concat(F.element_at(F.split("p_name", " "), 1), F.lit("\t1"))).otherwise(F.col("p_name"))
+    return FI.parse_vocabulary(A.table(spark, d, "part").select(line.alias("value")))
+
+
+@query(f"with {MO} select word, cast(round(v[1], 6) as double) as first from m where year = 2003")
+def s34_one_model(spark, d):
+    return FI.one_model(A.models(spark, d), "w2v_y2003").select("word", r6(F.element_at("vector", 1), "first"))
+
+
+@query("select cast(y as int) as year, y <= 2009 and y % 2 = 0 as found from range(2000, 2016, 3) t(y)")
+def s35_yearly_models(spark, d):
+    return FI.yearly_models(spark, A.models(spark, d).where("year % 2 = 0"), 2000, 2015, 3)
+
+
+@query("select n_nationkey, cast(1900 + n_nationkey as int) as year from nation")
+def s36_model_year(spark, d):
+    n = F.when(F.col("n_nationkey") % 2 == 0, F.format_string("w2v_y%d_wbnone.kv", 1900 + F.col("n_nationkey"))).otherwise(F.format_string("model_%d.kv", 1900 + F.col("n_nationkey")))
+    return A.table(spark, d, "nation").select("n_nationkey", FI.model_year(n).alias("year"))
+
+
+@query("select n_nationkey, cast(1900 + n_nationkey as int) as year, 'none' as weight_by, 300 as vector_size, 4 as \"window\", 10 as min_count, cast(n_nationkey % 2 as int) as sg, cast(n_nationkey as int) as epochs from nation")
+def s37_model_parameters(spark, d):
+    n = F.format_string("w2v_y%d_wbnone_vs300_w004_mc010_sg%d_e%03d.kv", 1900 + F.col("n_nationkey"), F.col("n_nationkey") % 2, "n_nationkey")
+    return A.table(spark, d, "nation").select("n_nationkey", S.model_parameters(n).alias("p")).select("n_nationkey", "p.*")
+
+
+# sinks
+
+
+@query(f"with {NG} select year, ngram, cast(occurrences * 2 as bigint) as occurrences, cast(documents * 2 as bigint) as documents from ng")
+def k2_a1_upsert_sum(spark, d):
+    n = A.ngram_counts(spark, d)
+    return TB.upsert_sum(n, n.select("year", "ngram", "occurrences", "documents"))
+
+
+@query(f"with {SENT} select genre, year, sentence, cast(occurrences as bigint) as occurrences, documents from st")
+def k3_k4_a9_p18_p19_p20_sentences(spark, d):
+    return P.ingest_sentences(A.documents(spark, d))
+
+
+@query(f"with {NG} select year, ngram, occurrences from ng")
+def k5_k6_k7_k8_sorted_partitions(spark, d):
+    base = tempfile.mkdtemp(prefix="lexichron-")
+    TB.write_long(A.ngram_counts(spark, d), base + "/a")
+    SK.compact(TB.read_long(spark, base + "/a"), base + "/b", 2)
+    return spark.read.parquet(base + "/b").select("year", "ngram", "occurrences")
+
+
+@query(f"with {NG} select ngram as value, cast(count(*) as bigint) as n from (select ngram, unnest(range(greatest(1, cast(floor(ln(occurrences + 1) / ln(5) + 1e-12) as int)))) from ng) group by 1")
+def k11_p26_corpus_lines(spark, d):
+    c = P.training_corpus(A.ngram_counts(spark, d), "retain", "freq", 5)
+    return SK.corpus_lines(c).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query(f"with {MO} select year, word, cnt as count from m")
+def k12_save_vectors(spark, d):
+    path = tempfile.mkdtemp(prefix="lexichron-") + "/v"
+    SK.write_vectors(A.models(spark, d), path)
+    return spark.read.parquet(path).select("year", "word", "count")
+
+
+@query("select n_name, cast(count(*) * 2 as bigint) as n from nation group by 1")
+def k13_results_append(spark, d):
+    path = tempfile.mkdtemp(prefix="lexichron-") + "/r"
+    n = A.table(spark, d, "nation").select("n_name")
+    SK.write_results(n, path, False)
+    SK.write_results(n, path)
+    return spark.read.option("header", True).schema("n_name string").csv(path).groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+@query(f"with {MO} select year, count(*) as words from m where year in (2001, 2004) group by 1")
+def k15_selected_models(spark, d):
+    return SK.selected_models(A.models(spark, d), year={2001, 2004}).groupBy("year").agg(F.count("*").alias("words"))
+
+
+# predicates and functions
+
+
+@query(f"with {BR} select distinct ngram, regexp_matches(ngram, '^[^ ]+_(ADJ|NOUN) [^ ]+_(ADJ|NOUN)$') as tagged, false as untagged, true as filled from br")
+def p1_ngram_kind(spark, d):
+    n = A.brand_counts(spark, d).select("ngram").distinct()
+    c = F.col("ngram")
+    return n.select("ngram", K.ngram_kind(c, "tagged").alias("tagged"), K.ngram_kind(c, "untagged").alias("untagged"), K.ngram_kind(c, "all").alias("filled"))
+
+
+def _lines(spark, d, source=A.ngram_counts):
+    w = C.widen(source(spark, d))
+    parts = F.transform("freqs", lambda f: F.concat_ws(",", f["year"].cast("string"), f["occurrences"].cast("string"), f["documents"].cast("string")))
+    return w.select(F.concat_ws("\t", F.array("ngram"), parts).alias("value"))
+
+
+@query(f"with {NG} select year, ngram, occurrences, documents from ng")
+def p2_c1_parse_lines(spark, d):
+    good = _lines(spark, d)
+    bad = spark.createDataFrame([("",), ("hello",), ("x\tbad\t2001,1",), ("  \t2001,1,1",)], "value string")
+    broken = good.select(F.concat("value", F.lit("\tbad\t1,2\t1,2,x")).alias("value"))
+    return P.ingest_ngrams(broken.union(bad))
+
+
+@query(f"with {BR} select ngram, cast(sum(occurrences) as bigint) as occurrences from (select case when starts_with(ngram, 'Red_ADJ bolt_NOUN') then replace(ngram, 'Red_ADJ bolt_NOUN', 'Red-bolt_ADJ') else ngram end as ngram, occurrences from br) group by 1")
+def p3_join_pairs_ngrams(spark, d):
+    n = A.brand_counts(spark, d)
+    joined = F.array_join(K.join_pairs(F.split("ngram", " "), ["Red bolt", "red gear"]), " ")
+    return n.groupBy(joined.alias("ngram")).agg(F.sum("occurrences").alias("occurrences"))
+
+
+@query("select p_partkey, case when p_name = 'red bolt' then 'red-bolt ' || p_type when split_part(p_name, ' ', 2) = 'gear' and p_type = 'PROMO' then split_part(p_name, ' ', 1) || ' gear-PROMO' else p_name || ' ' || p_type end as s from part")
+def p4_join_pairs_sentences(spark, d):
+    t = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
+    return A.table(spark, d, "part").select("p_partkey", F.array_join(K.join_pairs(t, ["Red Bolt", "gear promo"], tagged=False, ignore_case=True), " ").alias("s"))
+
+
+@query(f"with {BR}, t as (select distinct unnest(string_split(ngram, ' ')) as token from br) select token, coalesce(nullif(regexp_extract(token, '^(.+)_(ADJ|NOUN)$', 1), ''), token) as word, coalesce(nullif(regexp_extract(token, '^(.+)_(ADJ|NOUN)$', 2), ''), 'NOUN') as tag from t")
+def p5_p6_tags(spark, d):
+    t = A.brand_counts(spark, d).select(F.explode(F.split("ngram", " ")).alias("token")).distinct()
+    return t.select("token", K.word_part(F.col("token")).alias("word"), K.universal_tag(K.tag_part(F.col("token"))).alias("tag"))
+
+
+_TOK = r"with w as (select distinct unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) as w from documents where doc_id < 200)"
+
+
+@query(_TOK + f" select w, {LOWER.format('w')} as low, regexp_full_match(w, '[A-Za-z]+') as ascii_alpha, octet_length(encode(w)) < 4 as short, {LOWER.format('w')} in ('the', 'of') as stop from w")
+def p7_p8_p10_p11_token_tests(spark, d):
+    t = A.table(spark, d, "documents").where("doc_id < 200").select(F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").distinct()
+    w = F.col("w")
+    return t.select("w", K.ascii_lower(w).alias("low"), K.is_alpha(w).alias("ascii_alpha"), K.is_short(w, 4).alias("short"), K.member(K.ascii_lower(w), ["the", "of"]).alias("stop"))
+
+
+@query(_TOK + r" select w, regexp_full_match(w, '\p{L}+') as alpha from w")
+def p9_unicode_alpha(spark, d):
+    t = A.table(spark, d, "documents").where("doc_id < 200").select(F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").distinct()
+    return t.select("w", K.is_alpha(F.col("w"), False).alias("alpha"))
+
+
+@query("select distinct p_name, case split_part(p_name, ' ', 1) when 'hot' then 'warm' when 'old' then 'aged' else split_part(p_name, ' ', 1) end as lemma from part")
+def p12_lemma(spark, d):
+    return A.table(spark, d, "part").select("p_name").distinct().select("p_name", K.lemma(F.element_at(F.split("p_name", " "), 1), {"hot": "warm", "old": "aged"}).alias("lemma"))
+
+
+@query()
+def p13_languages(spark, d):
+    codes = {"en": "english", "fr": "french", "de": "german", "es": "spanish", "it": "italian", "ru": "russian", "he": "hebrew", "zh": "chinese"}
+    return spark.createDataFrame(sorted(codes.items()), "code string, language string")
+
+
+_KEEP = "('red', 'hot', 'bolt', 'gear', 'promo')"
+
+
+@query(
+    f"""with {NG}, f as (select year, list_transform(string_split({LOWER.format('ngram')}, ' '), lambda x: case when x in {_KEEP} then x else '<UNK>' end) as t, occurrences, documents from ng)
+    select year, array_to_string(t, ' ') as ngram, cast(sum(occurrences) as bigint) as occurrences, cast(sum(documents) as bigint) as documents from f where len(list_filter(t, lambda x: x <> '<UNK>')) >= 1 group by 1, 2"""
+)
+def p14_j2_whitelist_filter(spark, d):
+    w = spark.createDataFrame([(x,) for x in ("red", "hot", "bolt", "gear")], "token string")
+    return P.filter_ngrams(A.ngram_counts(spark, d), P.FilterConfig(min_context_tokens=1, always_include=frozenset({"promo"})), w)
+
+
+@query(
+    f"""with {BR}, w as (select year, list_transform(string_split(ngram, ' '), lambda x: {LOWER.format("regexp_replace(x, '_(ADJ|NOUN)$', '')")}) as t, occurrences, documents from br),
+    f as (select year, list_transform(t, lambda x: case when regexp_full_match(x, '[A-Za-z]+') and octet_length(encode(x)) >= 4 and x <> 'promo' then x else '<UNK>' end) as t, occurrences, documents from w)
+    select year, array_to_string(t, ' ') as ngram, cast(sum(occurrences) as bigint) as occurrences, cast(sum(documents) as bigint) as documents from f where len(list_filter(t, lambda x: x <> '<UNK>')) >= 2 group by 1, 2"""
+)
+def p15_c2_c3_filter_ngrams(spark, d):
+    return P.filter_ngrams(A.brand_counts(spark, d), _FILTER)
+
+
+@query(
+    f"""with {SENT}, f as (select genre, year, list_transform(string_split(sentence, ' '), lambda y: case when y in ('a', 'A') then 'a' when regexp_full_match({LOWER.format('y')}, '[A-Za-z]+') and octet_length(encode(y)) >= 3 and {LOWER.format('y')} not in ('the', 'and') then case {LOWER.format('y')} when 'was' then 'be' else {LOWER.format('y')} end else '<UNK>' end) as t, occurrences, documents from st)
+    select genre, year, array_to_string(t, ' ') as sentence, cast(sum(occurrences) as bigint) as occurrences, cast(sum(documents) as bigint) as documents from f where len(list_filter(t, lambda x: x <> '<UNK>')) >= 2 group by 1, 2, 3"""
+)
+def p16_c6_filter_sentences(spark, d):
+    cfg = P.FilterConfig(stop_words=frozenset({"the", "and"}), always_include=frozenset({"a"}), lemmas={"was": "be"})
+    return P.filter_sentences(P.ingest_sentences(A.documents(spark, d)), cfg)
+
+
+@query("select doc_id, cast((1900 + doc_id % 100) // 5 * 5 as int) as bin from documents")
+def p21_year_bin(spark, d):
+    return A.documents(spark, d).select("doc_id", S.year_bin(F.col("year"), 5).alias("bin"))
+
+
+@query(f"with {SENT} select genre, cast(sum(occurrences) as bigint) as n from st where genre in ('de', 'unknown') group by 1")
+def p22_genre_focus(spark, d):
+    return P.ingest_sentences(A.documents(spark, d), genres=["de", "unknown"]).groupBy("genre").agg(F.sum("occurrences").alias("n"))
+
+
+_P23 = f"with {BR}, t as (select year, list_transform(string_split(ngram, ' '), lambda x: case when contains(x, '#') or contains(x, 'Red') then '<UNK>' else x end) as t, occurrences, documents from br)"
+
+
+def _p23(spark, d):
+    t = F.transform(F.split("ngram", " "), lambda x: F.when(x.contains("#") | x.contains("Red"), K.UNK).otherwise(x))
+    return A.brand_counts(spark, d).select("year", F.array_join(t, " ").alias("ngram"), "occurrences", "documents")
+
+
+@query(_P23 + " select array_to_string(list_filter(t, lambda x: x <> '<UNK>'), ' ') as s, count(*) as n from t where len(list_filter(t, lambda x: x <> '<UNK>')) >= 2 group by 1")
+def p23_unk_strip(spark, d):
+    return P.training_corpus(_p23(spark, d), "strip", "none").groupBy(F.array_join("tokens", " ").alias("s")).agg(F.count("*").alias("n"))
+
+
+@query(_P23 + " select year, count(*) as n from t where len(list_filter(t, lambda x: x = '<UNK>')) = 0 group by 1")
+def p23_unk_reject(spark, d):
+    return P.training_corpus(_p23(spark, d), "reject", "none").groupBy("year").agg(F.count("*").alias("n"))
+
+
+@query(f"with {NG} select ngram, year, cast(greatest(1, floor(ln(occurrences + 1) / ln(5) + 1e-12)) as int) as by_freq, cast(greatest(1, floor(ln(documents + 1) / ln(5) + 1e-12)) as int) as by_docs, documents as raw from ng")
+def p24_p25_weights(spark, d):
+    o, x = F.col("occurrences"), F.col("documents")
+    return A.ngram_counts(spark, d).select("ngram", "year", S.weight("freq", o, x, 5).alias("by_freq"), S.weight("doc_freq", o, x, 5).alias("by_docs"), S.weight("doc_freq", o, x).alias("raw"))
+
+
+@query(f"with {NG} select distinct year, ngram, printf('%08X', year) || hex(encode(ngram)) as key from ng")
+def p27_keys(spark, d):
+    k = A.ngram_counts(spark, d).select(S.year_key(F.col("year"), F.col("ngram")).alias("k"))
+    return k.select(S.key_year(F.col("k")).alias("year"), S.key_text(F.col("k")).alias("ngram"), F.hex("k").alias("key")).distinct()
+
+
+@query("select doc_id, nullif(lang, 'en') as genre, cast(1900 + doc_id % 100 as int) as year, source || ' x' as text from documents")
+def p28_shown_keys(spark, d):
+    t = A.table(spark, d, "documents")
+    y, x = (1900 + F.col("doc_id") % 100).cast("int"), F.concat("source", F.lit(" x"))
+    shown = F.when(F.col("lang") == "en", S.shown_key(y, x)).otherwise(S.shown_key(y, x, F.col("lang")))
+    return t.select("doc_id", S.parsed_key(shown).alias("k")).select("doc_id", "k.*")
+
+
+@query(
+    f"""with {NG}, w as (select ngram, list(year || ':' || occurrences || ':' || documents order by year) as l, count(*) as n, cast(sum(occurrences) as bigint) as o, cast(sum(documents) as bigint) as c from ng group by 1)
+    select ngram, n || ' years, ' || o || ' occurrences, ' || c || ' documents' as summary, array_to_string(l[greatest(len(l) - 2, 1):], '; ') as last from w"""
+)
+def p29_shown_counts(spark, d):
+    return C.widen(A.ngram_counts(spark, d)).select("ngram", S.shown_counts(F.col("freqs")).alias("summary"), S.shown_counts(F.col("freqs"), "packed", 3).alias("last"))
+
+
+@query("select distinct split_part(p_name, ' ', 2) as token from part where split_part(p_name, ' ', 2) in ('bolt', 'gear')")
+def p30_spell_check(spark, d):
+    t = A.table(spark, d, "part").select(F.element_at(F.split("p_name", " "), 2).alias("token")).distinct().union(A.table(spark, d, "part").select(F.col("p_brand").alias("token")).distinct())
+    return C.spell_checked(t, spark.createDataFrame([("bolt",), ("gear",), ("Brand#1",)], "word string"))
+
+
+@query("select distinct p_name as word from part where not regexp_matches(p_name, '(?i)RED|bolt$') and p_name <> 'hot rod'")
+def p31_exclusion(spark, d):
+    t = A.table(spark, d, "part").select(F.col("p_name").alias("word")).distinct()
+    return t.where(~F.col("word").rlike("(?i)RED|bolt$")).join(spark.createDataFrame([("hot rod",)], "word string"), "word", "left_anti")
+
+
+@query(f"with {MO} select distinct word from m")
+def p32_specials(spark, d):
+    v = A.models(spark, d).select("word").distinct().union(spark.createDataFrame([(x,) for x in S.SPECIAL], "word string"))
+    return v.where(~F.col("word").isin(*S.SPECIAL))
+
+
+@query("select cast(y as int) as year, cast(vs as bigint) as vector_size, wb as weight_by from range(2000, 2003) t(y), (values (100), (300)) a(vs), (values ('none'), ('freq')) b(wb) where not (y = 2001 and vs = 300)")
+def p33_j3_c7_grid(spark, d):
+    g = M.grid(spark, [2000, 2001, 2002], vector_size=[100, 300], weight_by=["none", "freq"])
+    return M.untrained(g, spark.createDataFrame([(2001, 300)], "year int, vector_size long"), ["year", "vector_size"])
+
+
+@query("select n_nationkey, case when n_nationkey = 0 then '***' when n_nationkey < 10 then '**' when n_nationkey < 20 then '*' else '' end as stars from nation")
+def p34_stars(spark, d):
+    p = F.when(F.col("n_nationkey") == 0, 0.0005).when(F.col("n_nationkey") < 10, 0.005).when(F.col("n_nationkey") < 20, 0.02).otherwise(0.3)
+    return A.table(spark, d, "nation").select("n_nationkey", S.stars(p).alias("stars"))
+
+
+# aggregates
+
+
+@query(f"with {NG} select cast(year - year % 5 as int) as year, ngram, cast(sum(occurrences) as bigint) as occurrences, cast(sum(documents) as bigint) as documents from ng group by 1, 2")
+def a2_bin_years(spark, d):
+    return C.bin_years(A.ngram_counts(spark, d), 5)
+
+
+@query(f"with {NG} select ngram, cast(sum(occurrences) as bigint) as total, cast(sum(documents) as bigint) as docs from ng group by 1")
+def a3_totals(spark, d):
+    f = F.col("freqs")
+    return C.widen(A.ngram_counts(spark, d)).select("ngram", C.total(f).alias("total"), C.total(f, "documents").alias("docs"))
+
+
+@query(f"with {NG} select ngram, cast(sum(case when year between 1997 and 1999 then occurrences else 0 end) as bigint) as total from ng group by 1")
+def a4_totals_in_range(spark, d):
+    return C.totals(A.ngram_counts(spark, d), "ngram", 1997, 1999)
+
+
+@query(f"with {SENT} select token, cast(sum(occurrences) as bigint) as total from (select unnest(string_split(sentence, ' ')) as token, occurrences from st) group by 1")
+def a5_a6_token_totals(spark, d):
+    return C.token_totals(P.ingest_sentences(A.documents(spark, d)), K.split_words(F.col("sentence")))
+
+
+@query(f"with {NG} select ngram from ng where year between 1996 and 2000 group by 1 having count(distinct year) = 5")
+def a7_covers_all(spark, d):
+    return C.covers_all(A.ngram_counts(spark, d), 1996, 2000)
+
+
+@query(f"with {NG}, o as (select * from ng where year between 1900 and 1998) select ngram from o group by 1 having count(distinct year) = (select count(distinct year) from o)")
+def a8_covers_corpus(spark, d):
+    return C.covers_corpus(A.ngram_counts(spark, d), 1900, 1998)
+
+
+@query(f"with {NG} select cast(year as varchar) as grp, count(*) as items from ng group by 1 union all select 'unknown', count(*) from ng")
+def a10_item_counts_by_year(spark, d):
+    n = A.ngram_counts(spark, d).select("year", "ngram")
+    return TB.item_counts(n.union(n.select(F.lit(0), "ngram")), TB.by_year(F.col("year")))
+
+
+@query(f"with {NG} select coalesce(nullif(regexp_extract(ngram, '^(red|hot)', 1), ''), 'unknown') as grp, count(*) as items from ng group by 1")
+def a10_item_counts_by_pattern(spark, d):
+    return TB.item_counts(A.ngram_counts(spark, d), TB.by_pattern(F.col("ngram"), "^(red|hot)"))
+
+
+@query(f"with {NG} select ngram, round(avg(occurrences), 6) as mean, round(stddev_pop(occurrences), 6) as pop, round(stddev_samp(occurrences), 6) as samp, count(*) as n from ng group by 1")
+def a12_a13_moments(spark, d):
+    o = F.col("occurrences")
+    return A.ngram_counts(spark, d).groupBy("ngram").agg(r6(F.avg(o), "mean"), r6(F.stddev_pop(o), "pop"), r6(F.stddev_samp(o), "samp"), F.count("*").alias("n"))
+
+
+@query(f"with {NG} select year, cast(round(median(occurrences), 6) as double) as med, round(avg(occurrences), 6) as mean from ng group by 1")
+def a14_median(spark, d):
+    return A.ngram_counts(spark, d).groupBy("year").agg(r6(F.median("occurrences"), "med"), r6(F.avg("occurrences"), "mean"))
+
+
+@query(f"with {NG} select ngram, count(*) as n, round(regr_slope(occurrences, year), 6) as slope from ng group by 1 having count(*) >= 5")
+def a15_slopes(spark, d):
+    return T.trends(A.ngram_counts(spark, d), "occurrences", ["ngram"], 5).where("n >= 5").select("ngram", "n", r6("slope", "slope"))
+
+
+@query(f"with {NG} select ngram, round(regr_slope(occurrences, year), 6) as slope, round(regr_intercept(occurrences, year), 4) as intercept, round(corr(occurrences, year), 6) as r, round(sqrt((1 - power(corr(occurrences, year), 2)) * var_pop(occurrences) / var_pop(year) / (count(*) - 2)), 6) as stderr from ng group by 1 having count(*) >= 4")
+def a16_trend_tests(spark, d):
+    t = T.trend_tests(A.ngram_counts(spark, d), "occurrences", ["ngram"]).where("n >= 4")
+    return t.select("ngram", r6("slope", "slope"), F.round("intercept", 4).alias("intercept"), r6("r", "r"), r6("stderr", "stderr"))
+
+
+_YEARLY = f"with {NG}, y as (select year, cast(sum(occurrences) as double) as o, cast(sum(documents) as double) as c from ng group by 1)"
+
+
+def _yearly(spark, d):
+    return A.ngram_counts(spark, d).groupBy("year").agg(F.sum("occurrences").cast("double").alias("o"), F.sum("documents").cast("double").alias("c"))
+
+
+@query(_YEARLY + " select year, round(o - (regr_intercept(o, c) over () + regr_slope(o, c) over () * c), 3) as residual from y")
+def a17_residuals(spark, d):
+    return T.residuals(_yearly(spark, d), "o", "c").select("year", F.round("residual", 3).alias("residual"))
+
+
+_TOP8 = f"with {NG}, k as (select ngram from ng group by 1 having count(*) = 7 order by ngram limit 8), s as (select ng.* from ng join k using (ngram)), p as (select a.ngram as a, b.ngram as b, corr(a.occurrences, b.occurrences) as r from s a join s b on a.year = b.year and a.ngram < b.ngram group by 1, 2)"
+
+
+def _eight(spark, d):
+    n = A.ngram_counts(spark, d)
+    k = n.groupBy("ngram").count().where("count = 7").orderBy("ngram").limit(8).select("ngram")
+    return n.join(F.broadcast(k), "ngram").withColumnRenamed("ngram", "word")
+
+
+@query(_TOP8 + " select round(avg(r), 6) as mean, round(median(r), 6) as median, round(stddev_pop(r), 6) as std, round(min(r), 6) as min, round(max(r), 6) as max, count(r) as pairs from p")
+def a18_pair_correlations(spark, d):
+    return rounded(T.correlation_summary(T.pair_correlations(_eight(spark, d), "occurrences")), "mean", "median", "std", "min", "max")
+
+
+@query("select o_orderstatus, round(avg(o_totalprice), 2) as mean, count(o_totalprice) as n from orders group by 1")
+def a20_means(spark, d):
+    return R.means(A.table(spark, d, "orders"), "o_totalprice", "o_orderstatus").withColumn("mean", F.round("mean", 2))
+
+
+@query("select o_orderpriority, round(coalesce(avg(case when o_orderstatus = 'F' then o_totalprice end), 0), 2) as \"F\", round(coalesce(avg(case when o_orderstatus = 'Z' then o_totalprice end), 0), 2) as \"Z\" from orders group by 1")
+def a21_mesh(spark, d):
+    m = R.mesh(A.table(spark, d, "orders"), "o_totalprice", "o_orderstatus", "o_orderpriority", ["F", "Z"])
+    return m.withColumns({c: F.round(c, 2) for c in ("F", "Z")})
+
+
+@query()
+def a22_sample_per_group(spark, d):
+    return C.sample_per_group(A.ngram_counts(spark, d), "year", 5, 11, "ngram")
+
+
+@query()
+def a23_o5_boundaries(spark, d):
+    return C.boundaries(A.table(spark, d, "lineitem"), "l_extendedprice", 8)
+
+
+@query("select o_orderstatus as status, count(*) as units from orders where o_orderkey % 10 <> 0 group by 1")
+def a24_status_counts(spark, d):
+    o = A.table(spark, d, "orders")
+    return C.status_counts(o.select(F.col("o_orderkey").alias("unit_id"), F.when(F.col("o_orderkey") % 10 == 1, F.col("o_orderkey") - 1).alias("parent"), F.col("o_orderstatus").alias("status")).union(_missing_parents(o)))
+
+
+def _missing_parents(o):
+    return o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey"), F.col("o_orderkey"), F.lit("split"))
+
+
+@query(f"with {NG} select count(*) as scanned, count(*) filter (starts_with(ngram, 'red')) as kept, round(count(*) filter (starts_with(ngram, 'red')) / count(*), 6) as ratio from ng")
+def a25_kept_ratio(spark, d):
+    n = A.ngram_counts(spark, d)
+    return rounded(C.kept_ratio(n, TB.prefix_scan(n, "ngram", "red")), "ratio")
+
+
+@query("select count(*) filter (o_orderstatus <> 'P') as files_ok, count(*) filter (o_orderstatus = 'P') as files_failed, cast(sum(o_custkey) as bigint) as entries from orders")
+def a26_ingest_summary(spark, d):
+    o = A.table(spark, d, "orders").select((F.col("o_orderstatus") != "P").alias("ok"), F.col("o_custkey").alias("entries"), F.col("o_totalprice").alias("bytes"), F.lit(2.0).alias("seconds"))
+    return C.ingest_summary(o).select("files_ok", "files_failed", "entries")
+
+
+@query("select doc_id from documents where lang <> 'en'")
+def a27_complete_rows(spark, d):
+    return C.complete_rows(A.documents(spark, d), "genre", "year").select("doc_id")
+
+
+# ranking, windows, sets
+
+
+@query(_WL + " select token, total from w order by total desc, token limit 15")
+def w1_top(spark, d):
+    return P.ngram_whitelist(A.ngram_counts(spark, d), 15)
+
+
+@query(_WL + " select token, total, row_number() over (order by total desc, token) as rank from w")
+def w2_rank(spark, d):
+    t = C.totals(A.ngram_counts(spark, d)).withColumnRenamed("ngram", "token")
+    return TB.numbered(t.withColumn("neg", -F.col("total")), "neg", "token").select("token", "total", (F.col("n") + 1).alias("rank"))
+
+
+@query(_WL + ", b as (select * from w order by total desc, token limit 5) select token, total from b union all select f.token, coalesce(w.total, 0) from (values ('absent'), ('cold rod SMALL')) f(token) left join w using (token) where f.token not in (select token from b)")
+def w3_o3_top_with(spark, d):
+    t = C.totals(A.ngram_counts(spark, d)).withColumnRenamed("ngram", "token")
+    return C.top_with(t, 5, spark.createDataFrame([("absent",), ("cold rod SMALL",)], "token string"))
+
+
+@query(f"with {MO}, c as (select b.year, b.word, list_cosine_similarity(a.v, b.v) as cos from m a join m b on a.year = b.year and a.word = 'w3' and b.word <> 'w3') select year, word, rank, round(cos, 6) as cos from (select *, cast(row_number() over (partition by year order by cos desc, word) as int) as rank from c) where rank <= 4")
+def w4_t5_neighbours(spark, d):
+    return rounded(E.neighbours(A.models(spark, d), "w3", 4), "cos")
+
+
+@query(_YEARLY + " select year, round(avg(o) over (order by year rows between 1 preceding and 1 following), 6) as smooth from y")
+def w8_t11_rolling_mean(spark, d):
+    return T.rolling_mean(_yearly(spark, d).withColumn("k", F.lit(1)), "o", 3, ["k"]).select("year", r6("smooth", "smooth"))
+
+
+@query()
+def w9_gaussian(spark, d):
+    return T.gaussian(_eight(spark, d), "occurrences", 1.5, ["word"]).select("word", "year", r6("smooth", "smooth"))
+
+
+@query()
+def w10_derivative(spark, d):
+    return T.derivative(_eight(spark, d), "occurrences", ["word"])
+
+
+_GAPS = "with g as (select cast(year(l_shipdate) as int) as year, avg(l_quantity) as x from lineitem group by 1), h as (select year, case when year % 3 = 0 then x end as v from g)"
+
+
+def _gaps(spark, d):
+    g = A.table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.avg("l_quantity").alias("x"))
+    return g.select("year", F.when(F.col("year") % 3 == 0, F.col("x")).alias("v"), F.lit(1).alias("k"))
+
+
+@query(
+    _GAPS
+    + """, p as (select year, v, (select max(year) from h b where b.year <= a.year and b.v is not null) as y0, (select min(year) from h b where b.year >= a.year and b.v is not null) as y1 from h a)
+    select p.year, round(coalesce(case when y0 = y1 then b.v else b.v + (c.v - b.v) * (p.year - y0) / (y1 - y0) end, b.v, c.v), 6) as filled from p left join h b on b.year = y0 left join h c on c.year = y1"""
+)
+def w11_interpolated(spark, d):
+    return T.interpolated(_gaps(spark, d), "v", ["k"]).select("year", r6("filled", "filled"))
+
+
+@query(f"with {NG}, r as (select ngram, year, occurrences, (row_number() over (partition by ngram order by year) - 1) // 3 as chunk from ng) select ngram, chunk, round(avg(year), 6) as year, round(avg(occurrences), 6) as occurrences from r group by 1, 2")
+def w12_chunk_means(spark, d):
+    return rounded(T.chunk_means(A.ngram_counts(spark, d), "occurrences", 3, ["ngram"]), "year", "occurrences")
+
+
+@query(f"with {NG}, c as (select ngram as word, max(case when year = 2001 then occurrences end) - max(case when year = 1995 then occurrences end) as change from ng group by 1 having change is not null) (select word, change, 'rise' as side from c order by change desc, word limit 5) union all (select word, change, 'fall' as side from c order by change, word limit 5)")
+def w13_end_changes(spark, d):
+    n = A.ngram_counts(spark, d).where("year between 1995 and 2001").withColumnRenamed("ngram", "word")
+    return T.end_changes(n, "occurrences", "word", 5)
+
+
+@query(f"with {NG}, r as (select *, row_number() over (order by ngram, year) - 1 as n, row_number() over (order by ngram desc, year desc) - 1 as z from ng) select ngram, year, 'head' as part from r where n < 4 union all select ngram, year, 'tail' from r where z < 4 union all select ngram, year, 'nth' from r where n % 97 = 0 union all (select ngram, year, 'peek' from r where starts_with(ngram, 'old') order by ngram, year limit 3)")
+def w14_peek(spark, d):
+    n = A.ngram_counts(spark, d).select("ngram", "year")
+    k = ("ngram", "year")
+    parts = {"head": TB.head(n, 4, *k), "tail": TB.tail(n, 4, *k), "nth": TB.every_nth(n, 97, *k), "peek": TB.head(TB.prefix_scan(n, "ngram", "old"), 3, *k)}
+    out = None
+    for name, p in parts.items():
+        p = p.withColumn("part", F.lit(name))
+        out = p if out is None else out.union(p)
+    return out
+
+
+@query(f"with {NG} select year, round(stddev_pop(occurrences) / sqrt(count(*)), 6) as se, round(1.959963984540054 * stddev_pop(occurrences) / sqrt(count(*)), 6) as ci from ng group by 1")
+def w15_half_width(spark, d):
+    s = A.ngram_counts(spark, d).groupBy("year").agg(F.stddev_pop("occurrences").alias("sd"), F.count("*").alias("n"))
+    return s.select("year", r6(S.half_width(F.col("sd"), F.col("n")), "se"), r6(S.half_width(F.col("sd"), F.col("n"), 0.95), "ci"))
+
+
+@query(_GAPS + " select year, round(1.96 * coalesce(nullif(v, 0), avg(nullif(v, 0)) over (), 0), 6) as band from h")
+def w17_imputed_band(spark, d):
+    return T.imputed_band(_gaps(spark, d), "v").select("year", r6("band", "band"))
+
+
+@query(_GAPS + " select year, round(coalesce(v, avg(v) over ()), 6) as v from h")
+def w18_mean_filled(spark, d):
+    return T.mean_filled(_gaps(spark, d), "v", ["k"]).select("year", r6("v", "v"))
+
+
+@query("select p_name as w from part where p_size < 20 intersect select p_name from part where p_size > 30 union all (select p_type from part except select p_type from part where p_type like 'S%') union all select distinct p_brand from part")
+def o1_o2_o3_o4_sets(spark, d):
+    p = A.table(spark, d, "part")
+    a = p.where("p_size < 20").select(F.col("p_name").alias("w")).intersect(p.where("p_size > 30").select("p_name"))
+    b = p.select("p_type").subtract(p.where("p_type like 'S%'").select("p_type"))
+    return a.union(b).union(p.select("p_brand").distinct())
+
+
+@query(f"with {NG} select year, ngram, occurrences, documents from ng")
+def o6_c4_pivot_years(spark, d):
+    return C.pivot_years(C.widen(A.ngram_counts(spark, d)), check=True)
+
+
+@query(f"with {NG} select ngram as word, " + ", ".join(f"cast(max(case when year = {y} then occurrences end) as bigint) as \"{y}\"" for y in (1996, 1998, 2000)) + " from ng group by 1")
+def o7_words_by_year(spark, d):
+    return D.words_by_year(A.ngram_counts(spark, d).withColumnRenamed("ngram", "word"), [1996, 1998, 2000], "occurrences")
+
+
+# joins
+
+
+@query(f"with {MO} select a.word from m a join m b on a.word = b.word where a.year = 2001 and b.year = 2007")
+def j4_o1_shared_pair(spark, d):
+    v = A.models(spark, d)
+    return v.where("year = 2001").select("word").join(v.where("year = 2007").select("word"), "word")
+
+
+@query(f"with {MO} select word from m where not (year = 2004 and word < 'w2') group by 1 having count(distinct year) = 10")
+def j5_shared_words(spark, d):
+    return E.shared_words(A.models(spark, d).where("not (year = 2004 and word < 'w2')"))
+
+
+@query(f"with {MO}, k as (select * from m where year % 3 <> 1), y as (select year, lag(year) over (order by year) as prev from (select distinct year from k)) select a.year, y.prev, a.word, round(list_inner_product(a.v, b.v), 6) as sim from k a join y on a.year = y.year join k b on b.year = y.prev and a.word = b.word")
+def j6_w5_previous_model(spark, d):
+    p = E.previous_model(A.models(spark, d).where("year % 3 <> 1"))
+    return p.select("year", "prev", "word", r6(V.dot(F.col("vector"), F.col("before")), "sim"))
+
+
+@query(f"with {MO} select a.year, a.word as a, b.word as b, round(list_cosine_similarity(a.v, b.v), 6) as cos from m a join m b on a.year = b.year where a.word in {inlist(0, 4)} and b.word in {inlist(2, 7)} and a.word <> b.word")
+def j8_e3_word_pairs(spark, d):
+    return rounded(E.word_pairs(A.models(spark, d), words(0, 4), words(2, 7)), "cos")
+
+
+@query(f"with {MO} select a.year, a.word, round(avg(list_cosine_similarity(a.v, b.v)), 6) as mean_cos from m a join m b on a.year = b.year and a.word <> b.word where a.word in {inlist(0, 5)} and b.word not in {inlist(4, 9)} group by 1, 2")
+def j9_e17_mean_cosine_to_all(spark, d):
+    return rounded(E.mean_cosine_to_all(A.models(spark, d), words(0, 5), words(4, 9)), "mean_cos")
+
+
+_PAIRS = [("w0", "w1"), ("w2", "w3"), ("w4", "w5"), ("w6", "w7"), ("w8", "nowhere")]
+_PAIRSQL = "pr as (select * from (values ('w0', 'w1'), ('w2', 'w3'), ('w4', 'w5'), ('w6', 'w7'), ('w8', 'nowhere')) t(token1, token2))"
+_DIM = f"{MO}, {_PAIRSQL}, df as (select a.year, token1, token2, list_transform(list_zip(a.v, b.v), lambda x: x[2] - x[1]) as d from pr join m a on a.word = token1 join m b on b.word = token2 and a.year = b.year), me as (select year, list(x order by i) as d from (select year, i, avg(d[i]) as x from df, range(1, 65) r(i) group by 1, 2) group by 1)"
+
+
+def _pairs(spark):
+    return spark.createDataFrame(_PAIRS, "token1 string, token2 string")
+
+
+@query(f"with {_DIM} select year, token1, token2, round(sqrt(list_inner_product(d, d)), 6) as len from df")
+def j10_contrasts(spark, d):
+    return E.contrasts(A.models(spark, d), _pairs(spark)).select("year", "token1", "token2", r6(V.norm(F.col("diff")), "len"))
+
+
+@query(f"with {MO}, y as (select cast(y as int) as year from range(1998, 2012, 2) t(y)) select y.year, count(word) as words from y left join m using (year) group by 1")
+def j13_dense_years(spark, d):
+    return T.dense_years(spark, A.models(spark, d), 1998, 2011, 2).groupBy("year").agg(F.count("word").alias("words"))
+
+
+# vectors
+
+
+@query(f"with {MO} select year, bool_and(abs(sqrt(list_inner_product(v, v)) - 1) <= 1e-6) as normal from m group by 1")
+def e4_normalized(spark, d):
+    return E.all_normal(E.normalize(A.models(spark, d).withColumn("vector", V.scaled(F.col("vector"), F.lit(3.0)))))
+
+
+@query(f"with {MO} select year, count(*) as n from m where word in {inlist(0, 9)} group by 1")
+def e5_restricted(spark, d):
+    return E.restrict(A.models(spark, d), spark.createDataFrame([(w,) for w in words(0, 9)], "word string")).groupBy("year").agg(F.count("*").alias("n"))
+
+
+def _turned_copy(spark, d):
+    """A model, and the same turned by a known rotation: swapped halves with a sign."""
+    a = A.models(spark, d).where("year = 2000").select("word", "vector", "count")
+    half = F.concat(F.slice("vector", 33, 32), F.transform(F.slice("vector", 1, 32), lambda x: -x))
+    return a.select(F.lit(2000).alias("year"), "word", "vector", "count").union(a.select(F.lit(2001), "word", half, "count"))
+
+
+@query(f"with {MO} select cast(y as int) as year, word, true as same from m, (values (2000), (2001)) t(y) where year = 2000")
+def e6_e10_align(spark, d):
+    v = _turned_copy(spark, d)
+    a = E.align(v, 2000)
+    ref = E.normalize(v.where("year = 2000")).select("word", F.col("vector").alias("ref"))
+    return a.join(ref, "word").select("year", "word", (V.norm(V.minus(F.col("vector"), F.col("ref"))) < 1e-6).alias("same"))
+
+
+@query(f"with {MO} select cast(y as int) as year, word, true as same from m, (values (2000), (2001)) t(y) where year = 2000")
+def e7_e9_weighted_align(spark, d):
+    v = _turned_copy(spark, d)
+    w = E.stability_weights(v.unionByName(A.models(spark, d).select("year", "word", "vector", "count").where("year = 2005")), "frequency").withColumn("weight", F.col("weight") + 0.1)
+    a = E.align(v, 2000, w, "global")
+    ref = E.normalize(v.where("year = 2000")).select("word", F.col("vector").alias("ref"))
+    return a.join(ref, "word").select("year", "word", (V.norm(V.minus(F.col("vector"), F.col("ref"))) < 1e-6).alias("same"))
+
+
+@query()
+def e8_rotation_check(spark, d):
+    return rounded(E.rotation_check(E.rotations(E.normalize(A.models(spark, d)), 2000)), "distance")
+
+
+_LAST = f"{MO}, y as (select year, lag(year) over (order by year) as prev from (select distinct year from m)), l as (select word, avg(list_inner_product(a.v, b.v)) as local from m a join y using (year) join m b using (word) where b.year = y.prev group by 1)"
+_GLOB = "mv as (select word, i, avg(v[i]) as x from m, range(1, 65) r(i) group by 1, 2), ml as (select word, list(x order by i) as mean from mv group by 1), g as (select word, 1 / (1 + var_pop(list_distance(v, mean))) as global from m join ml using (word) group by 1), f as (select word, 1 / (1 + stddev_pop(cnt) / avg(cnt)) as freq, ln(1 + avg(cnt)) as lc from m group by 1)"
+
+
+@query(f"with {_LAST} select word, round(local, 6) as local from l")
+def e11_local_stability(spark, d):
+    return rounded(E.local_stability(A.models(spark, d)), "local")
+
+
+@query(f"with {MO}, {_GLOB} select word, round(global, 6) as global from g")
+def e12_global_stability(spark, d):
+    return rounded(E.global_stability(A.models(spark, d)), "global")
+
+
+@query(f"with {MO}, {_GLOB} select word, round(freq, 6) as frequency, round(lc, 6) as log_count from f")
+def e13_e14_frequency_stability(spark, d):
+    return rounded(E.frequency_stability(A.models(spark, d)), "frequency", "log_count")
+
+
+@query(
+    f"""with {_LAST}, {_GLOB}, n as (select word, (local - min(local) over ()) / (max(local) over () - min(local) over ()) as a, (global - min(global) over ()) / (max(global) over () - min(global) over ()) as b, (freq - min(freq) over ()) / (max(freq) over () - min(freq) over ()) as c, lc from l join g using (word) join f using (word)),
+    s as (select word, (a + b + c) / 3 as s, lc from n) select word, round(0.7 * (s - min(s) over ()) / (max(s) over () - min(s) over ()) + 0.3 * (lc - min(lc) over ()) / (max(lc) over () - min(lc) over ()), 6) as weight from s"""
+)
+def e15_stability_weights(spark, d):
+    return rounded(E.stability_weights(A.models(spark, d)), "weight")
+
+
+@query(f"with {MO} select round(avg(list_inner_product(a.v, b.v)), 6) as mean, round(stddev_pop(list_inner_product(a.v, b.v)), 6) as std, count(*) as n from m a join m b using (word) where a.year = 2002 and b.year = 2008")
+def e16_a12_model_similarity(spark, d):
+    v = A.models(spark, d)
+    p = v.where("year = 2002").join(v.where("year = 2008").select("word", F.col("vector").alias("other")), "word")
+    return rounded(E.similarity(p, "vector", "other"), "mean", "std")
+
+
+_T1, _T2, _A1, _A2 = words(0, 5), words(5, 10), words(10, 15), words(15, 20)
+_S = f"{MO}, x as (select t.year, t.word, avg(case when a.word in {inlist(10, 15)} then list_cosine_similarity(t.v, a.v) end) as x1, avg(case when a.word in {inlist(15, 20)} then list_cosine_similarity(t.v, a.v) end) as x2 from m t join m a using (year) where t.word in {inlist(0, 10)} and a.word in {inlist(10, 20)} group by 1, 2), s as (select *, x1 - x2 as s, word in {inlist(0, 5)} as one from x)"
+
+
+@query(f"with {_S} select year, round((avg(s) filter (one) - avg(s) filter (not one)) / stddev_samp(s), 6) as effect, round(sum(s) filter (one) - sum(s) filter (not one), 6) as statistic, round(avg(x1) filter (one), 6) as t1_a1, round(avg(x2) filter (one), 6) as t1_a2, round(avg(x1) filter (not one), 6) as t2_a1, round(avg(x2) filter (not one), 6) as t2_a2, round((avg(x1) filter (one) + avg(x2) filter (not one)) / 2, 6) as stereotype from s group by 1")
+def e18_t7_weat(spark, d):
+    w = D.weat_over_years(A.models(spark, d), [*_T1, "nowhere"], _T2, _A1, _A2, combined={"stereotype": ["t1_a1", "t2_a2"]})
+    return rounded(w, *[c for c in w.columns if c != "year"])
+
+
+@query()
+def e19_weat_permutations(spark, d):
+    return rounded(E.weat_permutations(A.models(spark, d), _T1, _T2, _A1, _A2, 200, 3), "p", "std")
+
+
+@query(f"with {MO}, c as (select t.year, t.word in {inlist(0, 5)} as one, a.word in {inlist(10, 15)} as near, list_cosine_similarity(t.v, a.v) as c from m t join m a using (year) where t.word in {inlist(0, 10)} and a.word in {inlist(10, 20)}) select year, round((avg(c) filter (one and near) - avg(c) filter (one and not near) - avg(c) filter (not one and near) + avg(c) filter (not one and not near)) / stddev_samp(c), 6) as effect from c group by 1")
+def e20_weat_pooled(spark, d):
+    return rounded(E.weat_pooled(A.models(spark, d), _T1, _T2, _A1, _A2), "effect")
+
+
+@query()
+def e21_pca_dimensions(spark, d):
+    p = E.pca_dimensions(A.models(spark, d), _pairs(spark))
+    return p.select("year", F.transform("explained", lambda x: F.round(x, 6)).alias("explained"), r6(V.norm(F.col("dimension")), "length"))
+
+
+@query(f"with {_DIM} select year, token1, token2, round(list_cosine_similarity(df.d, me.d), 6) as loading from df join me using (year)")
+def e22_e27_loadings(spark, d):
+    v = A.models(spark, d)
+    return rounded(E.loadings(v, _pairs(spark), E.mean_dimension(v, _pairs(spark))), "loading")
+
+
+@query(f"with {_DIM} select year, word, round(list_inner_product(v, d) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(d, d)) + 1e-10), 6) as projection from m join me using (year) where word in {inlist(20, 30)}")
+def e23_t8_projections(spark, d):
+    return rounded(D.projections(A.models(spark, d), _pairs(spark), words(20, 30)), "projection")
+
+
+@query()
+def e24_compare_dimensions(spark, d):
+    v = A.models(spark, d)
+    return rounded(E.compare_dimensions(E.mean_dimension(v, _pairs(spark)), E.pca_dimensions(v, _pairs(spark))), "degrees")
+
+
+@query()
+def e25_variance_summary(spark, d):
+    return rounded(E.variance_summary(E.pca_dimensions(A.models(spark, d), _pairs(spark))), "share", "cumulative")
+
+
+@query(f"with {_DIM}, lo as (select year, list_cosine_similarity(df.d, me.d) as l from df join me using (year)) select year, round(avg(l), 6) as mean, round(stddev_pop(l), 6) as std, round(min(l), 6) as min, round(max(l), 6) as max, count(*) as pairs, round(stddev_pop(l) / abs(avg(l)), 6) as cv, case when stddev_pop(l) / abs(avg(l)) < 0.15 then 'very high' when stddev_pop(l) / abs(avg(l)) < 0.25 then 'high' when stddev_pop(l) / abs(avg(l)) < 0.4 then 'moderate' else 'low' end as consistency from lo group by 1")
+def e26_dimension_summary(spark, d):
+    v = A.models(spark, d)
+    return rounded(E.mean_dimension_summary(E.loadings(v, _pairs(spark), E.mean_dimension(v, _pairs(spark)))), "mean", "std", "min", "max", "cv")
+
+
+_WS = [(f"w{i}", f"w{i + 10}", float((i * 7) % 10)) for i in range(10)]
+_WSSQL = "ws as (select 'w' || i as word1, 'w' || (i + 10) as word2, cast((i * 7) % 10 as double) as score from range(10) t(i))"
+
+
+@query(f"with {MO}, {_WSSQL}, c as (select a.year, score, list_cosine_similarity(a.v, b.v) as cos from ws join m a on a.word = word1 join m b on b.word = word2 and a.year = b.year), r as (select year, rank() over (partition by year order by score) as x, rank() over (partition by year order by cos) as y from c) select 'w2v_y' || year as model_id, round(corr(x, y), 6) as similarity_score, count(*) as pairs from r group by 1")
+def e28_similarity_scores(spark, d):
+    return rounded(M.similarity_scores(A.models(spark, d), spark.createDataFrame(_WS, "word1 string, word2 string, score double")), "similarity_score")
+
+
+_AN = [("w0", "w1", "w2", "w3"), ("w4", "w4", "w5", "w6"), ("w7", "w8", "w9", "nowhere")]
+
+
+@query(
+    f"with {MO}, {UNIT}, a as (select * from (values ('w0', 'w1', 'w2', 'w3'), ('w4', 'w4', 'w5', 'w6')) t(a, b, c, d)), g as (select x.year, q.*, list_transform(list_zip(x.v, y.v, z.v), lambda t: t[2] - t[1] + t[3]) as goal from a q join u x on x.word = q.a join u y on y.word = q.b and y.year = x.year join u z on z.word = q.c and z.year = x.year), h as (select g.year, g.a, g.d, arg_max(u.word, list_inner_product(u.v, goal)) as hit from g join u on u.year = g.year and u.word not in (g.a, g.b, g.c) group by 1, 2, 3) select 'w2v_y' || year as model_id, round(avg(cast(hit = d as int)), 6) as analogy_score, count(*) as questions from h group by 1"
+)
+def e29_analogy_scores(spark, d):
+    return rounded(M.analogy_scores(A.models(spark, d), spark.createDataFrame(_AN, "a string, b string, c string, d string")), "analogy_score")
+
+
+@query()
+def e30_evaluate(spark, d):
+    v = A.models(spark, d)
+    done = spark.createDataFrame([("w2v_y2000",)], "model string")
+    e = M.evaluate(v, spark.createDataFrame(_WS, "word1 string, word2 string, score double"), spark.createDataFrame(_AN, "a string, b string, c string, d string"), done)
+    return rounded(e, "similarity_score", "analogy_score")
+
+
+@query()
+def e31_trajectory(spark, d):
+    return rounded(D.trajectory(A.models(spark, d), "w3"), "pc1", "pc2", "distance")
+
+
+@query()
+def e1_skip_gram(spark, d):
+    c = P.training_corpus(A.ngram_counts(spark, d), "retain", "freq", 5)
+    return M.skip_gram(c, 1998, vector_size=8, window=2, min_count=2, epochs=1).select("model_id", "year", "word", F.size("vector").alias("size"), "count")
+
+
+@query()
+def e1_e2_cbow(spark, d):
+    c = P.training_corpus(A.ngram_counts(spark, d).where("year in (1997, 1999)"), "retain", "freq", 5)
+    return M.cbow(c, vector_size=8, window=2, epochs=1).select("model_id", "year", "word", F.size("vector").alias("size"), "count")
+
+
+# series over models
+
+
+_YS = f"{MO}, y as (select year, lag(year) over (order by year) as prev from (select distinct year from m)), p as (select y.year, y.prev, a.word, list_inner_product(a.v, b.v) as s, list_transform(list_zip(a.v, b.v), lambda t: t[1] - t[2]) as d from y join m a on a.year = y.year join m b on b.year = y.prev and a.word = b.word)"
+
+
+@query(f"with {_YS} select year, round(1 - avg(s), 6) as change, round(stddev_pop(s) / sqrt(count(*)), 6) as error, count(*) as shared from p group by 1")
+def t1_j11_local_change(spark, d):
+    return rounded(D.local_change(A.models(spark, d)), "change", "error")
+
+
+@query(f"with {_YS}, c as (select year, 1 - avg(s) as change, cast(year % 4 as double) as x from p group by 1) select year, round(change - (regr_intercept(change, x) over () + regr_slope(change, x) over () * x), 6) as residual from c")
+def t1_a17_residual_change(spark, d):
+    cov = spark.range(2000, 2010).select(F.col("id").cast("int").alias("year"), (F.col("id") % 4).cast("double").alias("value"))
+    return D.local_change(A.models(spark, d), covariate=cov).select("year", r6("residual", "residual"))
+
+
+@query(f"with {MO} select a.year, case when a.year = 2004 then 0.0 else round(1 - avg(list_inner_product(a.v, b.v)), 6) end as change, case when a.year = 2004 then 0.0 else round(1.959963984540054 * stddev_pop(list_inner_product(a.v, b.v)) / sqrt(count(*)), 6) end as error, count(*) as shared from m a join m b using (word) where b.year = 2004 group by 1")
+def t2_j7_global_change(spark, d):
+    return rounded(D.global_change(A.models(spark, d), 2004, 0.95), "change", "error")
+
+
+@query(f"with {_YS}, g as (select prev as year, list(x order by i) as d, any_value(mag) as mag from (select prev, i, avg(d[i]) as x, avg(sqrt(list_inner_product(d, d))) as mag from p, range(1, 65) r(i) group by 1, 2) group by 1) select year, round(mag, 6) as magnitude, round(list_cosine_similarity(d, lag(d) over (order by year)), 6) as consistency from g")
+def t3_w6_w7_directional_drift(spark, d):
+    return rounded(D.directional_drift(A.models(spark, d)), "magnitude", "consistency")
+
+
+@query(f"with {MO}, w as (select year, v, lead(v) over (order by year) as n from m where word = 'w7'), g as (select year, list_transform(list_zip(n, v), lambda t: t[1] - t[2]) as d from w where n is not null) select year, round(sqrt(list_inner_product(d, d)), 6) as magnitude, round(list_cosine_similarity(d, lag(d) over (order by year)), 6) as consistency from g")
+def t3_word_drift(spark, d):
+    return rounded(D.directional_drift(A.models(spark, d), "w7"), "magnitude", "consistency")
+
+
+@query(f"with {MO} select a.year, round(avg(list_cosine_similarity(a.v, b.v)), 6) as mean_cos, count(*) as pairs from m a join m b on a.year = b.year where a.word in {inlist(0, 3)} and b.word in {inlist(3, 6)} group by 1")
+def t4_similarity_over_years(spark, d):
+    return rounded(D.similarity_over_years(A.models(spark, d), words(0, 3), words(3, 6)), "mean_cos")
+
+
+@query(f"with {MO}, c as (select a.year, a.word, avg(list_cosine_similarity(a.v, b.v)) as c from m a join m b on a.year = b.year and a.word <> b.word where a.word in {inlist(0, 3)} group by 1, 2) select year, round(avg(c), 6) as relatedness, count(*) as words from c group by 1")
+def t6_relatedness(spark, d):
+    return rounded(D.relatedness(A.models(spark, d), [*words(0, 3), "nowhere"]), "relatedness")
+
+
+_PROJ = f"{_DIM}, pj as (select year, word, list_inner_product(v, d) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(d, d)) + 1e-10) as p from m join me using (year))"
+
+
+@query(f"with {_PROJ}, b as (select year, median(p) as b from pj where word in {inlist(30, 37)} group by 1) select year, word, round(p - b, 6) as projection from pj join b using (year) where word in {inlist(20, 25)}")
+def t8_j12_baseline_corrected(spark, d):
+    return rounded(D.projections(A.models(spark, d), _pairs(spark), words(20, 25), baseline_words=words(30, 37)), "projection")
+
+
+@query(f"with {_PROJ} select word, count(p) as n, round(avg(p), 6) as mu, round(regr_slope(p, year), 6) as beta, round(stddev_samp(p), 6) as sigma from pj where word not in {inlist(0, 9)} and word <> 'nowhere' and not regexp_matches(word, '(?i)W1.$') group by 1 having count(p) >= 8 and abs(avg(p)) < 0.05 and abs(regr_slope(p, year)) < 0.02 and stddev_samp(p) < 0.2")
+def t9_neutral_words(spark, d):
+    v = A.models(spark, d)
+    n = D.neutral_words(D.projections(v, _pairs(spark)), _pairs(spark), 0.05, 0.02, 0.2, 8, "W1.$")
+    return rounded(n, "mu", "beta", "sigma")
+
+
+@query()
+def t9_correlation_test(spark, d):
+    return D.correlation_test(D.projections(A.models(spark, d), _pairs(spark), words(30, 36)), 50, 1)
+
+
+@query()
+def t10_reference_dimension(spark, d):
+    p = D.reference_dimension(A.models(spark, d), _pairs(spark), 2003)
+    return rounded(D.yearly_stats(p), "mean", "std")
+
+
+@query(f"with {_PROJ} select year, round(avg(p), 6) as mean, round(stddev_pop(p), 6) as std, count(p) as n from pj group by 1")
+def a19_yearly_stats(spark, d):
+    return rounded(D.yearly_stats(D.projections(A.models(spark, d), _pairs(spark))), "mean", "std")
+
+
+@query("select 'intercept' as term, round(regr_intercept(l_extendedprice, l_quantity), 2) as coef from lineitem union all select 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 2) from lineitem")
+def t13_t14_ols(spark, d):
+    return R.ols(A.table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"]).select("term", F.round("coef", 2).alias("coef"))
+
+
+@query()
+def t13_mixed(spark, d):
+    line = A.table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    return R.mixed(line, "l_extendedprice", ["l_quantity", "l_discount"], "year").select("term", F.round("coef", 2).alias("coef"), F.round("se", 2).alias("se"), "stars")
+
+
+@query("select o_orderpriority, o_orderstatus, round(avg(o_totalprice), 2) as mean, count(o_totalprice) as n from orders group by 1, 2")
+def t15_evaluation_means(spark, d):
+    return R.means(A.table(spark, d, "orders"), "o_totalprice", "o_orderpriority", "o_orderstatus").withColumn("mean", F.round("mean", 2))
+
+
+# pipelines and streaming
+
+
+@query(f"with {SENT}, t as (select year, unnest(string_split(sentence, ' ')) as token, occurrences from st), w as (select token, cast(sum(occurrences) as bigint) as total from t where year between 1920 and 1929 group by 1 having count(distinct year) = 10), b as (select * from w order by total desc, token limit 25) select token, total from b union all select 'absent', 0")
+def c6_w3_sentence_whitelist(spark, d):
+    return P.sentence_whitelist(P.ingest_sentences(A.documents(spark, d)), 25, 1, (1920, 1929), ["absent"])
+
+
+@query()
+def c6_filter_corpus(spark, d):
+    return P.filter_corpus(P.ingest_sentences(A.documents(spark, d), bin_size=10), P.FilterConfig(ascii_alpha_only=False), 200)
+
+
+@query()
+def c8_corpus_paths(spark, d):
+    return spark.createDataFrame(sorted(FI.corpus_paths("/data/coca", ["news", "fic"]).items()), "name string, path string")
+
+
+@query(f"with {NG} select year, ngram, occurrences, documents from ng")
+def s14_streaming_ingest(spark, d):
+    base = tempfile.mkdtemp(prefix="lexichron-")
+    lines = _lines(spark, d)
+    for part in range(2):
+        lines.where(F.pmod(F.hash("value"), F.lit(2)) == part).write.mode("append").text(base + "/in")
+        ingest.start(spark, base + "/in", base + "/out", base + "/state").awaitTermination()
+    return ingest.totals(spark, base + "/out")
+
+
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")
+def streaming_windowed_counts(spark, d):
+    return ingest.windowed_counts(A.table(spark, d, "events"), "ts", ["event_type"])
