@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot, normalized
@@ -39,28 +39,39 @@ def skip_gram(corpus: DataFrame, year: int, vector_size: int = 100, window: int
     return v.select(F.lit(model_id or f"w2v_y{year}").alias("model_id"), F.lit(year).alias("year"), "word", "vector", "count").to(VECTORS)
 
 
-def cbow(corpus: DataFrame, vector_size: int = 50, window: int = 5, min_count: int = 2, epochs: int = 5, negatives: int = 5, rate: float = 0.05, seed: int = 0, vocabulary: int = 200_000) -> DataFrame:
-    """Vectors of every year by continuous bag of words with negative sampling: one task a year, batches in numpy.
+def cbow(corpus: DataFrame, vector_size: int = 50, window: int = 5, min_count: int = 2, epochs: int = 5, negatives: int = 5, rate: float = 0.05, seed: int = 0) -> DataFrame:
+    """Vectors of every year by continuous bag of words with negative sampling: train_grid with one setting."""
+    tasks = corpus.select("year").distinct().withColumns({"model_id": F.format_string("cbow_y%d", "year"), **{k: F.lit(v) for k, v in (("vector_size", vector_size), ("window", window), ("min_count", min_count), ("epochs", epochs))}})
+    return train_grid(corpus, tasks, negatives, rate, seed)
 
-    A year's corpus goes to its task in Arrow batches; the task holds the vocabulary's two matrices (at most
-    vocabulary words) and the sentences as word numbers. For corpora beyond one task, use skip_gram.
+
+def model_name(year: Column, weight_by: Column, vector_size: Column, window: Column, min_count: Column, sg: Column, epochs: Column) -> Column:
+    return F.format_string("w2v_y%d_wb%s_vs%03d_w%03d_mc%03d_sg%d_e%03d", year, weight_by, vector_size, window, min_count, sg, epochs)
+
+
+def train_grid(corpus: DataFrame, tasks: DataFrame, negatives: int = 5, rate: float = 0.05, seed: int = 0, vocabulary: int = 200_000) -> DataFrame:
+    """A model for each task (model_id, year, vector_size, window, min_count, epochs), one group a task, in numpy.
+
+    Tasks are a list of settings and are broadcast; those already done are left out with untrained beforehand. A
+    year's corpus goes to the group in Arrow batches; it holds the vocabulary's two matrices (at most vocabulary
+    words) and the sentences as word numbers. For a corpus beyond one task's memory, use skip_gram.
     """
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sentences, counts, year = [], {}, None
+        sentences, counts, first = [], {}, None
         for f in frames:
-            year = int(f["year"].iloc[0])
+            first = f.iloc[0] if first is None else first
             for t, w in zip(f["tokens"], f["weight"]):
-                sentences += [list(t)] * int(w)
-        for s in sentences:
-            for t in s:
-                counts[t] = counts.get(t, 0) + 1
-        words = sorted((t for t, c in counts.items() if c >= min_count), key=lambda t: (-counts[t], t))[:vocabulary]
+                sentences.append((list(t), int(w)))
+                for x in t:
+                    counts[x] = counts.get(x, 0) + int(w)
+        year, size, window, epochs = int(first["year"]), int(first["vector_size"]), int(first["window"]), int(first["epochs"])
+        words = sorted((t for t, c in counts.items() if c >= int(first["min_count"])), key=lambda t: (-counts[t], t))[:vocabulary]
         at = {t: i for i, t in enumerate(words)}
-        coded = [c for c in (np.array([at[t] for t in s if t in at]) for s in sentences) if len(c) > 1]
-        rng = np.random.default_rng([seed, zlib.crc32(str(year).encode())])
-        u = (rng.random((len(words), vector_size)) - 0.5) / vector_size
-        v = np.zeros((len(words), vector_size))
+        coded = [c for s, w in sentences for c in [np.array([at[t] for t in s if t in at])] * w if len(c) > 1]
+        rng = np.random.default_rng([seed, zlib.crc32(str(first["model_id"]).encode())])
+        u = (rng.random((len(words), size)) - 0.5) / size
+        v = np.zeros((len(words), size))
         noise = np.array([counts[t] for t in words], float) ** 0.75
         noise = np.cumsum(noise / noise.sum()) if len(words) else noise
         for e in range(epochs):
@@ -81,9 +92,10 @@ def cbow(corpus: DataFrame, vector_size: int = 50, window: int = 5, min_count: i
                 back = mix.T @ np.einsum("nk,nkd->nd", g, v[target])
                 np.add.at(v, target, g[:, :, None] * h[:, None, :])
                 np.add.at(u, s, back)
-        yield pd.DataFrame({"model_id": [f"cbow_y{year}"] * len(words), "year": np.full(len(words), year or 0, np.int32), "word": words, "vector": list(u.astype(np.float32)), "count": np.array([counts[t] for t in words], dtype=np.int64)})
+        yield pd.DataFrame({"model_id": [first["model_id"]] * len(words), "year": np.full(len(words), year, np.int32), "word": words, "vector": list(u.astype(np.float32)), "count": np.array([counts[t] for t in words], dtype=np.int64)})
 
-    return corpus.select("year", "tokens", "weight").groupBy("year").applyInPandas(train, VECTORS)
+    own = corpus.select("year", "tokens", "weight").join(F.broadcast(tasks.select("model_id", "year", "vector_size", "window", "min_count", "epochs")), "year")
+    return own.groupBy("model_id").applyInPandas(train, VECTORS)
 
 
 def similarity_scores(vectors: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1022,6 +1022,14 @@ def e1_e2_cbow(spark, d):
     return M.cbow(c, vector_size=8, window=2, epochs=1).select("model_id", "year", "word", F.size("vector").alias("size"), "count")
 
 
+@query()
+def e2_c7_train_grid(spark, d):
+    g = M.grid(spark, [1997, 1998], vector_size=[4, 8], window=[2], min_count=[1], epochs=[1]).withColumn("model_id", M.model_name(F.col("year"), F.lit("freq"), F.col("vector_size"), F.col("window"), F.col("min_count"), F.lit(0), F.col("epochs")))
+    todo = M.untrained(g, spark.createDataFrame([("w2v_y1997_wbfreq_vs004_w002_mc001_sg0_e001",)], "model_id string"), ["model_id"])
+    c = P.training_corpus(A.ngram_counts(spark, d), "retain", "freq", 5)
+    return M.train_grid(c, todo).groupBy("model_id", "year", F.size("vector").alias("size")).agg(F.count("*").alias("words"))
+
+
 # series over models
 
 

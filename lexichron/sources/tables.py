@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import LONG
+from .scratch import write_table
 
 MARK = "__"
 
@@ -71,9 +72,10 @@ def tail(df: DataFrame, n: int, *keys: str) -> DataFrame:
 def numbered(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     """df with places from 0 in the order of keys, by range partitions and their sizes: no task gets all rows.
 
-    The sizes of the partitions come from a second pass over df, which should be a table.
+    The sorted run is written first: read twice, once for the sizes of its partitions, it must not be sampled twice.
     """
     run = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    run = write_table(run, "run")
     sizes = run.groupBy("_part").agg(F.count("*").alias("_size"))
     base = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return run.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
