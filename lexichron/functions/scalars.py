@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .tokens import UNK
 
 MODEL_NAME = r"^w2v_y(\d+)_wb([A-Za-z_]+)_vs(\d+)_w(\d+)_mc(\d+)_sg([01])_e(\d+)"
-SPECIAL = ("<UNK>", "<s>", "</s>", "<pad>", "<PAD>", "[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]")
+#: Marks that stand for no word: three in either case, and the ends of texts.
+SPECIAL = (*(f"<{x}>" for m in ("mask", "pad", "unk") for x in (m, m.upper())), *(f"<{x}>" for x in ("EOS", "BOS", "/S", "S")))
 
 
 def year_bin(year: Column, size: int) -> Column:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 UNK = "<UNK>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TAGS = ("NOUN", "VERB", "ADJ", "ADV", "PRON", "DET", "ADP", "NUM", "CONJ", "PRT", "X", ".")
+TAGS = tuple("ADJ ADP ADV CONJ DET NOUN NUM PRON PROPN VERB X .".split())
 _TAG = "|".join(t.replace(".", r"\.") for t in TAGS)
-UNIVERSAL = {"CONJ": "CCONJ", "PRT": "PART", ".": "PUNCT"}
-PUNCTUATION = r"""^[.!?,;:"'@\-]+$"""
+UNIVERSAL = {"CONJ": "CCONJ", ".": "PUNCT"}
+PUNCTUATION = r"""^[-@'":;,?!.]+$"""
 
 
 def ascii_lower(c: Column) -> Column:

@@ -13,4 +13,3 @@ METADATA = T.StructType(
 VECTORS = T.StructType(
     [T.StructField("model_id", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("count", T.LongType())]
 )
-EVALUATION = "model string, year int, weight_by string, vector_size int, window int, min_count int, approach string, epochs int, similarity_score double, analogy_score double"

@@ -66,7 +66,7 @@ def test_filter_ngrams(spark, ngram, cfg, want):
     assert [r.ngram for r in got] == ([] if want is None else [want])
 
 
-@pytest.mark.parametrize(("token", "word"), [("__NOUN", "_"), ("cat_VERB", "cat"), ("_NOUN", "_NOUN"), ("_NOUN_", "_NOUN_"), ("a_b_NUM", "a_b"), ("x_.", "x")])
+@pytest.mark.parametrize(("token", "word"), [("__NOUN", "_"), ("cat_VERB", "cat"), ("_NOUN", "_NOUN"), ("_NOUN_", "_NOUN_"), ("a_b_NUM", "a_b"), ("x_.", "x"), ("Paris_PROPN", "Paris"), ("up_PRT", "up_PRT")])
 def test_tags(spark, token, word):
     assert one(spark, token, K.word_part) == word
 
