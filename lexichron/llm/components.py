@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import write_table
+from .storage import tidied, write_table
 
 EDGES = "a long, b long"
 #: Forest edges that one task may hold (16 bytes each, about 100 bytes while it works).
@@ -85,9 +85,9 @@ def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFram
     Each task first reduces its edges to a forest. A forest of at most one_task edges is finished by one
     task; a larger one by alternating large and small stars, each round written to the shared folder.
     """
-    forest = write_table(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_forest, EDGES), "forest")
+    forest = write_table(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(tidied(_forest), EDGES), "forest")
     if forest.count() <= one_task:
-        return _with_roots(forest.repartition(1).mapInArrow(_whole, EDGES))
+        return _with_roots(forest.repartition(1).mapInArrow(tidied(_whole), EDGES))
     now, before = forest, None
     while True:
         now = write_table(_star(_star(now, True), False), "stars")

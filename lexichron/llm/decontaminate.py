@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded, tidied
 from .text import ALNUM, LOWER, buffer_of, hash_words, mix, slices, words_of
 
 #: Bytes of item texts in one automaton; more items are matched block by block.
@@ -229,14 +230,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes
     An empty benchmark matches nothing. Only blocks of at most block_bytes of items are held at once: documents
     go through one automaton after another without a shuffle.
     """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    out = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + f", {MATCHES}"
     empty = True
     for block in _blocks(benchmark, block_bytes):
-        out = out.mapInArrow(partial(_match, uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block), window), schema)
+        out = out.mapInArrow(tidied(partial(_match, uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block), window)), schema)
         empty = False
     if empty:
-        out = out.mapInArrow(partial(_match, uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast([]), window), schema)
+        out = out.mapInArrow(tidied(partial(_match, uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast([]), window)), schema)
     return out
 
 
@@ -279,6 +280,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     found = matches(docs, benchmark, window, block_bytes, ("lang", "source", "n_chars"))
     found = found.where((n_hit == 0) | (coverage * n_hit < F.col("n_words")))
-    out = found.mapInArrow(_remove, found.schema)
+    out = found.mapInArrow(tidied(_remove), found.schema)
     cut = F.size("spans") > 0
     return out.select("doc_id", "text", "lang", "source", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, roots
-from .storage import write_table
+from .storage import bounded, tidied, write_table
 
 #: A direction is one of WORDS codewords in each of BLOCKS parts of a rotated vector; a vector lies in the caps of its LIST nearest directions.
 BLOCKS, WORDS, LIST = 4, 16, 24
@@ -149,12 +149,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, cell: int = CELL) -
     with a chance above 0.999 (measured in the tests). A bucket of more than cell vectors is split into blocks,
     and every pair of blocks is compared by itself. A link counts only in the first cap that both ends share.
     """
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    x = bounded(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = x.withColumn("h", F.when(usable, F.xxhash64("embedding"))).withColumn("g", F.when(usable, F.xxhash64(F.reverse("embedding"), F.lit(7))))
     groups = rows.where("h is not null").groupBy("label", "h", "g").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    caps = groups.select("label", F.size("embedding").alias("dim"), "head", "copies", "embedding").mapInArrow(_decode, CAPS)
+    caps = groups.select("label", F.size("embedding").alias("dim"), "head", "copies", "embedding").mapInArrow(tidied(_decode), CAPS)
     caps = write_table(caps, "caps")
 
     big = caps.select("label", "dim", F.explode("caps").alias("cap")).groupBy("label", "dim", "cap").count().where(F.col("count") > cell)
@@ -163,7 +163,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, cell: int = CELL) -
     own = own.withColumn("block", F.expr("cast(pmod(xxhash64(head), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     own = own.select("label", "dim", "cap", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "head", "copies", "vector", "caps")
     cells = own.repartition("label", "dim", "cap", "i", "j").sortWithinPartitions("label", "dim", "cap", "i", "j")
-    found = write_table(cells.mapInArrow(partial(_verify, least), FOUND), "found")
+    found = write_table(cells.mapInArrow(tidied(partial(_verify, least)), FOUND), "found")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import write_table
+from .storage import bounded, tidied, write_table
 from .text import slices
 
 #: A comment, a declaration, or a tag with its attributes; an unfinished one at the end of a page is none of its text.
@@ -260,10 +260,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     subsequence are deleted; without another page on the host all its lines stay. Shared lines within an article
     are kept: they are text there. Null and empty html give an empty text. Rows with equal page_id are separate.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = write_table(own.mapInArrow(_parse, PARSED), "parsed")
+    own = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    parsed = write_table(own.mapInArrow(tidied(_parse), PARSED), "parsed")
     done = parsed.where("text is not null").select("page_id", "url", "text")
     left = parsed.where("text is null").select("page_id", "url", "lines")
     if not left.isEmpty():
-        done = done.union(_nearest(left).mapInArrow(_difference, "page_id long, url string, text string"))
+        done = done.union(_nearest(left).mapInArrow(tidied(_difference), "page_id long, url string, text string"))
     return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded, tidied
 from .text import ALNUM, LOWER, buffer_of, slices, words_of
 
 #: Phrases that are reported wherever they stand, whatever the rules find.
@@ -237,4 +238,4 @@ def licenses(docs: DataFrame) -> DataFrame:
     are counted wherever they stand; the rules add labels, the score is the greatest weight of what stands.
     Rows with equal doc_id are separate.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, SCAN)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(_scan), SCAN)

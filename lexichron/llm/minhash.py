@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import write_table
+from .storage import bounded, tidied, write_table
 from .text import NONSPACE, buffer_of, hash_words, mix, slices, words_of
 
 #: Slots of a signature, a prime: a step and an offset below it then walk each slot once.
@@ -166,7 +166,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per
     small = wanted.count() <= broadcast_rows
     met = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("head", "salt", "doc_id", "text")
     run = met.repartition("head", "salt").sortWithinPartitions("head", "salt", F.col("head") != F.col("doc_id"))
-    return run.mapInArrow(partial(_verify, width, percent), "a long, b long")
+    return run.mapInArrow(tidied(partial(_verify, width, percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, per_salt: int = 5_000, broadcast_rows: int = 500_000) -> DataFrame:
@@ -183,8 +183,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, per_salt
     its least document; then pairs that are still in different components, compatible in size and by their
     192 one-bit slots (five standard deviations), are compared: links that can change no component are spared.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = write_table(docs.mapInArrow(partial(_sketch, width), SKETCH), "sketch")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketch = write_table(docs.mapInArrow(tidied(partial(_sketch, width)), SKETCH), "sketch")
     full = sketch.where("n_shingles > 0")
     same = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), F.first(F.struct("bits", "bands")).alias("s"))
     same = write_table(same, "sets")

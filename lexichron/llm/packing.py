@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded, tidied
 from .text import ALNUM, buffer_of, hash_words, slices, words_of
 
 DIMS, BITS, BUCKETS = 4, 12, 1024
@@ -54,7 +55,7 @@ _PROJECT = np.random.default_rng(11).standard_normal((BUCKETS, DIMS)).astype(np.
 def curve_keys(text: pa.Array) -> pa.Array:
     """Hilbert key of each text: damped word counts in hashed buckets, scaled to length 1, projected to few dimensions."""
     out = []
-    for batch in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", 4 << 20):
+    for batch in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", 1 << 20):
         data, offsets = buffer_of(batch.column(0))
         starts, ends, first = words_of(data, offsets, ALNUM)
         n = batch.num_rows
@@ -75,7 +76,7 @@ class Ids(dict):
     a text before merging never joins what stands on both sides of a space that follows no other space.
     """
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, most: int = 400_000):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, most: int = 250_000):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
@@ -186,6 +187,6 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, length:
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.arrow_udf(curve_keys, "long")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("curve", key("text"))
+    keyed = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("curve", key("text"))
     run = keyed.repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").select("doc_id", "text")
-    return run.mapInArrow(partial(_pack, (json_path, ranks_path, pattern), length), PIECES)
+    return run.mapInArrow(tidied(partial(_pack, (json_path, ranks_path, pattern), length)), PIECES)

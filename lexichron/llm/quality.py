@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded, tidied
 from .text import NONSPACE, buffer_of, hash_words, slices, words_of
 from .training import fit, labelled, remainder
 
@@ -83,7 +84,8 @@ class Neighbours:
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.y = y.astype(np.float32)
         self.mean = x.mean(axis=0) if len(x) else np.zeros(RAW + KIND + FORM, np.float32)
-        z = x - self.mean
+        z = x
+        z -= self.mean  # x is no longer needed as it was
         if len(x):
             rng = np.random.default_rng(3)
             basis = z.T @ (z @ rng.standard_normal((z.shape[1], LATENT + 16)).astype(np.float32))
@@ -94,10 +96,11 @@ class Neighbours:
             self.axes = (q @ vt.T)[:, :LATENT].astype(np.float32)
         else:
             self.axes = np.zeros((len(self.mean), 1), np.float32)
-        self.points = self.project(x)
+        z += self.mean
+        self.points = self.project(z)
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) @ self.axes
+        z = x @ self.axes - self.mean @ self.axes
         return z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-9)
 
     def vote(self, x: np.ndarray, block: int = 1024) -> np.ndarray:
@@ -119,12 +122,19 @@ def train(batches: Iterator[pa.RecordBatch]) -> Neighbours:
         for batch in slices(whole, "text"):
             x.append(features(*buffer_of(batch.column("text"))))
             y.append(batch.column("label").to_numpy(zero_copy_only=False))
-    return Neighbours(np.concatenate(x) if x else np.zeros((0, RAW + KIND + FORM), np.float32), np.concatenate(y) if y else np.zeros(0))
+    # one array is filled from the parts, each given up at once
+    whole_x = np.empty((sum(map(len, x)), RAW + KIND + FORM), np.float32)
+    at = 0
+    while x:
+        part = x.pop(0)
+        whole_x[at : at + len(part)] = part
+        at += len(part)
+    return Neighbours(whole_x if at else np.zeros((0, RAW + KIND + FORM), np.float32), np.concatenate(y) if y else np.zeros(0))
 
 
 def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text", 4 << 20):
+        for batch in slices(whole, "text", 1 << 20):
             score = pa.array(model.value.vote(features(*buffer_of(batch.column("text")))))
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
 
@@ -137,10 +147,10 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFra
     broadcast. Null and empty texts have zero counts and are voted on like others. Without labels every score
     is 1, so that nothing is rejected for want of evidence.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit(labelled(plain, labels, "quality", remainder(3) != 1, {0: per_class, 1: per_class}), train, F.col("doc_id"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(partial(_score, docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return docs.mapInArrow(tidied(partial(_score, docs.sparkSession.sparkContext.broadcast(model))), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:

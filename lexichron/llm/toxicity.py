@@ -15,6 +15,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded, tidied
 from .training import fit, labelled, logistic, remainder
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -163,9 +164,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, toxic_docs: int = 2000, ordinar
     no window and get the score of a sum of 0. Without labels of both classes all scores are near 0 (or 1, where
     only label 1 occurs).
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = labelled(docs, labels, "toxic", remainder(5) != 0, {1: toxic_docs, 0: ordinary_docs})
     half = (F.xxhash64("doc_id", F.lit(9)) % 2 == 0).cast("int")
     model = fit(sample.select("doc_id", half.alias("half"), "label", "text"), train, F.col("half"), F.col("doc_id"))
-    scored = docs.mapInArrow(partial(_score, docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
+    scored = docs.mapInArrow(tidied(partial(_score, docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, score double")
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

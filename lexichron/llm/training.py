@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import tidied
+
 
 def remainder(divisor: int) -> Column:
     """crc32(doc_id as text) mod divisor."""
@@ -34,7 +36,7 @@ def fit(sample: DataFrame, train: Callable[[Iterator[pa.RecordBatch]], Any], *or
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(batches))], pa.binary())], names=["model"])
 
     one = sample.repartition(1).sortWithinPartitions(*order) if order else sample.repartition(1)
-    found = one.mapInArrow(run, "model binary").first()
+    found = one.mapInArrow(tidied(run), "model binary").first()
     # a plan known to be empty runs no task
     return train(iter(())) if found is None else pickle.loads(found[0])
 

@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path, write_table
+from .storage import bounded, new_path, tidied, write_table
 
 CHUNK = 1 << 20
 #: Bytes after which a task begins another archive.
@@ -103,7 +103,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1, chunk: int = C
     Archives hold about archive bytes. A task that is run again writes new names, and only archives that its
     last run reports are listed.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("html"))
+    pages = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("html"))
     pages = pages.withColumn("size", F.octet_length("html").cast("long"))
     ids = write_table(pages.select("page_id", "size", F.sha2("html", 256).alias("digest")), "digests")
     long = ids.where(F.col("size") >= least)
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1, chunk: int = C
     rows = rows.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1L)")))
     payload = F.when(revisit, F.lit(b"")).when(F.col("chunks") == 1, F.col("html")).otherwise(F.expr(f"substring(html, cast(chunk * {chunk} + 1 as int), {chunk})"))
     rows = rows.select("page_id", "url", "digest", "size", "refers_to", "chunks", "chunk", payload.alias("payload"))
-    return write_table(rows.mapInArrow(partial(_write, folder, level, archive), ARCHIVES), "archives")
+    return write_table(rows.mapInArrow(tidied(partial(_write, folder, level, archive)), ARCHIVES), "archives")
 
 
 class _Bytes:
@@ -211,7 +211,7 @@ def read_archives(archives: DataFrame, block: int = CHUNK, payloads: bool = True
     """
     n = max(1, min(archives.count(), 100_000))
     paths = archives.select("path").repartition(n, "path")
-    return paths.mapInArrow(partial(_read, block, payloads), CHUNKS)
+    return paths.mapInArrow(tidied(partial(_read, block, payloads)), CHUNKS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 100) -> DataFrame:
