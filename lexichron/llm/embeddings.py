@@ -137,7 +137,7 @@ def _verify(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield out
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, cell: int = CELL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, cell: int = CELL, broadcast_rows: int = 200_000) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id long, embedding array of numbers, label int).
 
     Vectors of equal label and length link when their cosine in double precision is at least least. Rows with
@@ -147,7 +147,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, cell: int = CELL) -
 
     Equal vectors are folded first. Two vectors at cosine 0.98 share one of the 24 nearest of 65,536 directions
     with a chance above 0.999 (measured in the tests). A bucket of more than cell vectors is split into blocks,
-    and every pair of blocks is compared by itself. A link counts only in the first cap that both ends share.
+    and every pair of blocks is compared by itself; the list of such buckets is broadcast if it has at most
+    broadcast_rows rows, else joined. A link counts only in the first cap that both ends share.
     """
     x = bounded(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -158,7 +159,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, cell: int = CELL) -
     caps = write_table(caps, "caps")
 
     big = caps.select("label", "dim", F.explode("caps").alias("cap")).groupBy("label", "dim", "cap").count().where(F.col("count") > cell)
-    big = big.select("label", "dim", "cap", F.ceil(F.col("count") / cell).cast("int").alias("blocks"))
+    big = write_table(big.select("label", "dim", "cap", F.ceil(F.col("count") / cell).cast("int").alias("blocks")), "buckets")
+    big = F.broadcast(big) if big.count() <= broadcast_rows else big
     own = caps.withColumn("cap", F.explode("caps")).join(big, ["label", "dim", "cap"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = own.withColumn("block", F.expr("cast(pmod(xxhash64(head), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     own = own.select("label", "dim", "cap", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "head", "copies", "vector", "caps")
