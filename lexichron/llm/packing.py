@@ -16,6 +16,8 @@ from .storage import bounded, tidied
 from .text import ALNUM, buffer_of, hash_words, slices, words_of
 
 DIMS, BITS, BUCKETS = 4, 12, 1024
+#: Estimated input bytes for which a range partition is added beyond spark.sql.shuffle.partitions, and how many there may be.
+PARTITION, MOST_PARTITIONS = 128 << 20, 500_000
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -185,7 +187,8 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, length:
     sequences. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PARTITION + 1, MOST_PARTITIONS))
     key = F.arrow_udf(curve_keys, "long")
     keyed = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("curve", key("text"))
     run = keyed.repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").select("doc_id", "text")
