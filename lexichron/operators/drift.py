@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import half_width
 from ..functions.vectors import cosine, dot, minus, norm
 from .series import residuals
-from .vectors import loadings, mean_cosine_to_all, mean_dimension, mean_vectors, neighbours, pca_dimensions, previous_model, principal, project, restrict, shared_words, similarity, weat, weat_permutations, word_pairs
-
-__all__ = ["loadings", "neighbours", "shared_words"]
+from .vectors import mean_cosine_to_all, mean_dimension, mean_vectors, pca_dimensions, previous_model, principal, project, restrict, similarity, weat, weat_permutations, word_pairs
 
 
 def local_change(vectors: DataFrame, word: str | None = None, confidence: float | None = None, covariate: DataFrame | None = None) -> DataFrame:

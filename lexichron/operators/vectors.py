@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SPECIAL
-from ..functions.vectors import cosine, dot, minus, norm, normalized, scaled
+from ..functions.vectors import cosine, dot, minus, norm, normalized
+from ..sources.scratch import write_table
 
 
 def normalize(vectors: DataFrame) -> DataFrame:
@@ -236,28 +237,31 @@ def frequency_stability(vectors: DataFrame) -> DataFrame:
     return s.select("word", F.when((F.col("n") < 2) | (F.col("m") == 0), 0.0).otherwise(1 / (1 + F.col("d") / F.col("m"))).alias("frequency"), F.log1p("m").alias("log_count"))
 
 
-def _unit_range(df: DataFrame, c: str) -> DataFrame:
-    b = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
-    return df.crossJoin(F.broadcast(b)).withColumn(c, F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise((F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).drop("_lo", "_hi")
+def _unit_range(df: DataFrame, *columns: str) -> DataFrame:
+    """columns moved to 0 to 1 by their extremes, found in one pass; a constant one becomes 1."""
+    b = df.agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
+    out = df.crossJoin(F.broadcast(b))
+    one = lambda c: F.when(F.col(f"_hi_{c}") == F.col(f"_lo_{c}"), 1.0).otherwise((F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")))
+    return out.withColumns({c: one(c) for c in columns}).drop(*b.columns)
 
 
 def stability_weights(vectors: DataFrame, method: str = "combined", alpha: float | None = 0.3) -> DataFrame:
-    """word, weight: a measure of stability within 0 to 1, and the share alpha of the same of the mean log count."""
+    """word, weight: a measure of stability within 0 to 1, and the share alpha of the same of the mean log count.
+
+    The measures, one row a word, are written once: their extremes and what follows read the files.
+    """
     f = frequency_stability(vectors)
     s = {"local": local_stability, "global": global_stability, "frequency": frequency_stability}
     if method == "combined":
-        m = f.join(local_stability(vectors), "word").join(global_stability(vectors), "word")
-        for c in ("local", "global", "frequency"):
-            m = _unit_range(m, c)
+        m = _unit_range(write_table(f.join(local_stability(vectors), "word").join(global_stability(vectors), "word"), "measures"), "local", "global", "frequency")
         m = m.withColumn("stability", (F.col("local") + F.col("global") + F.col("frequency")) / 3)
     elif method in s:
-        m = f.select("word", "log_count").join(s[method](vectors).select("word", F.col(method).alias("stability")), "word")
+        m = write_table(f.select("word", "log_count").join(s[method](vectors).select("word", F.col(method).alias("stability")), "word"), "measures")
     else:
         raise ValueError(f"unknown method {method!r}")
-    m = _unit_range(m, "stability")
     if alpha is None:
-        return m.select("word", F.col("stability").alias("weight"))
-    m = _unit_range(m, "log_count")
+        return _unit_range(m, "stability").select("word", F.col("stability").alias("weight"))
+    m = _unit_range(m, "stability", "log_count")
     return m.select("word", ((1 - alpha) * F.col("stability") + alpha * F.col("log_count")).alias("weight"))
 
 
@@ -348,6 +352,3 @@ def rotation_check(rotation: DataFrame, tolerance: float = 1e-4) -> DataFrame:
         return pd.DataFrame({"year": [pdf["year"].iloc[0]], "distance": [far], "aligned": [far <= tolerance], "state": ["aligned" if far < 1e-4 else "nearly aligned" if far < 1e-2 else "not aligned"]})
 
     return rotation.groupBy("year").applyInPandas(one, "year int, distance double, aligned boolean, state string")
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["scaled"]
