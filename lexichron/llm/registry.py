@@ -43,6 +43,31 @@ from doc left join pos using (doc_id) left join found using (doc_id)
 """
 
 
+OP3_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+link as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a),
+root as (select a as vec_id, min(b) as component_id from reach group by 1),
+many as (select a as vec_id, count(*) as n from link group by 1)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, component_id = vec_id as kept from root left join many using (vec_id)
+"""
+
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+),
+s as (select doc_id, unnest(case when len(w) >= 3 then list_distinct([w[i:i + 2] for i in range(1, len(w) - 1)]) when len(w) > 0 then [w] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join link l on r.b = l.a),
+root as (select a as doc_id, min(b) as component_id from reach group by 1)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, component_id = doc_id as kept from root left join n using (doc_id)
+"""
+
 OP5_SQL = """
 with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
 f as (select d, n, min(page_id) as first from p where n >= 100 group by d, n)
@@ -104,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op5_warc": OP5_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op8_minhash_near_dedup": OP8_SQL}
