@@ -13,11 +13,15 @@ from lexichron.operators import drift as D
 from lexichron.operators import regression as R
 from lexichron.operators import series as T
 from lexichron.operators import vectors as E
+from lexichron.plans import adapters as A
 from lexichron.plans import pipelines as P
+from lexichron.queries import QUERIES
 from lexichron.sources import files as FI
 from lexichron.sources import metadata as ME
 from lexichron.sources import tables as TB
 
+from .conftest import SF
+
 
 def one(spark, value, expr, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(expr(F.col("v")).alias("x")).first()[0]
@@ -232,6 +236,11 @@ def test_drift_of_a_fixed_model_is_nothing(spark):
     assert r.year == 2004 and abs(r.change) < 1e-12 and r.shared == 12
 
 
+def test_cbow_query_trains_every_year(spark):
+    years = {r.year for r in A.ngram_counts(spark, SF).select("year").distinct().collect()}
+    assert len(years) > 2 and {r.year for r in QUERIES["e1_e2_cbow"](spark, SF).select("year").distinct().collect()} == years
+
+
 def test_regression_against_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((80, 2))
