@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -19,6 +20,9 @@ DIMS, BITS, BUCKETS = 4, 12, 1024
 #: Estimated input bytes for which a range partition is added beyond spark.sql.shuffle.partitions, and how many there may be.
 PARTITION, MOST_PARTITIONS = 128 << 20, 500_000
 SPECIAL = "<|endoftext|>"
+#: A space behind what is no white space, and what other spaces are behind.
+_CUT = re.compile(r" (?<=\S )")
+_BEHIND = [" ", *(c for c in map(chr, range(0x3001)) if c != " " and c.isspace())]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -74,8 +78,8 @@ def curve_keys(text: pa.Array) -> pa.Array:
 class Ids(dict):
     """Ids of a text as little-endian unsigned 32-bit numbers, by the byte-level merges of a tokenizers file.
 
-    Pieces between single spaces are looked up here and merged only when they are new: the pattern that cuts
-    a text before merging never joins what stands on both sides of a space that follows no other space.
+    Pieces that begin with a space behind no white space of any kind are looked up here and merged only when they
+    are new: the pattern that cuts a text before merging always cuts there, and looks no further back.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str, most: int = 250_000):
@@ -99,9 +103,7 @@ class Ids(dict):
         return ids
 
     def ordinary(self, text: str) -> bytes:
-        if "  " in text:
-            return self.merge(text)
-        head, *rest = text.split(" ")
+        head, *rest = _CUT.split(text) if any(c + " " in text for c in _BEHIND) else text.split(" ")
         return self.merge(head) + b"".join(map(self.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:

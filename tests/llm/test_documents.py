@@ -150,6 +150,18 @@ def test_ids_of_hard_texts(tokenizer):
         assert np.frombuffer(ids.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_of_texts_with_all_white_space(tokenizer):
+    import public_tokenizers as files
+
+    ids = PK.Ids(files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN, most=50)
+    rng = np.random.default_rng(2)
+    space = [" ", " ", " ", "\u00a0", "\u3000", "\u2028", "\x85", "\x1c", "\n", "\t", "\r"]
+    texts = ["a \u00a0 \u00a0 b", " \u00a0 ", "a \n \n b", "\u3000 \u3000a"]
+    texts += ["".join(rng.choice([*space, "a", "the", "12", ".", "'s", "\u00e9"], int(rng.integers(0, 14)))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(ids.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_curve_steps_to_neighbours(dims, bits):
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)
