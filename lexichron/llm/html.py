@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import bounded, tidied, write_table
@@ -215,33 +215,54 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))], names=["page_id", "url", "text", "lines"])
 
 
+def _all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of pages with an article, all blocks of theirs."""
+    for whole in batches:
+        for batch in slices(whole, "html"):
+            lines = []
+            for page in batch.column("html"):
+                found = blocks(page.as_py() or "")
+                lines.append([t for _, t in found] if any(k == MAIN for k, _ in found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(lines, pa.list_(pa.string()))], names=["page_id", "url", "lines"])
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for own, other in zip(batch.column("lines").to_pylist(), batch.column("other").to_pylist()):
             gone = common(own, other) if other else set()
-            # pages that are the same tell nothing
+            # a page whose lines all stand on the other tells nothing
             texts.append("\n".join(own if len(gone) == len(own) else [s for i, s in enumerate(own) if i not in gone]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def _nearest(pages: DataFrame) -> DataFrame:
-    """Each page with other: the lines of whichever page before or after it, by path on its host, shares the longer start of the path.
+def _host() -> Column:
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
+
+
+def _nearest(pages: DataFrame, partners: DataFrame | None = None) -> DataFrame:
+    """Each page with other: the lines of whichever page or partner with other lines before or after it, by path on its host, shares the longer start of the path.
 
-    Pages get consecutive numbers over range partitions, so a host of any size is spread, and neighbours meet
-    by joins on those numbers.
+    Pages are sorted into range partitions, so a host of any size is spread. Neighbours with the same lines form
+    one run; runs get consecutive numbers, and what lies beside a run is found by joins on those numbers.
     """
-    url = F.coalesce("url", F.lit(""))
-    keyed = pages.withColumn("host", F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))).withColumn("path", F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^#]*)", 1))
+    rows = pages.select("page_id", "url", "lines", F.lit(True).alias("own"))
+    if partners is not None:
+        rows = rows.union(partners.select("page_id", "url", "lines", F.lit(False)))
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^#]*)", 1)
+    keyed = rows.withColumn("host", _host()).withColumn("path", path).withColumn("key", F.struct("host", F.sha2(F.array_join("lines", "\n"), 256).alias("digest")))
     run = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
     run = write_table(run.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "lines")
-    sizes = run.groupBy("part").agg(F.max("at").alias("most"))
-    before = sizes.select("part", F.coalesce(F.sum(F.col("most") + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    run = run.join(F.broadcast(before), "part").withColumn("n", F.col("base") + F.col("at")).drop("part", "at", "base", "most")
-    side = run.select(F.col("n").alias("m"), F.col("host").alias("h"), F.col("path").alias("p"), F.col("lines").alias("l"))
-    out = run
-    for step, name in ((-1, "prev"), (1, "next")):
-        s = side.select((F.col("m") - step).alias("n"), F.struct("h", "p", "l").alias(name))
+    within, parts = Window.partitionBy("part").orderBy("at"), Window.orderBy("part")
+    edge = run.groupBy("part").agg(F.max_by("key", "at").alias("tail")).select("part", F.lag("tail").over(parts).alias("tail"))
+    begun = run.join(F.broadcast(edge), "part").withColumn("begins", (~F.coalesce(F.lag("key").over(within), F.col("tail")).eqNullSafe(F.col("key"))).cast("long"))
+    before = begun.groupBy("part").agg(F.sum("begins").alias("begins")).select("part", F.coalesce(F.sum("begins").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    run = begun.join(F.broadcast(before), "part").withColumn("n", F.col("base") + F.sum("begins").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    # all pages of a run have its lines, and its paths are in order
+    side = run.groupBy(F.col("n").alias("m")).agg(F.any_value("host").alias("h"), F.min("path").alias("first"), F.max("path").alias("last"), F.any_value("lines").alias("l"))
+    out = run.where("own")
+    for step, name, p in ((-1, "prev", "last"), (1, "next", "first")):
+        s = side.select((F.col("m") - step).alias("n"), F.struct("h", F.col(p).alias("p"), "l").alias(name))
         out = out.join(s, "n", "left").withColumn(name, F.when(F.col(f"{name}.h") == F.col("host"), F.col(name)))
 
     def start(name: str):
@@ -256,14 +277,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     Dropped: script, style and other elements without prose, head, navigation, headers, footers, asides, forms,
     hidden elements, and those whose class, id or role names an advert, notice, menu, sidebar, comments and the
     like. What stands within article, main or an element so named is the text. A page without any such element is
-    aligned with the page of its host that is nearest by URL path, line by line, and lines on the longest common
-    subsequence are deleted; without another page on the host all its lines stay. Shared lines within an article
-    are kept: they are text there. Null and empty html give an empty text. Rows with equal page_id are separate.
+    aligned with the page of its host that is nearest by URL path, of those with other lines, with or without such
+    an element, line by line, and lines on the longest common subsequence are deleted; without such a page on the
+    host all its lines stay. Shared lines within an article are kept: they are text there. Null and empty html give an empty text. Rows with equal page_id are separate.
     """
     own = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = write_table(own.mapInArrow(tidied(_parse), PARSED), "parsed")
     done = parsed.where("text is not null").select("page_id", "url", "text")
     left = parsed.where("text is null").select("page_id", "url", "lines")
     if not left.isEmpty():
-        done = done.union(_nearest(left).mapInArrow(tidied(_difference), "page_id long, url string, text string"))
+        hosts = left.select(_host().alias("host")).distinct()
+        partners = own.withColumn("host", _host()).join(hosts, "host", "left_semi").select("page_id", "url", "html")
+        partners = partners.mapInArrow(tidied(_all_lines), "page_id long, url string, lines array<string>").where("lines is not null")
+        done = done.union(_nearest(left, partners).mapInArrow(tidied(_difference), "page_id long, url string, text string"))
     return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -200,6 +200,18 @@ def test_neighbour_is_the_one_with_the_longer_common_path(spark):
     assert got[2] == ["t", "3"] and got[3] == ["t", "2"] and got[1] == ["t", "2"]
 
 
+def test_partners_have_an_article_or_other_lines(spark):
+    frame = "<div>Site name</div><div>Menu</div>{}<div>Contact us</div>"
+    rows = [(1, "http://a.example/x/1", frame.format("<p>one</p>")), (2, "http://a.example/x/2", frame.format("<article><p>two</p></article>"))]
+    rows += [(10 + i, f"http://b.example/x/{i}", frame.format("<p>copied</p>")) for i in range(5)] + [(20, "http://b.example/y", frame.format("<p>other</p>"))]
+    rows += [(30, "http://c.example/x/1", frame.format("<p>three</p>")), (31, "http://d.example/x/1", frame.format("<article>four</article>"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {1: "one", 2: "two", **{10 + i: "copied" for i in range(5)}, 20: "other", 30: "Site name\nMenu\nthree\nContact us", 31: "four"}
+    for parts in (1, 7):
+        got = HT.main_text(pages.repartition(parts)).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_longest_common_subsequence(seed):
     rng = np.random.default_rng(seed)
