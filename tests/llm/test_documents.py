@@ -10,14 +10,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexichron.llm import decontaminate as DC
-from lexichron.llm import licenses as LI
-from lexichron.llm import minhash as MH
-from lexichron.llm import packing as PK
-from lexichron.llm import quality as QU
-from lexichron.llm import secrets as SE
-from lexichron.llm import toxicity as TX
-from lexichron.llm.components import connected_components
+from yearloom.llm import decontaminate as DC
+from yearloom.llm import licenses as LI
+from yearloom.llm import minhash as MH
+from yearloom.llm import packing as PK
+from yearloom.llm import quality as QU
+from yearloom.llm import secrets as SE
+from yearloom.llm import toxicity as TX
+from yearloom.llm.components import connected_components
 
 from ..conftest import SF
 from .common import ALNUM, SOLID, empty, union_find, with_edges, words
@@ -475,7 +475,7 @@ def test_every_license_rule_can_match_behind_its_gate():
 
 
 def test_words_are_those_of_the_pattern():
-    from lexichron.llm import text as TE
+    from yearloom.llm import text as TE
 
     rng = np.random.default_rng(8)
     texts = ["".join(rng.choice(list("az09 .,\n\té日\x00_'"), int(rng.integers(0, 30)))) for _ in range(400)]
@@ -492,7 +492,7 @@ def test_words_are_those_of_the_pattern():
 
 
 def test_hash_of_words_longer_than_a_block(monkeypatch):
-    from lexichron.llm import text as TE
+    from yearloom.llm import text as TE
 
     text = b"a" * 50 + b" " + b"b" * 50 + b" " + b"a" * 50 + b" x"
     data = np.frombuffer(text, np.uint8)
@@ -503,7 +503,7 @@ def test_hash_of_words_longer_than_a_block(monkeypatch):
 
 
 def test_schema_json_is_stable(spark):
-    from lexichron.llm import registry
+    from yearloom.llm import registry
 
     got = {n: json.loads(f(spark, SF).schema.json())["fields"][0]["name"] for n, f in registry.queries().items() if n.startswith(("op1_", "op7_", "op10_"))}
     assert set(got.values()) == {"doc_id"}

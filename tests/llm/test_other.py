@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexichron.llm import embeddings as EM
-from lexichron.llm import html as HT
-from lexichron.llm import warc as WA
-from lexichron.llm.components import roots
-from lexichron.llm.storage import new_path
+from yearloom.llm import embeddings as EM
+from yearloom.llm import html as HT
+from yearloom.llm import warc as WA
+from yearloom.llm.components import roots
+from yearloom.llm.storage import new_path
 
 from ..conftest import SF
 from .common import empty, union_find
