@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexichron.llm.decontaminate import decontaminate
-from lexichron.llm.minhash import near_duplicates
-from lexichron.llm.packing import pack
-from lexichron.llm.quality import accepted
-from lexichron.llm.secrets import redacted
-from lexichron.llm.storage import write_table
+from yearloom.llm.decontaminate import decontaminate
+from yearloom.llm.minhash import near_duplicates
+from yearloom.llm.packing import pack
+from yearloom.llm.quality import accepted
+from yearloom.llm.secrets import redacted
+from yearloom.llm.storage import write_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

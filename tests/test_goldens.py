@@ -6,19 +6,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexichron.functions import scalars as S
-from lexichron.functions import tokens as K
-from lexichron.operators import counts as C
-from lexichron.operators import drift as D
-from lexichron.operators import regression as R
-from lexichron.operators import series as T
-from lexichron.operators import vectors as E
-from lexichron.plans import adapters as A
-from lexichron.plans import pipelines as P
-from lexichron.queries import QUERIES
-from lexichron.sources import files as FI
-from lexichron.sources import metadata as ME
-from lexichron.sources import tables as TB
+from yearloom.functions import scalars as S
+from yearloom.functions import tokens as K
+from yearloom.operators import counts as C
+from yearloom.operators import drift as D
+from yearloom.operators import regression as R
+from yearloom.operators import series as T
+from yearloom.operators import vectors as E
+from yearloom.plans import adapters as A
+from yearloom.plans import pipelines as P
+from yearloom.queries import QUERIES
+from yearloom.sources import files as FI
+from yearloom.sources import metadata as ME
+from yearloom.sources import tables as TB
 
 from .conftest import SF
 
@@ -276,7 +276,7 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
 
     from .conftest import ROOT
 
-    shutil.copytree(ROOT / "lexichron", tmp_path / "lexichron", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "yearloom", tmp_path / "yearloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship_whitelist' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q if k[2:3].isdigit()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})

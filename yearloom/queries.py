@@ -90,7 +90,7 @@ def flagship_whitelist(spark, d):
 
 @query(f"with {NG} select ngram, year, occurrences, documents from ng")
 def s1_s2_k1_store_round_trip(spark, d):
-    path = tempfile.mkdtemp(prefix="lexichron-") + "/long"
+    path = tempfile.mkdtemp(prefix="yearloom-") + "/long"
     TB.write_long(A.ngram_counts(spark, d), path)
     return TB.read_long(spark, path).select("ngram", "year", "occurrences", "documents")
 
@@ -139,7 +139,7 @@ def s10_file_listing(spark, d):
 
 @query(f"with {NG} select year, ngram, occurrences, documents from ng")
 def s12_k11_gzip_lines(spark, d):
-    path = tempfile.mkdtemp(prefix="lexichron-") + "/lines"
+    path = tempfile.mkdtemp(prefix="yearloom-") + "/lines"
     _lines(spark, d).write.option("compression", "gzip").text(path)
     return P.read_ngrams(spark, path)
 
@@ -168,7 +168,7 @@ def s15_shuffled_files(spark, d):
 
 @query(f"with {_NAMES} select distinct file from files")
 def s16_processed_marks(spark, d):
-    base = tempfile.mkdtemp(prefix="lexichron-")
+    base = tempfile.mkdtemp(prefix="yearloom-")
     f = _files(spark, d)
     for _ in range(2):
         SK.append_batch(f, base + "/data", f, base + "/marks")
@@ -180,7 +180,7 @@ def s17_s18_zip_reader(spark, d):
     import os
     import zipfile
 
-    folder = tempfile.mkdtemp(prefix="lexichron-")
+    folder = tempfile.mkdtemp(prefix="yearloom-")
     rows = A.table(spark, d, "documents").where("doc_id < 40").select("doc_id", "text").collect()
     for part in range(2):
         with zipfile.ZipFile(os.path.join(folder, f"text_19{part}0s_x.zip"), "w") as z:
@@ -255,7 +255,7 @@ def s30_metadata_lookup(spark, d):
 
 @query(f"with {NG} select year, count(*) as unique_ngrams, cast(sum(occurrences) as bigint) as total_freq, cast(sum(case when documents > 2 then documents else 0 end) as bigint) as total_docs from ng group by year")
 def s31_k14_a11_t12_corpus_stats(spark, d):
-    base = tempfile.mkdtemp(prefix="lexichron-")
+    base = tempfile.mkdtemp(prefix="yearloom-")
     n = A.ngram_counts(spark, d).select("year", F.col("occurrences").alias("freq"), F.when(F.col("documents") > 2, F.col("documents")).alias("doc"))
     for y in [r[0] for r in n.select("year").distinct().collect()]:
         _single_json(n.where(F.col("year") == y).select("freq", "doc"), base, y)
@@ -275,7 +275,7 @@ _WL = f"with {NG}, w as (select ngram as token, cast(sum(occurrences) as bigint)
 
 @query(_WL + " select token, total from (select * from w order by total desc, token limit 50) where total >= 1500")
 def s32_k10_whitelist_file(spark, d):
-    path = tempfile.mkdtemp(prefix="lexichron-") + "/whitelist"
+    path = tempfile.mkdtemp(prefix="yearloom-") + "/whitelist"
     SK.write_whitelist(P.ngram_whitelist(A.ngram_counts(spark, d)), path)
     return FI.read_whitelist(spark, path, 50, 1500)
 
@@ -325,7 +325,7 @@ def k3_k4_a9_p18_p19_p20_sentences(spark, d):
 
 @query(f"with {NG} select year, ngram, occurrences from ng")
 def k5_k6_k7_k8_sorted_partitions(spark, d):
-    base = tempfile.mkdtemp(prefix="lexichron-")
+    base = tempfile.mkdtemp(prefix="yearloom-")
     TB.write_long(A.ngram_counts(spark, d), base + "/a")
     SK.compact(TB.read_long(spark, base + "/a"), base + "/b", 2)
     return spark.read.parquet(base + "/b").select("year", "ngram", "occurrences")
@@ -339,14 +339,14 @@ def k11_p26_corpus_lines(spark, d):
 
 @query(f"with {MO} select year, word, cnt as count from m")
 def k12_save_vectors(spark, d):
-    path = tempfile.mkdtemp(prefix="lexichron-") + "/v"
+    path = tempfile.mkdtemp(prefix="yearloom-") + "/v"
     SK.write_vectors(A.models(spark, d), path)
     return spark.read.parquet(path).select("year", "word", "count")
 
 
 @query("select n_name, cast(count(*) * 2 as bigint) as n from nation group by 1")
 def k13_results_append(spark, d):
-    path = tempfile.mkdtemp(prefix="lexichron-") + "/r"
+    path = tempfile.mkdtemp(prefix="yearloom-") + "/r"
     n = A.table(spark, d, "nation").select("n_name")
     SK.write_results(n, path, False)
     SK.write_results(n, path)
@@ -1139,7 +1139,7 @@ def c8_corpus_paths(spark, d):
 
 @query(f"with {NG} select year, ngram, occurrences, documents from ng")
 def s14_streaming_ingest(spark, d):
-    base = tempfile.mkdtemp(prefix="lexichron-")
+    base = tempfile.mkdtemp(prefix="yearloom-")
     lines = _lines(spark, d)
     for part in range(2):
         lines.where(F.pmod(F.hash("value"), F.lit(2)) == part).write.mode("append").text(base + "/in")

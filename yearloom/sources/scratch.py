@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexichron-")
+        base = "file://" + tempfile.mkdtemp(prefix="yearloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
