@@ -2,171 +2,220 @@
 
 from __future__ import annotations
 
-import math
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded, tidied
-from .training import fit, labelled, logistic, remainder
-
-WORD = re.compile(r"[^\W\d_]+")
-#: Words in a window, letters by which words are told apart at their start, bins of length differences.
-WINDOW, LETTERS, LEAST, MOST = 12, (4, 13), -3, 16
-#: Stands at both ends of a window: it matches the end of both dictionaries, so that no window is stored as it is.
-ENDS = bytes([4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24])
-
-
-class Onsets(dict):
-    """Words written for the compressor: a blank, then two bytes of a running checksum for each byte of UTF-8.
-
-    The same letters give the same bytes only after the same beginning, so a match is a common start of words.
-    """
-
-    def __init__(self, most: int = 300_000):
-        self.most = most
-
-    def __missing__(self, word: str) -> bytes:
-        out, at = [b" "], 0
-        for c in word.encode()[:14]:
-            at = zlib.crc32(bytes((c,)), at)
-            out.append(at.to_bytes(4, "little")[:2])
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = code = b"".join(out)
-        return code
-
-
-class Scales:
-    """The two compressors, the weight of each length difference, and the calibration of their sum."""
-
-    def __init__(self, toxic: list[str], ordinary: list[str]):
-        write = Onsets()
-        plain = b"".join(map(write.__getitem__, ordinary)) + ENDS
-        self.plain, self.toxic = plain, b"".join(map(write.__getitem__, toxic)) + plain
-        self.weights = np.zeros(MOST - LEAST + 1)
-        self.slope, self.shift = 0.0, -10.0
+from .text import NONSPACE, buffer_of, slices, words_of
+from .training import fit, labelled, remainder
+
+#: Words in a window: of those that are scored, and of those that toxic documents give to their dictionary.
+WINDOW, SMALL = 5, 1
+#: Bytes of the trained dictionary of ordinary text at most; segment and gram length of its trainer; rounds of selection.
+BASE, SEGMENT, GRAM, ROUNDS = 400_000, 64, 8, 4
+#: A small window of a toxic document is selected if differences like its own are so many times as frequent as in ordinary documents.
+RATIO, FIRST, GROW = 8.0, 1.3, 2.0
+#: Length differences from LEAST to MOST are told apart. Windows in a group: a dense passage counts by its best group.
+LEAST, MOST, GROUP = -4, 16, 4
+#: Stands at both ends of a window and of both dictionaries, so that every window compresses and none is stored as it is.
+ENDS = np.array([4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24], dtype=np.uint8)
+_HOW = zstd.ZstdCompressionParameters(window_log=21, hash_log=18, chain_log=19, search_log=3, min_match=4, target_length=32, strategy=zstd.STRATEGY_LAZY, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+class Windows:
+    """Windows of width consecutive words, step words apart, of all texts: a blank before each word and after the last, between ENDS."""
+
+    def __init__(self, texts: pa.Array, width: int, step: int):
+        data, offsets = buffer_of(pc.utf8_lower(pc.fill_null(texts, "")))
+        starts, ends, first = words_of(data, offsets, NONSPACE)
+        count = np.diff(first)
+        many = np.where(count > 0, np.maximum(0, -(-(count - width) // step)) + 1, 0)
+        self.first = np.concatenate([[0], np.cumsum(many)])
+        self.owner = np.repeat(np.arange(len(count)), many)
+        a = first[:-1][self.owner] + step * (np.arange(len(self.owner)) - self.first[:-1][self.owner])
+        b = np.minimum(a + width, first[1:][self.owner])
+        # a blank and its word, one word after another
+        size = ends - starts + 1
+        at = np.concatenate([[0], np.cumsum(size)])
+        line = np.full(int(at[-1]), 32, dtype=np.uint8)
+        inner = np.ones(len(line), dtype=bool)
+        inner[at[:-1]] = False
+        line[inner] = data[NONSPACE[data]]
+        lo, own = at[a], at[b] - at[a]
+        whole = own + 1 + 2 * len(ENDS)
+        to = np.concatenate([[0], np.cumsum(whole)])
+        raw = np.full(int(to[-1]), 32, dtype=np.uint8)
+        place = np.arange(len(ENDS))
+        if len(own):
+            raw[to[:-1, None] + place] = ENDS
+            raw[to[1:, None] - len(ENDS) + place] = ENDS
+            before = np.concatenate([[0], np.cumsum(own)])
+            run = np.arange(int(before[-1]))
+            raw[np.repeat(to[:-1] + len(ENDS) - before[:-1], own) + run] = line[np.repeat(lo - before[:-1], own) + run]
+        self.raw, self.places = raw.tobytes(), np.stack([to[:-1], whole], axis=1).astype(np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.owner)
+
+    def text(self, i: int) -> bytes:
+        """A window without its ends."""
+        at, size = self.places[i].tolist()
+        return self.raw[at + len(ENDS) : at + size - len(ENDS)]
+
+
+class Dictionaries:
+    """Raw-content dictionaries: ordinary text, and toxic text before the same ordinary text."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = ordinary, toxic
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _open(self) -> None:
-        def compressor(content: bytes) -> zstd.ZstdCompressor:
-            how = zstd.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=5, target_length=32, strategy=zstd.STRATEGY_GREEDY, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
-            book = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            book.precompute_compress(compression_params=how)
-            return zstd.ZstdCompressor(dict_data=book, compression_params=how)
-
-        self._write, self._a, self._b = Onsets(), compressor(self.plain).compress, compressor(self.toxic).compress
-
-    def bins(self, text: str) -> np.ndarray:
-        """How often each difference of compressed length, ordinary less toxic, occurs among the windows of a whole text."""
-        if not hasattr(self, "_write"):
-            self._open()
-        codes = list(map(self._write.__getitem__, WORD.findall(text.lower())))
-        a, b, found = self._a, self._b, Counter()
-        for i in range(0, len(codes), WINDOW):
-            window = ENDS + b"".join(codes[i : i + WINDOW]) + ENDS
-            found[len(a(window)) - len(b(window))] += 1
-        out = np.zeros(MOST - LEAST + 1)
-        for d, n in found.items():
-            out[min(max(d, LEAST), MOST) - LEAST] += n
-        return out
-
-    def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * float(self.bins(text) @ self.weights) + self.shift))))
-
-
-def _starts(counts: dict[int, Counter], docs: Counter, words: dict[int, int]) -> list[str]:
-    """Word starts far more frequent in toxic documents, the likeliest first, none the start of another."""
-    share = words[1] / max(1, words[1] + words[0])
-    gain = {}
-    for s, p in counts[1].items():
-        n = counts[0][s]
-        if docs[s] >= 5 and p / words[1] > 8 * (n + 0.5) / max(1, words[0]):
-            r = p / (p + n)
-            g = 2 * (p * math.log(r / share) + (n * math.log((1 - r) / (1 - share)) if n else 0))
-            if g >= 30:
-                gain[s] = g
-    kept: list[str] = []
-    for s in sorted(gain, key=lambda s: (-gain[s], -len(s), s)):
-        if not any(k.startswith(s) or s.startswith(k) for k in kept):
-            kept.append(s)
-    return kept[:500]
-
-
-def train(batches: Iterator[pa.RecordBatch]) -> Scales:
-    """Rows half, label, text with half 0 first: dictionaries from half 0, weights and calibration from half 1."""
-    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    docs, words, common = Counter(), {0: 0, 1: 0}, Counter()
-    scales, held = None, []
+    def _compressors(self) -> tuple[zstd.ZstdCompressor, zstd.ZstdCompressor]:
+        if not hasattr(self, "_both"):
+            self._both = []
+            for content in (self.ordinary, self.toxic + self.ordinary):
+                book = zstd.ZstdCompressionDict(content + ENDS.tobytes(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                book.precompute_compress(compression_params=_HOW)
+                self._both.append(zstd.ZstdCompressor(dict_data=book, compression_params=_HOW))
+        return self._both
+
+    def differences(self, windows: Windows) -> np.ndarray:
+        """Compressed length with the ordinary dictionary less that with the toxic one, of each window, from LEAST to MOST."""
+        if not len(windows):
+            return np.zeros(0, dtype=np.int64)
+        lengths = []
+        for c in self._compressors():
+            out = c.multi_compress_to_buffer(zstd.BufferWithSegments(windows.raw, windows.places.tobytes()), threads=0)
+            lengths.append(np.fromiter(map(len, out), dtype=np.int64, count=len(windows)))
+        return np.clip(lengths[0] - lengths[1], LEAST, MOST)
+
+
+class Model:
+    """The two dictionaries, the weight of each length difference, and the calibration of what a text's windows give together."""
+
+    def __init__(self, books: Dictionaries):
+        self.books = books
+        self.weights = np.zeros(MOST - LEAST + 1)
+        self.scale, self.coefficients = np.ones(4), np.array([0.0, 0, 0, 0, -10])
+
+    def features(self, first: np.ndarray, differences: np.ndarray) -> np.ndarray:
+        """Per text: the sum of the weights, the sum over the root of the number of windows, the best group's sum, and the logarithm of the number."""
+        w = self.weights[differences - LEAST]
+        sums = np.concatenate([[0.0], np.cumsum(w)])
+        lo, hi = first[:-1], first[1:]
+        total, n = sums[hi] - sums[lo], (hi - lo).astype(float)
+        best = np.zeros(len(lo))
+        if len(w):
+            owner = np.repeat(np.arange(len(lo)), hi - lo)
+            i = np.arange(len(w))
+            np.maximum.at(best, owner, sums[np.minimum(i + GROUP, hi[owner])] - sums[i])
+        return np.stack([total, total / np.sqrt(n + 8), best, np.log1p(n)], axis=1)
+
+    def calibrate(self, first: np.ndarray, differences: np.ndarray, y: np.ndarray) -> None:
+        """Weights by the two classes' shares of each difference, then logistic regression on the features."""
+        label = np.repeat(y, np.diff(first))
+        hot, cold = (np.bincount(differences[label == k] - LEAST, minlength=len(self.weights)) + 1.0 for k in (1, 0))
+        self.weights = np.log(hot / hot.sum()) - np.log(cold / cold.sum())
+        x = self.features(first, differences)
+        self.scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
+        design = np.concatenate([x / self.scale, np.ones((len(x), 1))], axis=1)
+        w = np.zeros(design.shape[1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+            step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(len(w)), design.T @ (p - y) + 1e-2 * w)
+            w -= np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-8:
+                break
+        self.coefficients = w
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        windows = Windows(texts, WINDOW, WINDOW)
+        x = self.features(windows.first, self.books.differences(windows)) / self.scale
+        return 1 / (1 + np.exp(-np.clip(x @ self.coefficients[:-1] + self.coefficients[-1], -30, 30)))
+
+
+def _trained(texts: list[str]) -> bytes:
+    """BASE bytes: the dictionary that zstandard trains on texts, before it the texts themselves where its trainer gives less."""
+    samples = [b" " + b" ".join(t.lower().encode().split()) + b" " for t in texts if len(t) > 100]
+    whole = b"".join(samples)
+    if len(whole) <= BASE:
+        return whole
+    book = zstd.train_dictionary(BASE, samples, k=SEGMENT, d=GRAM).as_bytes()
+    return whole[: BASE - len(book)] + book
+
+
+def select(halves: list[tuple[list[str], list[str]]], rounds: int = ROUNDS) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and the toxic dictionary from two halves of (ordinary texts, toxic texts).
+
+    A document labelled toxic is mostly ordinary text, so the toxic dictionary takes those of its windows that
+    tell: each half's windows are compared by dictionaries of the other half, whose toxic one first holds all its
+    toxic texts; windows stay whose difference is RATIO times as frequent as among ordinary windows, and make the
+    next round's dictionary.
+    """
+    hot = [Windows(pa.array(t, pa.string()), SMALL, 1) for _, t in halves]
+    cold = [Windows(pa.array(o[: len(t) + 100], pa.string()), SMALL, 1) for o, t in halves]
+    base = [_trained(o) for o, _ in halves]
+    toxic = [b"".join(w.text(i) for i in range(0, len(w), SMALL)) for w in hot]
+    for _r in range(rounds):
+        books = [Dictionaries(base[h], toxic[h]) for h in (0, 1)]
+        d = [books[1 - h].differences(hot[h]) for h in (0, 1)]
+        e = [books[1 - h].differences(cold[h]) for h in (0, 1)]
+        shares = []
+        for x in (np.concatenate(d), np.concatenate(e)):
+            n = np.bincount(x - LEAST, minlength=MOST - LEAST + 1)
+            shares.append((n[::-1].cumsum()[::-1] + 0.5) / max(1, len(x)))
+        good = [k for k in range(1 - LEAST, MOST - LEAST + 1) if shares[0][k] >= min(RATIO, FIRST + GROW * _r) * shares[1][k]]
+        limit = min(good, default=MOST - LEAST) + LEAST
+        toxic = [b"".join(dict.fromkeys(hot[h].text(i) for i in np.flatnonzero(d[h] >= limit).tolist())) for h in (0, 1)]
+    return _trained(halves[0][0] + halves[1][0]), toxic[0] + toxic[1]
+
+
+def train(batches: Iterator[pa.RecordBatch]) -> Model:
+    """Rows part, label, text: dictionaries from parts 0 and 1, weights and calibration from part 2."""
+    held: dict[tuple[int, int], list[str]] = {(p, k): [] for p in range(3) for k in (0, 1)}
     for batch in batches:
-        for half, label, text in zip(*(batch.column(c).to_pylist() for c in ("half", "label", "text"))):
-            if half == 0:
-                found = WORD.findall((text or "").lower())
-                words[label] += len(found)
-                own = Counter(w[:k] for w in found for k in range(LETTERS[0], min(LETTERS[1], len(w) + 1)))
-                for s, n in own.items():
-                    counts[label][s] += min(n, 3)
-                if label:
-                    docs.update(own.keys())
-                else:
-                    common.update(set(found))
-            else:
-                scales = scales or _dictionaries(counts, docs, words, common)
-                held.append((label, scales.bins(text or "")))
-    scales = scales or _dictionaries(counts, docs, words, common)
-    y = np.array([h[0] for h in held], dtype=float)
+        for part, label, text in zip(*(batch.column(c).to_pylist() for c in ("part", "label", "text"))):
+            held[part, label].append(text or "")
+    model = Model(Dictionaries(*select([(held[p, 0], held[p, 1]) for p in (0, 1)])))
+    texts = held[2, 0] + held[2, 1]
+    y = np.array([0.0] * len(held[2, 0]) + [1.0] * len(held[2, 1]))
     if len(set(y)) == 2:
-        bins = np.array([h[1] for h in held])
-        hot, cold = bins[y == 1].sum(axis=0) + 0.5, bins[y == 0].sum(axis=0) + 0.5
-        scales.weights = np.log(hot / hot.sum()) - np.log(cold / cold.sum())
-        # differences that favour neither dictionary don't speak for toxicity
-        scales.weights[: 1 - LEAST] = np.minimum(scales.weights[: 1 - LEAST], 0)
-        scales.slope, scales.shift = logistic(bins @ scales.weights, y)
+        windows = Windows(pa.array(texts, pa.string()), WINDOW, WINDOW)
+        model.calibrate(windows.first, model.books.differences(windows), y)
     elif len(y):
-        scales.shift = 10.0 if y[0] else -10.0
-    return scales
-
-
-def _dictionaries(counts: dict[int, Counter], docs: Counter, words: dict[int, int], common: Counter) -> Scales:
-    toxic = _starts(counts, docs, words)
-    heads = {s[: LETTERS[0]] for s in toxic}
-    near = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if w[: LETTERS[0]] in heads and not w.startswith(tuple(toxic))][:1000]
-    often = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:1500]]
-    return Scales(toxic, near + often[::-1])
+        model.coefficients[-1] = 10.0 if y[0] else -10.0
+    return model
 
 
 def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scales = model.value
-    for batch in batches:
-        texts = batch.column("text")
-        score = [scales.score(texts[i].as_py() or "") for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.scores(batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, toxic_docs: int = 2000, ordinary_docs: int = 4000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1200, ordinary_docs: int = 8000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id long, text string; others aren't read).
 
     Learns from at most toxic_docs and ordinary_docs documents with label 1 and 0 (columns doc_id and toxic of
-    labels, repeated rows once) whose crc32(doc_id) mod 5 isn't 0. One half of them gives the dictionaries: ordinary
-    words for both, and for the toxic one word starts that toxic documents hold far more often. The other half
-    gives the weight of each difference in compressed window length, and the calibration of a text's sum, so
-    that 0.5 is the decision limit. Every window of the whole text counts. Null, empty and wordless texts have
-    no window and get the score of a sum of 0. Without labels of both classes all scores are near 0 (or 1, where
-    only label 1 occurs).
+    labels, repeated rows once; a document labelled both counts for both) whose crc32(doc_id) mod 5 isn't 0. Three
+    fifths of them give the dictionaries: zstandard's own trainer that of ordinary text, windows that compress
+    better by toxic text that of toxic text. The others give the weight of each difference in compressed window
+    length, and the calibration of a text's sums, so that 0.5 is the decision limit. Every window of the whole text counts, byte for
+    byte in lower case, with white space as one blank. Null, empty and blank texts have no window and get the score of sums of 0.
+    Without labels of both classes all scores are near 0 (or 1, where only label 1 occurs).
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = labelled(docs, labels, "toxic", remainder(5) != 0, {1: toxic_docs, 0: ordinary_docs})
-    half = (F.xxhash64("doc_id", F.lit(9)) % 2 == 0).cast("int")
-    model = fit(sample.select("doc_id", half.alias("half"), "label", "text"), train, F.col("half"), F.col("doc_id"))
+    part = F.expr("case pmod(xxhash64(doc_id, 9), 10) when 0 then 0 when 1 then 0 when 2 then 0 when 3 then 1 when 4 then 1 when 5 then 1 else 2 end")
+    model = fit(sample.select("doc_id", part.alias("part"), "label", "text"), train, F.col("part"), F.col("doc_id"))
     scored = docs.mapInArrow(tidied(partial(_score, docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, score double")
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
