@@ -214,12 +214,12 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize(("broadcast", "salt"), [(500_000, 5000), (0, 3)])
-def test_groups_against_brute_force(spark, broadcast, salt):
+@pytest.mark.parametrize(("broadcast", "salt", "hot", "cell"), [(500_000, 5000, 100_000, 2000), (0, 3, 1, 3)])
+def test_groups_against_brute_force(spark, broadcast, salt, hot, cell):
     rows = near_copies()
     sizes, root = brute_groups(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = MH.near_duplicates(df, per_salt=salt, broadcast_rows=broadcast).collect()
+    got = MH.near_duplicates(df, per_salt=salt, broadcast_rows=broadcast, hot_rows=hot, cell=cell).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, sizes[i], root(i), root(i) == i) for i, _ in rows}
 
 
@@ -229,10 +229,42 @@ def test_groups_of_documents_with_edge_cases(spark, docs, plain):
     got = {r.doc_id: r for r in MH.near_duplicates(docs.where("doc_id <> 900012")).collect()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (sizes[i], root(i)) for i, _ in own}
     twice = MH.near_duplicates(docs.where("doc_id = 900012 or doc_id is null")).collect()
-    assert len(twice) == 3
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in twice) == [(0, 5, 0, True), (900012, 1, 900012, True), (900012, 1, 900012, True)]
     assert MH.near_duplicates(empty(spark)).isEmpty()
 
 
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_rows_that_repeat_an_id_or_have_none(spark, hot):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, c), (None, c), (None, c + " z"), (None, a), (None, None), (4, None), (4, a + " v w"), (5, None), (5, None), (6, c + " q"), (None, "alone at last here"), (None, "alone at last here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = MH.near_duplicates(df, hot_rows=hot).collect()
+    n = lambda t: max(0, len((t or "").split()) - 2)
+    key = lambda r: str(tuple(r))
+    want = [(i, n(t), 1, i == 1) for i, t in rows if i in (1, 2, 3, 4)] + [(None, n(a), 1, False)] + [(None, n(c), 6, False)] * 2 + [(None, n(c + " z"), 6, False), (6, n(c + " q"), 6, True), (None, 0, None, True)]
+    want += [(5, 0, 5, True)] * 2 + [(None, 2, None, True), (None, 2, None, False)]
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    one = MH.representatives(df.withColumn("text", F.col("text")), hot_rows=hot).collect()
+    assert sorted((r.doc_id or 0) for r in one) == [0, 0, 1, 5, 6]
+    assert {r.text for r in one if r.doc_id is None} == {None, "alone at last here"}
+
+
+def test_signatures_vary_less_than_independent_slots():
+    rng = np.random.default_rng(3)
+    n, common, tries = 60, 55, 300
+    sets, at = [], [0]
+    for _ in range(tries):
+        x = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
+        for own in (x[:n], np.concatenate([x[:common], x[n:]])):
+            sets.append(np.sort(own))
+            at.append(at[-1] + n)
+    s = MH.signatures(np.concatenate(sets), np.array(at))
+    share = (s[::2] == s[1::2]).mean(axis=1)
+    j = common / (2 * n - common)
+    assert abs(share.mean() - j) < 0.01
+    assert share.var() < 0.75 * j * (1 - j) / MH.SLOTS
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
