@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from yearloom.llm.decontaminate import decontaminate
-from yearloom.llm.minhash import near_duplicates
+from yearloom.llm.minhash import representatives
 from yearloom.llm.packing import pack
 from yearloom.llm.quality import accepted
 from yearloom.llm.secrets import redacted
@@ -24,8 +24,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
-    return docs.select(*COLUMNS).join(near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    Of rows that repeat an id one stays. Rows without an id stay unless they are in the group of one that stays; documents without words stay.
+    """
+    return representatives(docs, "lang", "source", "n_chars").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
