@@ -68,28 +68,46 @@ def test_vectors_of_an_empty_table(spark):
     assert EM.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).isEmpty()
 
 
-def test_recall_of_caps_at_the_limit():
+def test_vectors_in_double_precision(spark):
+    rows = [(1, [1e300, 2e300], 5), (2, [1e300, 2e300], 5), (3, [1.0, 2.0], 5), (4, [1e-60, 2e-60], 5), (5, [5e-324, 1e-323], 5), (6, [1e300, -2e300], 5), (7, [1.0, 2.0], 1 << 40), (None, [1.0, 2.0], 5), (8, [1.0], 1 << 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: tuple(r)[1:] for r in EM.near_duplicates(df, hot_rows=1).collect()}
+    assert got == {**{i: (5, 1, i == 1) for i in (1, 2, 3, 4, 5)}, None: (5, 1, False), 6: (0, 6, True), 7: (0, 7, True), 8: (0, 8, True)}
+
+
+@pytest.mark.parametrize("words", [16, 44, 124])
+def test_recall_of_caps_at_the_limit(words):
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((4000, 64))
+    x = rng.standard_normal((1000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal((4000, 64))
+    z = rng.standard_normal((1000, 64))
     z -= (z * x).sum(axis=1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     y = 0.98 * x + (1 - 0.98**2) ** 0.5 * z
-    a, b = EM.caps_of(x), EM.caps_of(y)
-    assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() > 0.999
+    (a, p), (b, q) = EM.caps_of(x, words), EM.caps_of(y, words)
+    shared = [len(np.intersect1d(a[p[i] : p[i + 1]], b[q[i] : q[i + 1]])) > 0 for i in range(1000)]
+    assert np.mean(shared) > 0.99
+    assert np.diff(p).min() >= EM.LIST and np.diff(p).mean() < 3 * EM.LIST
 
 
-def test_list_decoding_finds_the_nearest_directions():
+def test_list_decoding_finds_all_directions_beyond_the_limit():
     rng = np.random.default_rng(1)
     x = EM.unit(rng.standard_normal((20, 64)))
-    turn, parts, words = EM._code(64)
+    turn, parts, words, limit = EM._code(64, 16)
     y = x @ turn
     total = np.zeros((20, 1))
     for p, w in zip(parts, words):
         total = (total[:, :, None] + (y[:, p] @ w.T)[:, None, :]).reshape(20, -1)
-    want = np.sort(np.argsort(-total, axis=1)[:, : EM.LIST], axis=1)
-    assert (EM.caps_of(x) == want).all()
+    ids, at = EM.caps_of(x, 16)
+    for i in range(20):
+        least = min(limit, np.sort(total[i])[-EM.LIST])
+        assert ids[at[i] : at[i + 1]].tolist() == np.flatnonzero(total[i] >= least - 1e-12).tolist()
+
+
+def test_directions_follow_the_vectors():
+    assert [EM.words_for(n) for n in (0, 10**5, 10**6, 10**7, 10**8)] == sorted(EM.words_for(n) for n in (0, 10**5, 10**6, 10**7, 10**8))
+    for n in (10**6, 10**8, 4 * 10**9):
+        assert n / EM.words_for(n) ** EM.BLOCKS <= EM.PER_DIRECTION
 
 
 def test_roots():
