@@ -18,6 +18,8 @@ from yearloom.llm import quality as QU
 from yearloom.llm import secrets as SE
 from yearloom.llm import toxicity as TX
 from yearloom.llm.components import connected_components
+from yearloom.llm.text import ALNUM as ALNUM_BYTES
+from yearloom.llm.text import hash_words, words_of
 
 from ..conftest import SF
 from .common import ALNUM, SOLID, empty, union_find, with_edges, words
@@ -49,16 +51,17 @@ def brute_contamination(text, items, window):
             if tuple(w[i : i + k]) in wins:
                 found.add(item)
                 hit.update(range(i, i + k))
-    ids = ",".join(sorted(map(str, found)))
+    ids = ",".join(sorted(str(i) for i in found if i is not None))
     return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-def test_contamination(spark, docs, plain):
+def test_contamination(spark, docs, plain, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
-    more = spark.createDataFrame([(5000, None), (5001, ""), (5002, "one two"), (5003, "ONE TWO"), (5004, "word " * 20), (5005, "...")], "item_id long, text string")
+    more = spark.createDataFrame([(5000, None), (5001, ""), (5002, "one two"), (5003, "ONE TWO"), (5004, "word " * 20), (5005, "..."), (None, "one"), (None, "word " * 14)], "item_id long, text string")
     bench = bench.union(more).withColumn("spans", F.lit(1))
     items = [(r[0], r[1]) for r in bench.collect()]
-    for block in (1 << 24, 300):  # one automaton, and many one after another
+    for block, whole in ((1 << 24, 1 << 24), (3000, 1 << 24), (20000, 20000)):  # one automaton, several in one pass, and several passes
+        monkeypatch.setattr(DC.matches, "__defaults__", (*DC.matches.__defaults__[:-1], whole))
         got = DC.contamination(docs, bench, block_bytes=block).collect()
         key = lambda r: repr(r)
         want = [(i, *brute_contamination(t, items, 13)) for i, t in plain]
@@ -80,7 +83,8 @@ def test_automaton_against_brute_force(seed):
     for _ in range(60):
         text = word(int(rng.integers(1, 30)))
         spans, found = [], set()
-        auto.stream([w.encode() for w in text.split()], 0, spans, found)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        auto.stream(hash_words(raw, *words_of(raw, np.array([0, len(raw)]), ALNUM_BYTES)[:2]), 0, spans, found)
         n, hit, k, digest, _ = brute_contamination(text, items, 4)
         assert sum(b - a for a, b in spans) == hit and len(found) == k
 
@@ -91,7 +95,16 @@ def test_decontaminated_documents_hold_no_window(spark):
     rows = [(1, "x " * 400 + text + ", tail", "en", "s", 5), (2, "a " + text, "en", "s", 5), (3, "clean", "en", "s", 99), (4, None, None, None, None)]
     got = {r.doc_id: r for r in DC.decontaminate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), bench).collect()}
     assert set(got) == {1, 3, 4}
-    assert got[1].text == "x " * 400 + ", tail" and got[1].n_chars == len(got[1].text) and got[3].n_chars == 99
+    assert got[1].text == "x " * 400 + "[REMOVED], tail" and got[1].n_chars == len(got[1].text) and got[3].n_chars == 99
+
+
+def test_no_window_arises_where_a_span_was_cut(spark):
+    w, z = [f"w{i}" for i in range(15)], [f"z{i}" for i in range(13)]
+    bench = [(1, " ".join(w)), (2, " ".join(z))]
+    text = "pad " * 400 + " ".join(w[:7] + z + w[7:])
+    rows = spark.createDataFrame([(1, text, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = DC.decontaminate(rows, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert len(got) == 1 and brute_contamination(got[0].text, bench, 13)[1] == 0
 
 
 # packing
