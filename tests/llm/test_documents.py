@@ -95,7 +95,7 @@ def test_decontaminated_documents_hold_no_window(spark):
     rows = [(1, "x " * 400 + text + ", tail", "en", "s", 5), (2, "a " + text, "en", "s", 5), (3, "clean", "en", "s", 99), (4, None, None, None, None)]
     got = {r.doc_id: r for r in DC.decontaminate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), bench).collect()}
     assert set(got) == {1, 3, 4}
-    assert got[1].text == "x " * 400 + "[REMOVED], tail" and got[1].n_chars == len(got[1].text) and got[3].n_chars == 99
+    assert got[1].text == "x " * 400 + "⟦cut⟧, tail" and got[1].n_chars == len(got[1].text) and got[3].n_chars == 99
 
 
 def test_no_window_arises_where_a_span_was_cut(spark):

@@ -341,7 +341,7 @@ def _remove(mark: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, block_bytes: int = BLOCK_BYTES, mark: str = "[REMOVED]") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, block_bytes: int = BLOCK_BYTES, mark: str = "⟦cut⟧") -> DataFrame:
     """docs without test items: documents over the coverage limit go, in others each matching span gives way to mark.
 
     mark is a word of its own, so that what stood on either side of a span can't become a window; it may itself be
