@@ -492,31 +492,92 @@ def test_license_rules(text, labels):
 
 def test_license_rules_are_many_and_gated():
     rules, keys = LI._compiled()
-    assert len(rules) > 250
-    for _, need, *_ in rules:
-        assert any(k in need.encode() for k in keys)
+    assert sum(map(len, rules.values())) > 250
+    assert all(any(k in need.encode() for k in keys) for need in rules)
+
+
+def license_example(pattern, rnd):
+    """A text that the pattern matches, by its parsed form."""
+    from re import _parser
+
+    def made(items):
+        out = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                kind, value = rnd.choice(arg)
+                out += chr(value if str(kind) == "LITERAL" else rnd.randint(*value))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(made(arg[2]) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 2))))
+            elif name == "SUBPATTERN":
+                out += made(arg[3])
+            elif name == "BRANCH":
+                out += made(rnd.choice(arg[1]))
+            elif name != "ASSERT_NOT":
+                raise NotImplementedError(name)
+        return out
+
+    return made(_parser.parse(pattern))
 
 
 def test_every_license_rule_can_match_behind_its_gate():
     import random
 
     rnd = random.Random(1)
+    for need, own in LI._compiled()[0].items():
+        for pattern, label, _, _ in own:
+            for _ in range(8):
+                text = license_example(pattern.pattern, rnd)
+                assert pattern.search(text) and need in text, (pattern.pattern, text)
+            assert LI.detections(text), text
+
+
+def brute_detections(words):
+    found = [(m.start(), m.end(), rank, label, weight) for own in LI._compiled()[0].values() for pattern, label, weight, rank in own for m in pattern.finditer(words)]
+    kept = []
+    for f in sorted(found, key=lambda f: (f[0] - f[1], f[2], f[0])):
+        if not any(k[0] <= f[0] and f[1] <= k[1] for k in kept):
+            kept.append(f)
+    out = []
+    for f in sorted(kept, key=lambda f: (f[2], f[0])):
+        if not any(f[0] < k[1] and k[0] < f[1] for k in out):
+            out.append(f)
+    named = [k for k in out if k[3] != LI.GENERIC]
+    return sorted((a, b, label, weight) for a, b, _, label, weight in out if label != LI.GENERIC or not any(a - LI.NEAR < k[1] and k[0] < b + LI.NEAR for k in named))
+
+
+def test_license_suppression_against_brute_force(spark):
+    import random
 
-    def example(p):  # one text that the pattern matches
-        p = re.sub(r"\(\?:((?:[^()]|\([^()]*\))*)\)\?", lambda m: "", p)
-        while re.search(r"\(\?:([^()]*)\)(\{\d,\d\})?", p):
-            p = re.sub(r"\(\?:([^()]*)\)(\{\d,\d\})?", lambda m: rnd.choice(m[1].split("|")), p)
-        p = re.sub(r".\?", "", p.replace(r"\+?", ""))
-        p = re.sub(r"\[a-z0-9\]\+", "zz", p)
-        p = re.sub(r"\[([^\]]*)\](?:\+|\{2\})?", lambda m: {"{2}": 2 * m[1][0]}.get(m[0][-3:], m[1][0]), p)
-        return p
-
-    rules, _ = LI._compiled()
-    for pattern, need, *_ in rules:
-        raw = pattern.pattern.removeprefix("(?<![^ ])(?:").removesuffix(")(?![^ ])")
-        text = example(raw)
-        if pattern.search(text):
-            assert need in text, (raw, need, text)
+    rnd = random.Random(2)
+    patterns = [p.pattern for own in LI._compiled()[0].values() for p, *_ in own]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 25)):
+            own = license_example(rnd.choice(patterns), rnd)
+            parts.append(own if rnd.random() < 0.6 else own[: own.rfind(" ")] if rnd.random() < 0.5 else " ".join(["pad"] * rnd.randint(1, 30)))
+        texts.append(" ".join(parts))
+    for t in texts:
+        assert LI.detections(t) == brute_detections(t)
+    got = {r.doc_id: (r.labels, r.score) for r in LI.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        found, base = brute_detections(t), set(filter(None, brute_licenses(t)[-1].split(",")))
+        assert got[i] == (",".join(sorted(base | {f[2] for f in found})), max([f[3] for f in found] + [1.0] * bool(base), default=0.0))
+
+
+def test_many_licenses_in_one_text_take_no_longer_than_their_number():
+    import time
+
+    text = "licensed under the apache license version 2 0 all rights reserved gnu gpl v3 pad "
+    seconds = []
+    for n in (500, 4000):
+        t = time.perf_counter()
+        assert len(LI.detections((text * n).strip())) == 3 * n
+        seconds.append(time.perf_counter() - t)
+    assert seconds[1] < 30 * seconds[0]
 
 
 def test_words_are_those_of_the_pattern():
