@@ -24,13 +24,17 @@ BASE, SEGMENT, GRAM, ROUNDS = 400_000, 64, 8, 4
 RATIO, FIRST, GROW = 8.0, 1.3, 2.0
 #: Length differences from LEAST to MOST are told apart. Windows in a group: a dense passage counts by its best group.
 LEAST, MOST, GROUP = -4, 16, 4
-#: Stands at both ends of a window and of both dictionaries, so that every window compresses and none is stored as it is.
-ENDS = np.array([4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24], dtype=np.uint8)
+#: Windows in a section: a text is as toxic as its most toxic section, so that a long text hides no passage.
+SECTION = 60
+#: Stand before and behind a window, and behind both dictionaries, so that every window compresses and none is stored as it is.
+#: The second is longer, as the compressor looks for no match in the last 16 bytes.
+AHEAD = np.array([4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24], dtype=np.uint8)
+BEHIND = np.concatenate([AHEAD, AHEAD[::-1], AHEAD[::2]])
 _HOW = zstd.ZstdCompressionParameters(window_log=21, hash_log=18, chain_log=19, search_log=3, min_match=4, target_length=32, strategy=zstd.STRATEGY_LAZY, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Windows:
-    """Windows of width consecutive words, step words apart, of all texts: a blank before each word and after the last, between ENDS."""
+    """Windows of width consecutive words, step words apart, of all texts: a blank before each word and after the last, between AHEAD and BEHIND."""
 
     def __init__(self, texts: pa.Array, width: int, step: int):
         data, offsets = buffer_of(pc.utf8_lower(pc.fill_null(texts, "")))
@@ -49,25 +53,24 @@ class Windows:
         inner[at[:-1]] = False
         line[inner] = data[NONSPACE[data]]
         lo, own = at[a], at[b] - at[a]
-        whole = own + 1 + 2 * len(ENDS)
+        whole = own + 1 + len(AHEAD) + len(BEHIND)
         to = np.concatenate([[0], np.cumsum(whole)])
         raw = np.full(int(to[-1]), 32, dtype=np.uint8)
-        place = np.arange(len(ENDS))
         if len(own):
-            raw[to[:-1, None] + place] = ENDS
-            raw[to[1:, None] - len(ENDS) + place] = ENDS
+            raw[to[:-1, None] + np.arange(len(AHEAD))] = AHEAD
+            raw[to[1:, None] - len(BEHIND) + np.arange(len(BEHIND))] = BEHIND
             before = np.concatenate([[0], np.cumsum(own)])
             run = np.arange(int(before[-1]))
-            raw[np.repeat(to[:-1] + len(ENDS) - before[:-1], own) + run] = line[np.repeat(lo - before[:-1], own) + run]
+            raw[np.repeat(to[:-1] + len(AHEAD) - before[:-1], own) + run] = line[np.repeat(lo - before[:-1], own) + run]
         self.raw, self.places = raw.tobytes(), np.stack([to[:-1], whole], axis=1).astype(np.uint64)
 
     def __len__(self) -> int:
         return len(self.owner)
 
     def text(self, i: int) -> bytes:
-        """A window without its ends."""
+        """A window without what stands at its ends."""
         at, size = self.places[i].tolist()
-        return self.raw[at + len(ENDS) : at + size - len(ENDS)]
+        return self.raw[at + len(AHEAD) : at + size - len(BEHIND)]
 
 
 class Dictionaries:
@@ -83,7 +86,7 @@ class Dictionaries:
         if not hasattr(self, "_both"):
             self._both = []
             for content in (self.ordinary, self.toxic + self.ordinary):
-                book = zstd.ZstdCompressionDict(content + ENDS.tobytes(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                book = zstd.ZstdCompressionDict(content + BEHIND.tobytes(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
                 book.precompute_compress(compression_params=_HOW)
                 self._both.append(zstd.ZstdCompressor(dict_data=book, compression_params=_HOW))
         return self._both
@@ -99,16 +102,25 @@ class Dictionaries:
         return np.clip(lengths[0] - lengths[1], LEAST, MOST)
 
 
+def sections(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in all windows where sections of at most SECTION begin and end, and the text of each; a text without windows is one empty section."""
+    count = np.maximum(1, -(-np.diff(first) // SECTION))
+    owner = np.repeat(np.arange(len(count)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return np.concatenate([first[owner] + number * SECTION, first[-1:]]), owner
+
+
 class Model:
     """The two dictionaries, the weight of each length difference, and the calibration of what a text's windows give together."""
 
     def __init__(self, books: Dictionaries):
         self.books = books
         self.weights = np.zeros(MOST - LEAST + 1)
-        self.scale, self.coefficients = np.ones(4), np.array([0.0, 0, 0, 0, -10])
+        self.mean, self.variance = 0.0, 1.0
+        self.scale, self.coefficients = np.ones(3), np.array([0.0, 0, 0, -10])
 
     def features(self, first: np.ndarray, differences: np.ndarray) -> np.ndarray:
-        """Per text: the sum of the weights, the sum over the root of the number of windows, the best group's sum, and the logarithm of the number."""
+        """Per section: by how many deviations the sum of weights is above that of ordinary windows, the best group's sum, and the logarithm of the number of windows."""
         w = self.weights[differences - LEAST]
         sums = np.concatenate([[0.0], np.cumsum(w)])
         lo, hi = first[:-1], first[1:]
@@ -118,14 +130,24 @@ class Model:
             owner = np.repeat(np.arange(len(lo)), hi - lo)
             i = np.arange(len(w))
             np.maximum.at(best, owner, sums[np.minimum(i + GROUP, hi[owner])] - sums[i])
-        return np.stack([total, total / np.sqrt(n + 8), best, np.log1p(n)], axis=1)
+        above = (total - n * self.mean) / np.sqrt(n * self.variance + 4)
+        return np.stack([above, best, np.log1p(n)], axis=1)
 
     def calibrate(self, first: np.ndarray, differences: np.ndarray, y: np.ndarray) -> None:
         """Weights by the two classes' shares of each difference, then logistic regression on the features."""
         label = np.repeat(y, np.diff(first))
         hot, cold = (np.bincount(differences[label == k] - LEAST, minlength=len(self.weights)) + 1.0 for k in (1, 0))
         self.weights = np.log(hot / hot.sum()) - np.log(cold / cold.sum())
-        x = self.features(first, differences)
+        # a window that toxic text compresses better still can't speak less for toxicity
+        self.weights[-LEAST:] = np.maximum.accumulate(self.weights[-LEAST:])
+        cold /= cold.sum()
+        self.mean = float(cold @ self.weights)
+        self.variance = float(cold @ (self.weights - self.mean) ** 2)
+        at, owner = sections(first)
+        x = self.features(at, differences)
+        # of each text the section that is most above ordinary ones
+        order = np.lexsort((-x[:, 0], owner))
+        x = x[order[np.searchsorted(owner[order], np.arange(len(y)))]]
         self.scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
         design = np.concatenate([x / self.scale, np.ones((len(x), 1))], axis=1)
         w = np.zeros(design.shape[1])
@@ -139,8 +161,11 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         windows = Windows(texts, WINDOW, WINDOW)
-        x = self.features(windows.first, self.books.differences(windows)) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.coefficients[:-1] + self.coefficients[-1], -30, 30)))
+        at, owner = sections(windows.first)
+        x = self.features(at, self.books.differences(windows)) / self.scale
+        best = np.full(len(texts), -np.inf)
+        np.maximum.at(best, owner, x @ self.coefficients[:-1] + self.coefficients[-1])
+        return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
 def _trained(texts: list[str]) -> bytes:
@@ -209,7 +234,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1200, ordinar
     labels, repeated rows once; a document labelled both counts for both) whose crc32(doc_id) mod 5 isn't 0. Three
     fifths of them give the dictionaries: zstandard's own trainer that of ordinary text, windows that compress
     better by toxic text that of toxic text. The others give the weight of each difference in compressed window
-    length, and the calibration of a text's sums, so that 0.5 is the decision limit. Every window of the whole text counts, byte for
+    length, and the calibration of a section's sums, so that 0.5 is the decision limit; the most toxic section decides. Every window of the whole text counts, byte for
     byte in lower case, with white space as one blank. Null, empty and blank texts have no window and get the score of sums of 0.
     Without labels of both classes all scores are near 0 (or 1, where only label 1 occurs).
     """
