@@ -3,6 +3,8 @@
 import hashlib
 from collections import defaultdict
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -197,10 +199,8 @@ def test_a_changed_archive_fails(spark):
         ("<div role=main>m</div><div class='cookie-notice'>c</div>", "m"), ("<article><a href='x>y'>link</a></article>", "link"),
     ],
 )
-def test_main_text(spark, page, want):
-    df = spark.createDataFrame([(1, "http://h/p", page)], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("lines", F.lit(2))
-    r = HT.main_text(df).first()
-    assert (r.text, r.n_chars) == (want, len(want))
+def test_main_text(page, want):
+    assert "\n".join(HT.kept_lines(HT.blocks(page or ""), None)) == want
 
 
 def test_pages_without_an_article_are_differenced(spark):
@@ -213,9 +213,81 @@ def test_pages_without_an_article_are_differenced(spark):
 
 
 def test_neighbour_is_the_one_with_the_longer_common_path(spark):
-    rows = [(1, "http://h/a/1", ["s", "1"]), (2, "http://h/b/1", ["t", "2"]), (3, "http://h/b/2", ["t", "3"])]
-    got = {r.page_id: r.other for r in HT._nearest(spark.createDataFrame(rows, "page_id long, url string, lines array<string>")).collect()}
-    assert got[2] == ["t", "3"] and got[3] == ["t", "2"] and got[1] == ["t", "2"]
+    rows = [(1, 1, 1, "h", "/a/1", [7, 1]), (2, 2, 2, "h", "/b/1", [8, 2]), (3, 3, 3, "h", "/b/2", [8, 3]), (4, 4, 4, "g", "/b/2", [8, 3])]
+    for hot in (100_000, 0):
+        got = {r.key: r.other for r in HT._nearest(spark.createDataFrame(rows, HT.PARSED), hot).collect()}
+        assert got == {2: [8, 3], 3: [8, 2], 1: [8, 2]}
+
+
+def brute_text(rows):
+    """Per row the lines that stay, by comparing each page with all of its host."""
+    found = [(HT.blocks(h or ""), re.match(r"(?:[a-z]+:)?//([^/?#]*)", u or "", re.I), (u or "")) for _, u, h in rows]
+    host = [m[1].lower() if m else "" for _, m, _ in found]
+    path = [u[m.end() :].split("#")[0] if m else u.split("#")[0] for _, m, u in found]
+    order = sorted(range(len(rows)), key=lambda k: (host[k], path[k], rows[k][0]))
+    out = {}
+    for at, k in enumerate(order):
+        own = [t for _, t in found[k][0]]
+        sides = []
+        for step in (-1, 1):
+            q = at + step
+            while 0 <= q < len(order) and host[order[q]] == host[k] and [t for _, t in found[order[q]][0]] == own:
+                q += step
+            if 0 <= q < len(order) and host[order[q]] == host[k]:
+                n = 0
+                for a, b in zip(path[k], path[order[q]]):
+                    if a != b:
+                        break
+                    n += 1
+                sides.append((n, -step, order[q]))
+        gone = None
+        if sides:
+            other = [t for _, t in found[max(sides)[2]][0]]
+            shared = HT.common(own, other)
+            gone = [] if len(shared) == len(own) else sorted(shared)
+        out[k] = "\n".join(HT.kept_lines(found[k][0], gone))
+    return [out[k] for k in range(len(rows))]
+
+
+@pytest.mark.parametrize(("rows_by_broadcast", "hot"), [(100_000, 100_000), (0, 1)])
+def test_pages_against_brute_force(spark, rows_by_broadcast, hot):
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/pages.parquet").collect()]
+    rows += [(-1, None, None), (-2, "", ""), (-3, "http://x/1", "<p>a"), (-3, "http://x/1", "<p>a"), (-4, "HTTP://X/2#f", "<div>a</div><div>b</div>"), (-5, "//x/3", "plain")]
+    got = sorted((r.page_id, r.text) for r in HT.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).repartition(5), rows_by_broadcast, hot).collect())
+    assert got == sorted((r[0], t) for r, t in zip(rows, brute_text(rows)))
+    # each of the given pages has one article, and what stays is that
+    article = {i: "\n".join(t for k, t in HT.blocks(h or "") if k == HT.MAIN) for i, _, h in rows[:-6]}
+    assert all(t == article[i] for i, t in got if i >= 0)
+
+
+def test_differencing_decides_lines_of_given_pages(spark):
+    pages = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/pages.parquet").withColumn("key", F.col("page_id")).withColumn("twin", F.lit(0).cast("long"))
+    parsed = pages.select("key", "twin", "page_id", HT._host().alias("host"), HT._path().alias("path"), "html").mapInArrow(HT._parse, HT.PARSED)
+    gone = {r.key: r.gone for r in HT._nearest(parsed).mapInArrow(HT._difference, "key long, twin long, gone array<int>").collect()}
+    kinds = {r.page_id: [k for k, _ in HT.blocks(r.html or "")] for r in pages.collect()}
+    deleted = [kinds[i][k] for i, g in gone.items() for k in g]
+    assert len(deleted) > 30 and np.mean([k == HT.SIDE for k in deleted]) > 0.9
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>One</p><section id=discussion><p>Our results</p></section></article>", "One\nOur results"), ("<article><p>One</p><p class='notice-of-results'>Two</p></article>", "One\nTwo"), ("<article>Let <math><mi>x</mi></math> be one.</article>", "Let x be one."),
+        ("<article><p>One</p><div class='comments'><p>no</p></div><div class='share-bar'>no</div></article>", "One"), ("<article><p class=banner-effect>Text</p><div class='ad'>no</div></article>", "Text"),
+    ],
+)
+def test_text_within_an_article_is_kept(page, want):
+    assert "\n".join(HT.kept_lines(HT.blocks(page), None)) == want
+
+
+def test_long_pages_are_aligned():
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 3000, 20000).tolist(), rng.integers(0, 3000, 20000).tolist()
+    got = sorted(HT.common(a, b))
+    at = 0
+    for k in got:  # a common subsequence, and no shorter than a greedy one
+        at = b.index(a[k], at) + 1
+    assert len(got) > 200
 
 
 def test_partners_have_an_article_or_other_lines(spark):
