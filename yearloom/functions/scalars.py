@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -95,7 +94,3 @@ def half_width(deviation: Column, n: Column, confidence: float | None = None) ->
     """Standard error of a mean, or the half width of its normal confidence interval; 0 for a single value."""
     z = 1.0 if confidence is None else NormalDist().inv_cdf(0.5 + confidence / 2)
     return F.when(n > 1, F.lit(z) * deviation / F.sqrt(n)).otherwise(0.0)
-
-
-def radians_to_degrees(x: float) -> float:
-    return math.degrees(x)

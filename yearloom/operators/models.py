@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot, normalized
 from ..schemas import VECTORS
+from ..sources.scratch import write_table
 
 
 def grid(spark: SparkSession, years: list[int], **parameters: list) -> DataFrame:
@@ -112,18 +113,40 @@ def similarity_scores(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return r.groupBy("model_id").agg(F.corr("a", "b").alias("similarity_score"), F.count("*").alias("pairs"))
 
 
-def analogy_scores(vectors: DataFrame, analogies: DataFrame) -> DataFrame:
-    """model_id, analogy_score, questions: how often the word nearest to b - a + c (the three apart) is d, of questions a model knows in full."""
+def _nearest_words(words: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
+    """Of a block of one model's words the nearest to each goal but a, b and c: one matrix product; of ties the last by name."""
+    if not len(words) or not len(goals):
+        return pd.DataFrame({"model_id": [], "q": [], "s": [], "word": []})
+    words = words.sort_values("word", ascending=False)
+    names = words["word"].tolist()
+    place = {w: i for i, w in enumerate(names)}
+    s = np.stack(goals["goal"].to_numpy()) @ np.stack(words["v"].to_numpy()).T
+    for k in "abc":
+        at = [(i, place[w]) for i, w in enumerate(goals[k]) if w in place]
+        if at:
+            s[tuple(np.array(at).T)] = -np.inf
+    best = s.argmax(axis=1)
+    return pd.DataFrame({"model_id": goals["model_id"], "q": goals["q"], "s": s[np.arange(len(s)), best], "word": [names[i] for i in best]})
+
+
+def analogy_scores(vectors: DataFrame, analogies: DataFrame, block: int = 5_000) -> DataFrame:
+    """model_id, analogy_score, questions: how often the word nearest to b - a + c (the three apart) is d, of questions a model knows in full.
+
+    A model's words are spread over blocks of about block words, each with the model's questions: no task holds a whole
+    vocabulary, and of each block one word a question is left.
+    """
     unit = vectors.select("model_id", "word", normalized(F.col("vector")).alias("v"))
-    q = F.broadcast(analogies.select("a", "b", "c", "d").withColumn("q", F.monotonically_increasing_id()))
+    q = analogies.groupBy("a", "b", "c", "d").agg(F.count("*").alias("n")).withColumn("q", F.xxhash64("a", "b", "c", "d"))
     x = unit.select("model_id", F.col("word").alias("a"), F.col("v").alias("va")).join(q, "a")
     for k in "bcd":
         x = x.join(unit.select("model_id", F.col("word").alias(k), F.col("v").alias(f"v{k}")), ["model_id", k])
-    x = x.select("model_id", "q", "a", "b", "c", "d", F.zip_with(F.zip_with("vb", "va", lambda s, t: s - t), "vc", lambda s, t: s + t).alias("goal"))
-    # questions are a fixed test set: every word meets each of them, and one best word a question is kept by partial aggregation
-    best = unit.join(F.broadcast(x), "model_id").where("word <> a and word <> b and word <> c").select("model_id", "q", "d", F.struct(dot(F.col("v"), F.col("goal")).alias("s"), F.col("word")).alias("hit"))
-    best = best.groupBy("model_id", "q", "d").agg(F.max("hit").alias("hit"))
-    return best.groupBy("model_id").agg(F.avg((F.col("hit.word") == F.col("d")).cast("double")).alias("analogy_score"), F.count("*").alias("questions"))
+    x = write_table(x.select("model_id", "q", "n", "a", "b", "c", "d", F.zip_with(F.zip_with("vb", "va", lambda s, t: s - t), "vc", lambda s, t: s + t).alias("goal")), "questions")
+    sizes = write_table(unit.groupBy("model_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
+    words = unit.join(sizes.withColumnRenamed("blocks", "parts"), "model_id").withColumn("block", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
+    goals = x.join(sizes, "model_id").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    hits = words.groupBy("model_id", "block").cogroup(goals.groupBy("model_id", "block")).applyInPandas(_nearest_words, "model_id string, q long, s double, word string")
+    best = hits.where("s > double('-infinity')").groupBy("model_id", "q").agg(F.max(F.struct("s", "word")).alias("hit")).join(x.select("model_id", "q", "n", "d"), ["model_id", "q"])
+    return best.groupBy("model_id").agg((F.sum((F.col("hit.word") == F.col("d")).cast("long") * F.col("n")) / F.sum("n")).alias("analogy_score"), F.sum("n").alias("questions"))
 
 
 def evaluate(vectors: DataFrame, pairs: DataFrame, analogies: DataFrame, done: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,8 @@ def shared_words(vectors: DataFrame, special: bool = False) -> DataFrame:
 
 
 def mean_vectors(vectors: DataFrame, *keys: str) -> DataFrame:
-    """Element-wise mean by keys."""
-    at = vectors.select(*keys, F.posexplode("vector").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))
-    return at.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+    """Element-wise mean by keys, each partition's own first."""
+    return vectors.groupBy(*keys).agg(Summarizer.mean(array_to_vector("vector")).alias("vector")).withColumn("vector", vector_to_array("vector"))
 
 
 def previous_model(vectors: DataFrame) -> DataFrame:
@@ -76,9 +77,7 @@ def mean_cosine_to_all(vectors: DataFrame, words: list[str], excluded: list[str]
     """
     unit = vectors.select("year", "word", normalized(F.col("vector")).alias("vector"))
     pool = unit.where(~F.col("word").isin(list(excluded))) if excluded else unit
-    sums = pool.select("year", F.posexplode("vector").alias("i", "x")).groupBy("year", "i").agg(F.sum("x").alias("x"))
-    sums = sums.groupBy("year").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("s"))
-    sums = sums.join(pool.groupBy("year").agg(F.count("*").alias("n")), "year")
+    sums = pool.groupBy("year").agg(Summarizer.sum(array_to_vector("vector")).alias("s"), F.count("*").alias("n")).withColumn("s", vector_to_array("s"))
     own = unit.where(F.col("word").isin(words)).join(F.broadcast(sums), "year")
     inside = F.lit(1) if not excluded else F.when(F.col("word").isin(list(excluded)), 0).otherwise(1)
     return own.select("year", "word", ((dot(F.col("vector"), F.col("s")) - inside * dot(F.col("vector"), F.col("vector"))) / F.nullif(F.col("n") - inside, F.lit(0))).alias("mean_cos"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +17,11 @@ from ..functions import scalars as S
 from ..functions import tokens as K
 from ..operators import counts as C
 from ..sources import files
+from ..sources.scratch import write_table
 from ..sources.tables import data_rows
 
-#: Words a list may have to stand in the plan as literals; longer ones are joined.
-LITERALS = 1000
+#: Distinct tokens that a task may look up in memory (some 100 bytes each); beyond, tokens meet their table in a join.
+LOOKUP = 500_000
 
 
 @dataclass(frozen=True)
@@ -54,11 +60,12 @@ def _accepted(w: Column, cfg: FilterConfig) -> Column:
     return ok
 
 
-def sentence_token(t: Column, cfg: FilterConfig) -> Column:
-    """One sentence token: lower case, whitelist, checks unless always included, lemma last."""
+def sentence_token(t: Column, cfg: FilterConfig, listed: Column | None = None, lemma: Column | None = None) -> Column:
+    """One sentence token: lower case, whitelist, checks unless always included, lemma last. listed and lemma stand for those of tables."""
     w = K.lowered(t, cfg.lower)
     kept = K.member(w, cfg.always_include)
-    listed = F.lit(True) if cfg.whitelist is None else K.member(w, cfg.whitelist) | kept
+    if listed is None:
+        listed = F.lit(True) if cfg.whitelist is None else K.member(w, cfg.whitelist)
     checks = F.lit(True)
     if cfg.alpha_only:
         checks &= K.is_alpha(w, cfg.ascii_alpha_only)
@@ -66,44 +73,100 @@ def sentence_token(t: Column, cfg: FilterConfig) -> Column:
         checks &= ~K.is_short(w, cfg.min_len)
     if cfg.stop_words:
         checks &= ~K.member(w, cfg.stop_words)
-    return F.when(listed & kept, w).when(listed & checks, K.lemma(w, cfg.lemmas)).otherwise(K.UNK)
+    return F.when(kept, w).when(listed & checks, F.coalesce(lemma, K.lemma(w, cfg.lemmas)) if lemma is not None else K.lemma(w, cfg.lemmas)).otherwise(K.UNK)
 
 
-def _mapped(df: DataFrame, key: str, tokens: Column, rest: list[str], convert: Callable[[Column], Column], listed: DataFrame | None) -> DataFrame:
-    """key, rest, out: tokens converted. Without a long list, in place; with one, each distinct token is converted and looked up once."""
-    if listed is None:
-        return df.select(*rest, F.transform(tokens, convert).alias("out"))
-    at = df.select(*rest, F.xxhash64(key).alias("_id"), key, F.posexplode(tokens).alias("_i", "_t"))
-    table = at.select("_t").distinct().withColumn("_o", convert(F.col("_t")))
-    table = table.join(listed.select(F.col("token").alias("_o")).distinct().withColumn("_k", F.lit(True)), "_o", "left").select("_t", F.when(F.col("_k"), F.col("_o")).otherwise(K.UNK).alias("_o"))
-    by = list(dict.fromkeys([key, *rest]))
-    joined = at.join(table, "_t").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_o"))).alias("_l"))
-    return joined.select(*rest, F.transform("_l", lambda s: s["_o"]).alias("out"))
+def _with_table(words: DataFrame, key: Column, table: DataFrame | None, token: str, value: Column) -> DataFrame:
+    """words with value of the row of table whose token is key, else null; the distinct words of a corpus and lists of any size meet by a join."""
+    if table is None:
+        return words.withColumn(token, F.lit(None))
+    own = table.groupBy(F.col("token").alias("_w")).agg(F.max(value).alias(token))
+    return words.withColumn("_w", key).join(own, "_w", "left").drop("_w")
+
+
+def _swap(name: str, pairs, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if name not in _HELD:
+        _HELD.clear()
+        tokens, out = pairs.value
+        _HELD[name] = (pa.array(tokens, pa.string()), pa.array([*out, K.UNK], pa.string()))
+    tokens, out = _HELD[name]
+    for batch in batches:
+        t = batch.column("_t")
+        t = t.cast(pa.list_(pa.string())) if t.type != pa.list_(pa.string()) else t
+        at = pc.fill_null(pc.index_in(t.flatten(), value_set=tokens), len(tokens))
+        sizes = pc.fill_null(pc.list_value_length(t), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns) if n != "_t"), pa.ListArray.from_arrays(pa.array(offsets), out.take(at))], names=[*(n for n in batch.schema.names if n != "_t"), "out"])
+
+
+_HELD: dict[str, tuple[pa.Array, pa.Array]] = {}
+
 
+def converted(df: DataFrame, tokens: Column, table: Callable[[DataFrame], DataFrame], lookup: int = LOOKUP) -> DataFrame:
+    """df with out: tokens as table converts them, the unknown mark for those it leaves out.
 
-def filter_ngrams(counts: DataFrame, cfg: FilterConfig, whitelist: DataFrame | None = None) -> DataFrame:
+    table takes the distinct tokens (t), so each is converted once, and returns (t, o). Where at most lookup of them
+    are known, tasks look them up in memory without a shuffle; else occurrences are joined to the table, frequent ones
+    spread over salts.
+    """
+    df = df.withColumn("_t", tokens)
+    known = write_table(table(df.select(F.explode("_t").alias("t")).distinct()).where(F.col("o") != K.UNK).select("t", "o"), "tokens")
+    if known.count() <= lookup:
+        rows = known.toPandas()
+        held = df.sparkSession.sparkContext.broadcast((rows["t"].tolist(), rows["o"].tolist()))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_t") + ", out array<string>"
+        return df.mapInArrow(partial(_swap, uuid.uuid4().hex, held), schema)
+    rest = [c for c in df.columns if c != "_t"]
+    rows = write_table(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    salted = rows.select("_id", F.posexplode("_t").alias("_i", "t")).withColumn("_s", F.pmod(F.col("_id"), F.lit(SALTS)))
+    spread = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    met = salted.join(spread, ["t", "_s"], "left").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("o", F.lit(K.UNK)).alias("o")))).alias("_l"))
+    return rows.join(met, "_id", "left").select(*rest, F.coalesce(F.transform("_l", lambda s: s["o"]), F.array().cast("array<string>")).alias("out"))
+
+
+#: Parts that the occurrences of a token are split into where they are joined.
+SALTS = 16
+
+
+def filter_ngrams(counts: DataFrame, cfg: FilterConfig, whitelist: DataFrame | None = None, lemmas: DataFrame | None = None, lookup: int = LOOKUP) -> DataFrame:
     """Counts by year and n-gram after every token passed the filter; n-grams with too few known tokens go, equal ones add up.
 
-    A whitelist longer than LITERALS is given as a table (token) instead of in cfg; always_include then counts too.
+    A long whitelist (token) or list of lemmas (token, lemma) is given as a table instead of in cfg, always_include
+    then counts too.
     """
-    if whitelist is None:
-        out = _mapped(counts, "ngram", K.split_words(F.col("ngram")), ["year", "occurrences", "documents"], lambda t: ngram_token(t, cfg), None)
+    tokens = K.split_words(F.col("ngram"))
+    if whitelist is None and lemmas is None:
+        out = counts.select("year", "occurrences", "documents", F.transform(tokens, lambda t: ngram_token(t, cfg)).alias("out"))
     else:
-        words = whitelist.select("token")
-        if cfg.always_include:
-            words = words.union(whitelist.sparkSession.createDataFrame([(w,) for w in sorted(cfg.always_include)], "token string"))
-        # distinct n-grams are converted once, whatever the number of their years
-        ngrams = counts.select("ngram").distinct()
-        plain = _mapped(ngrams, "ngram", K.split_words(F.col("ngram")), ["ngram"], lambda t: K.lemma(K.lowered(K.word_part(t), cfg.lower), cfg.lemmas), words)
-        out = counts.join(plain, "ngram")
+
+        def table(words: DataFrame) -> DataFrame:
+            w = words.withColumn("_p", K.lowered(K.word_part(F.col("t")), cfg.lower))
+            w = _with_table(w, F.col("_p"), lemmas, "_l", F.col("lemma") if lemmas is not None else F.lit(None))
+            w = w.withColumn("_p", F.coalesce("_l", K.lemma(F.col("_p"), cfg.lemmas)))
+            if whitelist is None:
+                return w.select("t", F.when(_accepted(F.col("_p"), cfg), F.col("_p")).otherwise(K.UNK).alias("o"))
+            w = _with_table(w, F.col("_p"), whitelist, "_k", F.lit(True))
+            return w.select("t", F.when(F.coalesce("_k", F.lit(False)) | K.member(F.col("_p"), cfg.always_include), F.col("_p")).otherwise(K.UNK).alias("o"))
+
+        out = converted(counts.select("year", "occurrences", "documents", "ngram"), tokens, table, lookup)
     out = out.where((K.known_tokens(F.col("out")) >= cfg.min_context_tokens) & (F.size("out") > 0))
     return out.groupBy(S.year_bin(F.col("year"), cfg.bin_size).alias("year"), F.array_join("out", " ").alias("ngram")).agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
 
 
-def filter_sentences(sentences: DataFrame, cfg: FilterConfig) -> DataFrame:
-    """Counts by genre, year and sentence after the filter; sentences with fewer than two known tokens go."""
-    out = sentences.select("genre", "year", "occurrences", "documents", F.transform(K.split_words(F.col("sentence")), lambda t: sentence_token(t, cfg)).alias("out"))
-    valid = F.size("out") if cfg.unk_is_valid and cfg.whitelist is not None else K.known_tokens(F.col("out"))
+def filter_sentences(sentences: DataFrame, cfg: FilterConfig, whitelist: DataFrame | None = None, lemmas: DataFrame | None = None, lookup: int = LOOKUP) -> DataFrame:
+    """Counts by genre, year and sentence after the filter; sentences with fewer than two known tokens go.
+
+    A long whitelist (token) or list of lemmas (token, lemma) is given as a table instead of in cfg.
+    """
+
+    def table(words: DataFrame) -> DataFrame:
+        w = K.lowered(F.col("t"), cfg.lower)
+        own = _with_table(words, w, whitelist, "_k", F.lit(True))
+        own = _with_table(own, w, lemmas, "_l", F.col("lemma") if lemmas is not None else F.lit(None))
+        return own.select("t", sentence_token(F.col("t"), cfg, F.coalesce("_k", F.lit(False)) if whitelist is not None else None, F.col("_l") if lemmas is not None else None).alias("o"))
+
+    out = converted(sentences.select("genre", "year", "occurrences", "documents", "sentence"), K.split_words(F.col("sentence")), table, lookup)
+    valid = F.size("out") if cfg.unk_is_valid and (cfg.whitelist is not None or whitelist is not None) else K.known_tokens(F.col("out"))
     out = out.where(valid >= 2)
     return out.groupBy("genre", "year", F.array_join("out", " ").alias("sentence")).agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
 
@@ -150,7 +213,8 @@ def ngram_whitelist(counts: DataFrame, top_n: int | None = None, min_count: int
 def sentence_whitelist(sentences: DataFrame, top_n: int | None = None, min_count: int = 1, years: tuple[int, int] | None = None, always: Iterable[str] = (), dictionary: DataFrame | None = None) -> DataFrame:
     """token, total of words that occur in every year that the corpus has of a range; always-included words are added with their total or 0."""
     tokens = sentences.select("year", F.explode(K.split_words(F.col("sentence"))).alias("token"), "occurrences").where(F.col("token") != K.UNK)
-    yearly = tokens.groupBy("year", "token").agg(F.sum("occurrences").alias("occurrences"))
+    # read twice or more below, and much smaller than what it is made of
+    yearly = write_table(tokens.groupBy("year", "token").agg(F.sum("occurrences").alias("occurrences")), "yearly")
     t = C.totals(yearly, "token", *(years or ()))
     every = t
     if years:
@@ -162,13 +226,12 @@ def sentence_whitelist(sentences: DataFrame, top_n: int | None = None, min_count
     return C.ranked(best.select("token", "total").unionByName(missing))
 
 
-def filter_corpus(sentences: DataFrame, cfg: FilterConfig, top_n: int, years: tuple[int, int] | None = None) -> DataFrame:
-    """Filter, rank the words that remain, and filter again by that list (at most LITERALS words, else an error)."""
-    if top_n > LITERALS:
-        raise ValueError(f"a list of more than {LITERALS} words is joined: use filter_sentences and sentence_whitelist")
-    first = filter_sentences(sentences, cfg)
-    words = frozenset(r[0] for r in sentence_whitelist(first, top_n, 1, years, cfg.always_include).select("token").collect())
-    return filter_sentences(first, FilterConfig(lower=None, alpha_only=False, filter_short=False, whitelist=words, always_include=cfg.always_include, unk_is_valid=cfg.unk_is_valid))
+def filter_corpus(sentences: DataFrame, cfg: FilterConfig, top_n: int | None, years: tuple[int, int] | None = None, lemmas: DataFrame | None = None, lookup: int = LOOKUP) -> DataFrame:
+    """Filter, rank the words that remain, and filter again by that list, of any length; the first result is written, since both later steps read it."""
+    first = write_table(filter_sentences(sentences, cfg, lemmas=lemmas, lookup=lookup), "filtered")
+    words = write_table(sentence_whitelist(first, top_n, 1, years, cfg.always_include), "whitelist")
+    again = FilterConfig(lower=None, alpha_only=False, filter_short=False, always_include=cfg.always_include, unk_is_valid=cfg.unk_is_valid)
+    return filter_sentences(first, again, words.select("token"), lookup=lookup)
 
 
 def training_corpus(counts: DataFrame, unk: str = "reject", by: str = "freq", base: float | None = 5, text: str = "ngram") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,7 @@ from .sources import files as FI
 from .sources import metadata as ME
 from .sources import sinks as SK
 from .sources import tables as TB
+from .sources.scratch import new_path
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,7 +90,7 @@ def flagship_whitelist(spark, d):
 
 @query(f"with {NG} select ngram, year, occurrences, documents from ng")
 def s1_s2_k1_store_round_trip(spark, d):
-    path = tempfile.mkdtemp(prefix="yearloom-") + "/long"
+    path = new_path(spark, "long")
     TB.write_long(A.ngram_counts(spark, d), path)
     return TB.read_long(spark, path).select("ngram", "year", "occurrences", "documents")
 
@@ -139,7 +139,7 @@ def s10_file_listing(spark, d):
 
 @query(f"with {NG} select year, ngram, occurrences, documents from ng")
 def s12_k11_gzip_lines(spark, d):
-    path = tempfile.mkdtemp(prefix="yearloom-") + "/lines"
+    path = new_path(spark, "lines")
     _lines(spark, d).write.option("compression", "gzip").text(path)
     return P.read_ngrams(spark, path)
 
@@ -168,26 +168,33 @@ def s15_shuffled_files(spark, d):
 
 @query(f"with {_NAMES} select distinct file from files")
 def s16_processed_marks(spark, d):
-    base = tempfile.mkdtemp(prefix="yearloom-")
+    base = new_path(spark, "base")
     f = _files(spark, d)
     for _ in range(2):
         SK.append_batch(f, base + "/data", f, base + "/marks")
     return spark.read.parquet(base + "/marks").distinct()
 
 
-@query(r"select doc_id, regexp_replace(text, '^[ \t\n\r\f]*(?:@@|##)[^\n]*\n?', '') as content from documents where doc_id < 40")
-def s17_s18_zip_reader(spark, d):
-    import os
+def _zipped(frames):
+    import io
     import zipfile
 
-    folder = tempfile.mkdtemp(prefix="yearloom-")
-    rows = A.table(spark, d, "documents").where("doc_id < 40").select("doc_id", "text").collect()
-    for part in range(2):
-        with zipfile.ZipFile(os.path.join(folder, f"text_19{part}0s_x.zip"), "w") as z:
-            for r in rows:
-                if r[0] % 2 == part:
-                    z.writestr(f"fic_1900_{r[0]}.txt", f"@@{r[0]}\n{r[1]}")
-    return FI.zip_documents(spark, folder).select(F.col("text_id").alias("doc_id"), "content")
+    import pandas as pd
+
+    for frame in frames:
+        for part, own in frame.groupby("part"):
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w") as z:
+                for r in own.itertuples():
+                    z.writestr(f"fic_1900_{r.doc_id}.txt", f"@@{r.doc_id}\n{r.text}")
+            yield pd.DataFrame({"path": [f"text_19{part}0s_x.zip"], "content": [raw.getvalue()]})
+
+
+@query(r"select doc_id, regexp_replace(text, '^[ \t\n\r\f]*(?:@@|##)[^\n]*\n?', '') as content from documents")
+def s17_s18_zip_reader(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 2).alias("part"))
+    archives = docs.mapInPandas(_zipped, "path string, content binary")
+    return FI.zip_members(archives).select(F.col("text_id").alias("doc_id"), "content")
 
 
 _MEMBER = "lower(lang) || '_' || (1900 + doc_id % 100) || '_' || doc_id || '.txt'"
@@ -255,7 +262,7 @@ def s30_metadata_lookup(spark, d):
 
 @query(f"with {NG} select year, count(*) as unique_ngrams, cast(sum(occurrences) as bigint) as total_freq, cast(sum(case when documents > 2 then documents else 0 end) as bigint) as total_docs from ng group by year")
 def s31_k14_a11_t12_corpus_stats(spark, d):
-    base = tempfile.mkdtemp(prefix="yearloom-")
+    base = new_path(spark, "base")
     n = A.ngram_counts(spark, d).select("year", F.col("occurrences").alias("freq"), F.when(F.col("documents") > 2, F.col("documents")).alias("doc"))
     for y in [r[0] for r in n.select("year").distinct().collect()]:
         _single_json(n.where(F.col("year") == y).select("freq", "doc"), base, y)
@@ -263,11 +270,14 @@ def s31_k14_a11_t12_corpus_stats(spark, d):
 
 
 def _single_json(df, base, year):
-    import glob
-    import shutil
-
+    """One file of JSON lines, named by its year, whatever the file system."""
     df.coalesce(1).write.json(f"{base}/_{year}")
-    shutil.move(glob.glob(f"{base}/_{year}/part-*.json")[0], f"{base}/{year}.jsonl")
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    folder = path(f"{base}/_{year}")
+    files = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    for f in files.listStatus(folder):
+        if f.getPath().getName().startswith("part-"):
+            files.rename(f.getPath(), path(f"{base}/{year}.jsonl"))
 
 
 _WL = f"with {NG}, w as (select ngram as token, cast(sum(occurrences) as bigint) as total from ng group by 1)"
@@ -275,7 +285,7 @@ _WL = f"with {NG}, w as (select ngram as token, cast(sum(occurrences) as bigint)
 
 @query(_WL + " select token, total from (select * from w order by total desc, token limit 50) where total >= 1500")
 def s32_k10_whitelist_file(spark, d):
-    path = tempfile.mkdtemp(prefix="yearloom-") + "/whitelist"
+    path = new_path(spark, "whitelist")
     SK.write_whitelist(P.ngram_whitelist(A.ngram_counts(spark, d)), path)
     return FI.read_whitelist(spark, path, 50, 1500)
 
@@ -325,7 +335,7 @@ def k3_k4_a9_p18_p19_p20_sentences(spark, d):
 
 @query(f"with {NG} select year, ngram, occurrences from ng")
 def k5_k6_k7_k8_sorted_partitions(spark, d):
-    base = tempfile.mkdtemp(prefix="yearloom-")
+    base = new_path(spark, "base")
     TB.write_long(A.ngram_counts(spark, d), base + "/a")
     SK.compact(TB.read_long(spark, base + "/a"), base + "/b", 2)
     return spark.read.parquet(base + "/b").select("year", "ngram", "occurrences")
@@ -339,14 +349,14 @@ def k11_p26_corpus_lines(spark, d):
 
 @query(f"with {MO} select year, word, cnt as count from m")
 def k12_save_vectors(spark, d):
-    path = tempfile.mkdtemp(prefix="yearloom-") + "/v"
+    path = new_path(spark, "v")
     SK.write_vectors(A.models(spark, d), path)
     return spark.read.parquet(path).select("year", "word", "count")
 
 
 @query("select n_name, cast(count(*) * 2 as bigint) as n from nation group by 1")
 def k13_results_append(spark, d):
-    path = tempfile.mkdtemp(prefix="yearloom-") + "/r"
+    path = new_path(spark, "r")
     n = A.table(spark, d, "nation").select("n_name")
     SK.write_results(n, path, False)
     SK.write_results(n, path)
@@ -401,19 +411,19 @@ def p5_p6_tags(spark, d):
     return t.select("token", K.word_part(F.col("token")).alias("word"), K.universal_tag(K.tag_part(F.col("token"))).alias("tag"))
 
 
-_TOK = r"with w as (select distinct unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) as w from documents where doc_id < 200)"
+_TOK = r"with w as (select distinct unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) as w from documents)"
 
 
 @query(_TOK + f" select w, {LOWER.format('w')} as low, regexp_full_match(w, '[A-Za-z]+') as ascii_alpha, octet_length(encode(w)) < 4 as short, {LOWER.format('w')} in ('the', 'of') as stop from w")
 def p7_p8_p10_p11_token_tests(spark, d):
-    t = A.table(spark, d, "documents").where("doc_id < 200").select(F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").distinct()
+    t = A.table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").distinct()
     w = F.col("w")
     return t.select("w", K.ascii_lower(w).alias("low"), K.is_alpha(w).alias("ascii_alpha"), K.is_short(w, 4).alias("short"), K.member(K.ascii_lower(w), ["the", "of"]).alias("stop"))
 
 
 @query(_TOK + r" select w, regexp_full_match(w, '\p{L}+') as alpha from w")
 def p9_unicode_alpha(spark, d):
-    t = A.table(spark, d, "documents").where("doc_id < 200").select(F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").distinct()
+    t = A.table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").distinct()
     return t.select("w", K.is_alpha(F.col("w"), False).alias("alpha"))
 
 
@@ -623,18 +633,18 @@ def a17_residuals(spark, d):
     return T.residuals(_yearly(spark, d), "o", "c").select("year", F.round("residual", 3).alias("residual"))
 
 
-_TOP8 = f"with {NG}, k as (select ngram from ng group by 1 having count(*) = 7 order by ngram limit 8), s as (select ng.* from ng join k using (ngram)), p as (select a.ngram as a, b.ngram as b, corr(a.occurrences, b.occurrences) as r from s a join s b on a.year = b.year and a.ngram < b.ngram group by 1, 2)"
+_FULL = f"with {NG}, k as (select ngram from ng group by 1 having count(*) = 7), s as (select ng.* from ng join k using (ngram)), p as (select a.ngram as a, b.ngram as b, corr(a.occurrences, b.occurrences) as r from s a join s b on a.year = b.year and a.ngram < b.ngram group by 1, 2)"
 
 
-def _eight(spark, d):
+def _full(spark, d):
+    """The n-grams that occur in all seven years."""
     n = A.ngram_counts(spark, d)
-    k = n.groupBy("ngram").count().where("count = 7").orderBy("ngram").limit(8).select("ngram")
-    return n.join(F.broadcast(k), "ngram").withColumnRenamed("ngram", "word")
+    return n.join(n.groupBy("ngram").count().where("count = 7").select("ngram"), "ngram").withColumnRenamed("ngram", "word")
 
 
-@query(_TOP8 + " select round(avg(r), 6) as mean, round(median(r), 6) as median, round(stddev_pop(r), 6) as std, round(min(r), 6) as min, round(max(r), 6) as max, count(r) as pairs from p")
+@query(_FULL + " select round(avg(r), 6) as mean, round(median(r), 6) as median, round(stddev_pop(r), 6) as std, round(min(r), 6) as min, round(max(r), 6) as max, count(r) as pairs from p")
 def a18_pair_correlations(spark, d):
-    return rounded(T.correlation_summary(T.pair_correlations(_eight(spark, d), "occurrences")), "mean", "median", "std", "min", "max")
+    return rounded(T.correlation_summary(T.pair_correlations(_full(spark, d), "occurrences")), "mean", "median", "std", "min", "max")
 
 
 @query("select o_orderstatus, round(avg(o_totalprice), 2) as mean, count(o_totalprice) as n from orders group by 1")
@@ -717,12 +727,12 @@ def w8_t11_rolling_mean(spark, d):
 
 @query()
 def w9_gaussian(spark, d):
-    return T.gaussian(_eight(spark, d), "occurrences", 1.5, ["word"]).select("word", "year", r6("smooth", "smooth"))
+    return T.gaussian(_full(spark, d), "occurrences", 1.5, ["word"]).select("word", "year", r6("smooth", "smooth"))
 
 
 @query()
 def w10_derivative(spark, d):
-    return T.derivative(_eight(spark, d), "occurrences", ["word"])
+    return T.derivative(_full(spark, d), "occurrences", ["word"])
 
 
 _GAPS = "with g as (select cast(year(l_shipdate) as int) as year, avg(l_quantity) as x from lineitem group by 1), h as (select year, case when year % 3 = 0 then x end as v from g)"
@@ -1127,7 +1137,17 @@ def c6_w3_sentence_whitelist(spark, d):
     return P.sentence_whitelist(P.ingest_sentences(A.documents(spark, d)), 25, 1, (1920, 1929), ["absent"])
 
 
-@query()
+_DECADES = SENT.replace("cast(1900 + doc_id % 100 as int) as year", "cast((1900 + doc_id % 100) // 10 * 10 as int) as year")
+
+
+@query(
+    f"""with {_DECADES}, f as (select genre, year, list_transform(string_split(sentence, ' '), lambda x: case when regexp_full_match({LOWER.format('x')}, '\\p{{L}}+') and octet_length(encode({LOWER.format('x')})) >= 3 then {LOWER.format('x')} else '<UNK>' end) as t, occurrences, documents from st),
+    one as (select genre, year, array_to_string(t, ' ') as sentence, sum(occurrences) as occurrences, sum(documents) as documents from f where len(list_filter(t, lambda x: x <> '<UNK>')) >= 2 group by 1, 2, 3),
+    best as (select token from (select unnest(string_split(sentence, ' ')) as token, occurrences from one) where token <> '<UNK>' group by 1 order by sum(occurrences) desc, token limit 200),
+    listed as (select list(token) as l from best),
+    g as (select genre, year, list_transform(string_split(sentence, ' '), lambda x: case when list_contains(l, x) then x else '<UNK>' end) as t, occurrences, documents from one, listed)
+    select genre, year, array_to_string(t, ' ') as sentence, cast(sum(occurrences) as bigint) as occurrences, cast(sum(documents) as bigint) as documents from g where len(list_filter(t, lambda x: x <> '<UNK>')) >= 2 group by 1, 2, 3"""
+)
 def c6_filter_corpus(spark, d):
     return P.filter_corpus(P.ingest_sentences(A.documents(spark, d), bin_size=10), P.FilterConfig(ascii_alpha_only=False), 200)
 
@@ -1139,7 +1159,7 @@ def c8_corpus_paths(spark, d):
 
 @query(f"with {NG} select year, ngram, occurrences, documents from ng")
 def s14_streaming_ingest(spark, d):
-    base = tempfile.mkdtemp(prefix="yearloom-")
+    base = new_path(spark, "base")
     lines = _lines(spark, d)
     for part in range(2):
         lines.where(F.pmod(F.hash("value"), F.lit(2)) == part).write.mode("append").text(base + "/in")

@@ -83,6 +83,11 @@ def zip_documents(spark: SparkSession, folder: str, glob: str = "text_*.zip") ->
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {glob} in {folder}")
+    return zip_members(files)
+
+
+def zip_members(files: DataFrame) -> DataFrame:
+    """path, member, content, text_id of the text files in archives (path, content: an archive of less than 2 GiB); content without the marker line, blank ones dropped."""
     docs = files.select("path", "content").mapInPandas(_members, "path string, member string, content string")
     return docs.withColumn("text_id", text_id(F.col("content"))).withColumn("content", without_marker(F.col("content"))).where(F.trim("content") != "")
 
