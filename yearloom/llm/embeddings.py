@@ -145,35 +145,103 @@ def _cell(cap: int, same: bool, side: np.ndarray, head: np.ndarray, copies: np.n
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links[order[np.searchsorted(head[order], ids)]]), pa.array(root)], names=["id", "links", "root"])
 
 
+def _earlier(flat: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """Whether the rows a and b share a cap before cap; the ascending caps of row r stand from offsets[r] to offsets[r + 1] of flat."""
+    out = np.zeros(len(a), dtype=bool)
+    size = np.diff(offsets)
+    plain = (size[a] == LIST) & (size[b] == LIST)
+    at = np.flatnonzero(plain)
+    for k in range(0, len(at), 4096):
+        own = at[k : k + 4096]
+        p, q = flat[offsets[a[own], None] + np.arange(LIST)], flat[offsets[b[own], None] + np.arange(LIST)]
+        out[own] = ((p[:, :, None] == q[:, None, :]) & (p < cap[own, None])[:, :, None]).any(axis=(1, 2))
+    # rows and caps as one ascending key
+    keys = (np.repeat(np.arange(len(size)), size) << 33) | flat
+    at = np.flatnonzero(~plain)
+    for k in range(0, len(at), 65536):
+        own = at[k : k + 65536]
+        n = size[a[own]]
+        pair = np.repeat(np.arange(len(own)), n)
+        e = flat[np.repeat(offsets[a[own]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
+        early = e < cap[own][pair]
+        pair, want = pair[early], (b[own][pair[early]] << 33) | e[early]
+        found = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        out[own[pair[keys[found] == want]]] = True
+    return out
+
+
+def _small_cells(starts: np.ndarray, sizes: np.ndarray, cap: np.ndarray, head: np.ndarray, copies: np.ndarray, x: np.ndarray, flat: np.ndarray, offsets: np.ndarray, least: float) -> pa.RecordBatch | None:
+    """As _cell, for many cells at once, each a run of rows that are all compared with one another."""
+    left, right = [], []
+    for s in np.unique(sizes).tolist():
+        i, j = np.triu_indices(s, 1)
+        at = starts[sizes == s][:, None]
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    a, b = np.concatenate(left), np.concatenate(right)
+    near = np.zeros(len(a), dtype=bool)
+    for k in range(0, len(a), 65536):
+        near[k : k + 65536] = np.einsum("ij,ij->i", x[a[k : k + 65536]], x[b[k : k + 65536]]) >= least
+    a, b = a[near], b[near]
+    keep = ~_earlier(flat, offsets, a, b, cap[a])
+    a, b = head[a[keep]], head[b[keep]]
+    if not len(a):
+        return None
+    names, number = np.unique(head, return_inverse=True)
+    weight = np.zeros(len(names), dtype=np.int64)
+    weight[number] = copies
+    p, q = np.searchsorted(names, a), np.searchsorted(names, b)
+    links = np.bincount(np.concatenate([p, q]), weights=np.concatenate([weight[q], weight[p]]), minlength=len(names)).astype(np.int64)
+    ids, root = roots(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links[np.searchsorted(names, ids)]), pa.array(root)], names=["id", "links", "root"])
+
+
+#: Rows of a cell that is compared together with others.
+SMALL = 64
+
+
 def _verify(least: float, kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (label, dim, cap, i, j): each run of equal keys is one cell."""
-    held: list[pa.RecordBatch] = []
-    last = None
-
-    def close() -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(held).combine_chunks()
-        if t.num_rows < 2:
-            return None
-        dim = t["dim"][0].as_py()
-        x = unit(np.frombuffer(b"".join(t["vector"].to_pylist()), kind).reshape(-1, dim))
-        caps = t["caps"].combine_chunks()
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        return _cell(t["cap"][0].as_py(), i == j, (t["block"].to_numpy() != i).astype(int), t["head"].to_numpy(), t["copies"].to_numpy(), x, caps, least)
+    columns = ("label", "dim", "cap", "i", "j")
+
+    def closed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        keys = np.stack([t[c].to_numpy().astype(np.int64) for c in columns], axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+        starts, sizes = cuts[:-1], np.diff(cuts)
+        starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+        small = (sizes <= SMALL) & (keys[starts, 3] == keys[starts, 4])
+        for dim in np.unique(keys[starts[small], 1]).tolist():
+            own = small & (keys[starts, 1] == dim)
+            rows = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[own].tolist(), sizes[own].tolist())])
+            part = t.take(pa.array(rows)).combine_chunks()
+            caps = part["caps"].combine_chunks()
+            x = unit(np.frombuffer(b"".join(part["vector"].to_pylist()), kind).reshape(-1, dim))
+            begin = np.concatenate([[0], np.cumsum(sizes[own])[:-1]])
+            if out := _small_cells(begin, sizes[own], part["cap"].to_numpy(), part["head"].to_numpy(), part["copies"].to_numpy(), x, caps.flatten().to_numpy(), caps.offsets.to_numpy().astype(np.int64) - caps.offsets[0].as_py(), least):
+                yield out
+        for s, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
+            part = t.slice(s, n).combine_chunks()
+            x = unit(np.frombuffer(b"".join(part["vector"].to_pylist()), kind).reshape(n, -1))
+            i, j = part["i"][0].as_py(), part["j"][0].as_py()
+            caps = pa.array(part["caps"].to_pylist(), pa.list_(pa.int64()))
+            if out := _cell(part["cap"][0].as_py(), i == j, (part["block"].to_numpy() != i).astype(int), part["head"].to_numpy(), part["copies"].to_numpy(), x, caps, least):
+                yield out
 
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("label", "dim", "cap", "i", "j")], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        for p, q in zip(cuts, cuts[1:]):
-            key = tuple(keys[p])
-            if key != last:
-                if held and (out := close()):
-                    yield out
-                held, last = [], key
-            held.append(batch.slice(p, q - p))
-    if held and (out := close()):
-        yield out
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
+        # the last cell may go on in the next batch
+        last = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys != keys[-1]).any() else 0
+        if last or (held and (np.array([held[-1].column(c)[-1].as_py() for c in columns]) != keys[0]).any()):
+            done = [*held, batch.slice(0, last)] if last else held
+            yield from closed(pa.Table.from_batches(done))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from closed(pa.Table.from_batches(held))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, cell: int = CELL, broadcast_rows: int = 200_000, hot_rows: int = 100_000) -> DataFrame:
