@@ -10,6 +10,7 @@ from yearloom.functions import scalars as S
 from yearloom.functions import tokens as K
 from yearloom.operators import counts as C
 from yearloom.operators import drift as D
+from yearloom.operators import models as M
 from yearloom.operators import regression as R
 from yearloom.operators import series as T
 from yearloom.operators import vectors as E
@@ -280,3 +281,69 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship_whitelist' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q if k[2:3].isdigit()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+@pytest.mark.parametrize("lookup", [500_000, 0])
+def test_sentences_with_long_lists_as_tables(spark, lookup):
+    rows = [("fic", 1900, "The cats was Running", 3, 2), ("fic", 1900, "the Cats was running", 1, 1), ("fic", 1900, "a dog", 1, 1), ("new", 1901, "dog dog dog", 2, 1), ("new", 1901, "", 2, 1), ("new", 1901, "x y z", 2, 1)]
+    df = spark.createDataFrame(rows, "genre string, year int, sentence string, occurrences long, documents long")
+    words, lemmas = ["cats", "was", "dog", "running"], {"cats": "cat", "was": "be", "running": "run", "other": "o"}
+    cfg = P.FilterConfig(always_include=frozenset({"a"}))
+    plain = P.filter_sentences(df, P.FilterConfig(always_include=frozenset({"a"}), whitelist=frozenset(words), lemmas=lemmas))
+    tables = P.filter_sentences(df, cfg, spark.createDataFrame([(w,) for w in words * 2], "token string"), spark.createDataFrame(sorted(lemmas.items()), "token string, lemma string"), lookup)
+    want = {("fic", 1900, "<UNK> cat be run", 4, 3), ("fic", 1900, "a dog", 1, 1), ("new", 1901, "dog dog dog", 2, 1)}
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in tables.collect()} == want
+    assert tables.count() == len(want)
+
+
+@pytest.mark.parametrize("lookup", [500_000, 0])
+def test_corpus_filter_takes_lists_of_any_length(spark, lookup):
+    rows = [("g", 1900, f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]} common thing{'abcdefghij'[i // 1000]}", 1 + i % 3, 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "genre string, year int, sentence string, occurrences long, documents long")
+    got = P.filter_corpus(df, P.FilterConfig(ascii_alpha_only=False), 2500, lookup=lookup).collect()
+    assert sum(r.occurrences for r in got) == sum(r[3] for r in rows) and all("common" in r.sentence for r in got)
+    few = P.filter_corpus(df, P.FilterConfig(ascii_alpha_only=False), 1, lookup=lookup)
+    assert few.isEmpty()
+
+
+@pytest.mark.parametrize("lookup", [500_000, 0])
+def test_ngrams_with_lemma_tables(spark, lookup):
+    n = spark.createDataFrame([(2000, "Cats_NOUN run_VERB", 5, 1), (2000, "cat running", 2, 1)], "year int, ngram string, occurrences long, documents long")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("running", "run")], "token string, lemma string")
+    got = P.filter_ngrams(n, P.FilterConfig(), lemmas=lemmas, lookup=lookup).collect()
+    assert [tuple(r) for r in got] == [(2000, "cat run", 7, 2)]
+
+
+def test_invalid_models_are_trained_again(spark):
+    v = spark.createDataFrame([("a", "x", [1.0, 2.0]), ("a", "y", [1.0, 3.0]), ("b", "x", [1.0]), ("b", "y", [1.0, 2.0]), ("c", "x", [float("nan"), 1.0]), ("d", "x", None), ("e", "x", [1.0, 1.0]), ("e", "x", [1.0, 1.0])], "model_id string, word string, vector array<double>")
+    tasks = spark.createDataFrame([(m,) for m in "abcdef"], "model_id string")
+    todo, kept = M.to_train(tasks, v)
+    assert {r[0] for r in todo.collect()} == set("bcdef") and {r.model_id for r in kept.collect()} == {"a"}
+
+
+def test_analogies_in_blocks(spark):
+    rng = np.random.default_rng(0)
+    rows = [(m, f"w{i}", rng.standard_normal(8).tolist()) for m in ("a", "b") for i in range(60)]
+    rows += [("a", w, [float(x) for x in v]) for w, v in (("king", (1, 1, 0, 0, 0, 0, 0, 5)), ("man", (1, 0, 0, 0, 0, 0, 0, 5)), ("woman", (0, 0, 1, 0, 0, 0, 0, 5)), ("queen", (0, 1, 1, 0, 0, 0, 0, 5)))]
+    df = spark.createDataFrame(rows, "model_id string, word string, vector array<double>")
+    q = [("man", "king", "woman", "queen"), ("man", "king", "woman", "w1")] + [tuple(f"w{k}" for k in rng.choice(60, 4, replace=False)) for _ in range(20)] + [("w1", "w2", "w3", "absent")]
+    got = {r.model_id: (r.analogy_score, r.questions) for r in M.analogy_scores(df, spark.createDataFrame(q, "a string, b string, c string, d string"), block=7).collect()}
+    for m in ("a", "b"):
+        own = {w: np.array(v) / np.linalg.norm(v) for x, w, v in rows if x == m}
+        known = [t for t in q if all(w in own for w in t)]
+        right = sum(max((w for w in own if w not in t[:3]), key=lambda w: own[w] @ (own[t[1]] - own[t[0]] + own[t[2]])) == t[3] for t in known)
+        assert got[m] == (right / len(known), len(known))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from yearloom.sources import scratch
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "local-cluster[2,1,512]"
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Session)

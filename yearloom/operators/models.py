@@ -27,6 +27,20 @@ def untrained(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return tasks.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def validity(vectors: DataFrame, size: int | None = None) -> DataFrame:
+    """model_id, words, valid: whether a model has words, all with finite vectors of one length (of size, where it is given), none twice."""
+    n = F.size("vector")
+    good = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & (n > 0)
+    one = (F.min(n) == F.max(n)) & (F.lit(True) if size is None else F.min(n) == size)
+    return vectors.groupBy("model_id").agg(F.count("*").alias("words"), (F.min(F.coalesce(good, F.lit(False))) & one & (F.count_distinct("word") == F.count("*"))).alias("valid"))
+
+
+def to_train(tasks: DataFrame, vectors: DataFrame, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tasks whose model is missing or not valid, and vectors without the models that aren't: those are trained again."""
+    valid = write_table(validity(vectors, size).where("valid").select("model_id"), "valid")
+    return untrained(tasks, valid, ["model_id"]), vectors.join(F.broadcast(valid), "model_id", "left_semi")
+
+
 def skip_gram(corpus: DataFrame, year: int, vector_size: int = 100, window: int = 5, min_count: int = 5, epochs: int = 1, seed: int = 0, partitions: int = 1, model_id: str | None = None) -> DataFrame:
     """Vectors of one year's corpus (year, tokens, weight) by distributed skip-gram with hierarchical softmax."""
     from pyspark.ml.feature import Word2Vec
@@ -50,12 +64,12 @@ def model_name(year: Column, weight_by: Column, vector_size: Column, window: Col
     return F.format_string("w2v_y%d_wb%s_vs%03d_w%03d_mc%03d_sg%d_e%03d", year, weight_by, vector_size, window, min_count, sg, epochs)
 
 
-def train_grid(corpus: DataFrame, tasks: DataFrame, negatives: int = 5, rate: float = 0.05, seed: int = 0, vocabulary: int = 200_000) -> DataFrame:
+def train_grid(corpus: DataFrame, tasks: DataFrame, negatives: int = 5, rate: float = 0.05, seed: int = 0, vocabulary: int | None = None) -> DataFrame:
     """A model for each task (model_id, year, vector_size, window, min_count, epochs), one group a task, in numpy.
 
     Tasks are a list of settings and are broadcast; those already done are left out with untrained beforehand. A
-    year's corpus goes to the group in Arrow batches; it holds the vocabulary's two matrices (at most vocabulary
-    words) and the sentences as word numbers. For a corpus beyond one task's memory, use skip_gram.
+    year's corpus goes to the group in Arrow batches; it holds the vocabulary's two matrices (of all words that
+    are frequent enough, or the vocabulary most frequent, if that is given) and the sentences as word numbers. For a corpus beyond one task's memory, use skip_gram.
     """
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

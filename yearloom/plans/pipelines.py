@@ -10,7 +10,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -119,7 +119,7 @@ def converted(df: DataFrame, tokens: Column, table: Callable[[DataFrame], DataFr
     rest = [c for c in df.columns if c != "_t"]
     rows = write_table(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
     salted = rows.select("_id", F.posexplode("_t").alias("_i", "t")).withColumn("_s", F.pmod(F.col("_id"), F.lit(SALTS)))
-    spread = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    spread = known.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     met = salted.join(spread, ["t", "_s"], "left").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("o", F.lit(K.UNK)).alias("o")))).alias("_l"))
     return rows.join(met, "_id", "left").select(*rest, F.coalesce(F.transform("_l", lambda s: s["o"]), F.array().cast("array<string>")).alias("out"))
 
@@ -234,6 +234,20 @@ def filter_corpus(sentences: DataFrame, cfg: FilterConfig, top_n: int | None, ye
     return filter_sentences(first, again, words.select("token"), lookup=lookup)
 
 
+def observed(df: DataFrame, step: str, kept: Column) -> tuple[DataFrame, Observation]:
+    """The rows of df that are kept, and what counts them and those read as they pass: no job of its own."""
+    seen = Observation(step)
+    marked = df.withColumn("_kept", F.coalesce(kept, F.lit(False))).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("_kept").alias("kept"))
+    return marked.where("_kept").drop("_kept"), seen
+
+
+def observations(spark: SparkSession, seen: Iterable[Observation]) -> DataFrame:
+    """step, rows, kept, share of steps whose results were asked for."""
+    rows = [(o._name, o.get["rows"], o.get["kept"]) for o in seen]
+    share = F.round(F.col("kept") / F.nullif(F.col("rows"), F.lit(0)), 6)
+    return spark.createDataFrame(rows, "step string, rows long, kept long").withColumn("share", share)
+
+
 def training_corpus(counts: DataFrame, unk: str = "reject", by: str = "freq", base: float | None = 5, text: str = "ngram") -> DataFrame:
     """year, tokens, weight of the n-grams or sentences that the treatment of unknown tokens leaves."""
     t = S.unk_mode(K.split_words(F.col(text)), unk)

@@ -307,6 +307,12 @@ def s35_yearly_models(spark, d):
     return FI.yearly_models(spark, A.models(spark, d).where("year % 2 = 0"), 2000, 2015, 3)
 
 
+@query("select 'w2v_y' || (2000 + vec_id % 10) as model_id, count(*) as words, vec_id % 10 <> 3 and min(len(embedding)) = max(len(embedding)) as valid from embeddings group by 1, vec_id % 10")
+def s38_model_validity(spark, d):
+    v = A.models(spark, d).withColumn("vector", F.when((F.col("year") == 2003) & (F.col("word") == "w1"), F.transform("vector", lambda x: F.lit(float("nan")))).otherwise(F.col("vector")))
+    return M.validity(v).select("model_id", "words", "valid")
+
+
 @query("select n_nationkey, cast(1900 + n_nationkey as int) as year from nation")
 def s36_model_year(spark, d):
     n = F.when(F.col("n_nationkey") % 2 == 0, F.format_string("w2v_y%d_wbnone.kv", 1900 + F.col("n_nationkey"))).otherwise(F.format_string("model_%d.kv", 1900 + F.col("n_nationkey")))
@@ -432,7 +438,7 @@ def p12_lemma(spark, d):
     return A.table(spark, d, "part").select("p_name").distinct().select("p_name", K.lemma(F.element_at(F.split("p_name", " "), 1), {"hot": "warm", "old": "aged"}).alias("lemma"))
 
 
-@query()
+@query("select * from (values ('en', 'english'), ('fr', 'french'), ('de', 'german'), ('es', 'spanish'), ('it', 'italian'), ('ru', 'russian'), ('he', 'hebrew'), ('zh', 'chinese')) t(code, language)")
 def p13_languages(spark, d):
     codes = {"en": "english", "fr": "french", "de": "german", "es": "spanish", "it": "italian", "ru": "russian", "he": "hebrew", "zh": "chinese"}
     return spark.createDataFrame(sorted(codes.items()), "code string, language string")
@@ -725,14 +731,25 @@ def w8_t11_rolling_mean(spark, d):
     return T.rolling_mean(_yearly(spark, d).withColumn("k", F.lit(1)), "o", 3, ["k"]).select("year", r6("smooth", "smooth"))
 
 
-@query()
+_PLACED = _FULL + ", z as (select ngram as word, year, occurrences as y, row_number() over (partition by ngram order by year) - 1 as i from s)"
+
+
+@query(
+    _PLACED
+    + """, o as (select unnest(range(-6, 7)) as o), w as (select o, exp(-0.5 * (o / 1.5) * (o / 1.5)) as w from o), r as (select o, w / (select sum(w) from w) as w from w)
+    select a.word, a.year, round(sum(r.w * b.y), 6) as smooth from z a cross join r join z b on b.word = a.word and b.i = case when (a.i + o + 14) % 14 < 7 then (a.i + o + 14) % 14 else 13 - (a.i + o + 14) % 14 end group by 1, 2"""
+)
 def w9_gaussian(spark, d):
     return T.gaussian(_full(spark, d), "occurrences", 1.5, ["word"]).select("word", "year", r6("smooth", "smooth"))
 
 
-@query()
+@query(
+    _PLACED
+    + """, t as (select word, sum(y) as t0, sum((i - 3) * y) as t1, sum((i - 3) ** 2 * y) as t2, sum((i - 3) ** 3 * y) as t3 from z group by 1)
+    select word, year, round((1588 * t1 - 196 * t3) / 6048.0 + 2 * (i - 3) * (7 * t2 - 28 * t0) / 588.0 + 3 * (i - 3) ** 2 * (28 * t3 - 196 * t1) / 6048.0, 6) as rate from z join t using (word)"""
+)
 def w10_derivative(spark, d):
-    return T.derivative(_full(spark, d), "occurrences", ["word"])
+    return rounded(T.derivative(_full(spark, d), "occurrences", ["word"]), "rate")
 
 
 _GAPS = "with g as (select cast(year(l_shipdate) as int) as year, avg(l_quantity) as x from lineitem group by 1), h as (select year, case when year % 3 = 0 then x end as v from g)"
@@ -1152,6 +1169,13 @@ def c6_filter_corpus(spark, d):
     return P.filter_corpus(P.ingest_sentences(A.documents(spark, d), bin_size=10), P.FilterConfig(ascii_alpha_only=False), 200)
 
 
+@query(f"with {NG}, f as (select occurrences > 100 as kept from ng) select 'filter' as step, count(*) as rows, cast(sum(case when kept then 1 else 0 end) as bigint) as kept, round(avg(case when kept then 1.0 else 0.0 end), 6) as share from f")
+def c10_counts_while_running(spark, d):
+    kept, seen = P.observed(A.ngram_counts(spark, d), "filter", F.col("occurrences") > 100)
+    kept.write.format("noop").mode("overwrite").save()
+    return P.observations(spark, [seen])
+
+
 @query()
 def c8_corpus_paths(spark, d):
     return spark.createDataFrame(sorted(FI.corpus_paths("/data/coca", ["news", "fic"]).items()), "name string, path string")
