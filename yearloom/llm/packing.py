@@ -182,7 +182,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, length:
     """Pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; neighbours on the curve share sequences.
 
     Each row of docs (doc_id long, text string; other columns aren't read) gives its ids and an id 0; null and
-    empty texts give just that id. Rows with equal doc_id stay separate documents. Documents are sorted by
+    empty texts give just that id. Rows with equal doc_id, or none, stay separate documents. Documents are sorted by
     Hilbert key of their hashed word vector (ties, copies above all, by doc_id) over range partitions; each
     partition is one stream of ids cut every length tokens. What is left of it, under one sequence, is cut
     into sequences of powers of two, so nothing is padded. A document may be longer than any number of

@@ -143,7 +143,7 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFra
     """docs (doc_id, text and any columns but score) with score: how likely each whole text is of quality 1.
 
     Learns from at most per_class documents of either label (columns doc_id and quality of labels, repeated
-    rows once) whose crc32(doc_id) mod 3 isn't 1: their latent vectors, at most 2 * per_class * 256 bytes, are
+    rows once, a document labelled both counts for both) whose crc32(doc_id) mod 3 isn't 1: their latent vectors, at most 2 * per_class * 256 bytes, are
     broadcast. Null and empty texts have zero counts and are voted on like others. Without labels every score
     is 1, so that nothing is rejected for want of evidence.
     """
