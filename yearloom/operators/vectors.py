@@ -330,7 +330,8 @@ def turned(vectors: DataFrame, rotation: DataFrame) -> DataFrame:
 
     keyed = vectors.withColumn("vector", F.col("vector").cast("array<double>"))
     schema = keyed.schema
-    return keyed.join(F.broadcast(rotation), "year").select(*keyed.columns, "rotation").mapInArrow(turn, schema)
+    # years times the square of the dimension: as large as it may be, so no broadcast is asked for
+    return keyed.join(rotation, "year").select(*keyed.columns, "rotation").mapInArrow(turn, schema)
 
 
 def align(vectors: DataFrame, anchor: int, weights: DataFrame | None = None, vocabulary: str = "pairwise") -> DataFrame:
