@@ -41,12 +41,6 @@ class FilterConfig:
     unk_is_valid: bool = False
 
 
-def ngram_token(t: Column, cfg: FilterConfig) -> Column:
-    """One n-gram token: tag off, lower case, lemma, then whitelist or the checks; unknown where it fails."""
-    w = K.lemma(K.lowered(K.word_part(t), cfg.lower), cfg.lemmas)
-    return F.when(_accepted(w, cfg), w).otherwise(K.UNK)
-
-
 def _accepted(w: Column, cfg: FilterConfig) -> Column:
     if cfg.whitelist is not None:
         return K.member(w, cfg.whitelist | cfg.always_include)
@@ -134,21 +128,17 @@ def filter_ngrams(counts: DataFrame, cfg: FilterConfig, whitelist: DataFrame | N
     A long whitelist (token) or list of lemmas (token, lemma) is given as a table instead of in cfg, always_include
     then counts too.
     """
-    tokens = K.split_words(F.col("ngram"))
-    if whitelist is None and lemmas is None:
-        out = counts.select("year", "occurrences", "documents", F.transform(tokens, lambda t: ngram_token(t, cfg)).alias("out"))
-    else:
-
-        def table(words: DataFrame) -> DataFrame:
-            w = words.withColumn("_p", K.lowered(K.word_part(F.col("t")), cfg.lower))
-            w = _with_table(w, F.col("_p"), lemmas, "_l", F.col("lemma") if lemmas is not None else F.lit(None))
-            w = w.withColumn("_p", F.coalesce("_l", K.lemma(F.col("_p"), cfg.lemmas)))
-            if whitelist is None:
-                return w.select("t", F.when(_accepted(F.col("_p"), cfg), F.col("_p")).otherwise(K.UNK).alias("o"))
-            w = _with_table(w, F.col("_p"), whitelist, "_k", F.lit(True))
-            return w.select("t", F.when(F.coalesce("_k", F.lit(False)) | K.member(F.col("_p"), cfg.always_include), F.col("_p")).otherwise(K.UNK).alias("o"))
-
-        out = converted(counts.select("year", "occurrences", "documents", "ngram"), tokens, table, lookup)
+
+    def table(words: DataFrame) -> DataFrame:
+        w = words.withColumn("_p", K.lowered(K.word_part(F.col("t")), cfg.lower))
+        w = _with_table(w, F.col("_p"), lemmas, "_l", F.col("lemma") if lemmas is not None else F.lit(None))
+        w = w.withColumn("_p", F.coalesce("_l", K.lemma(F.col("_p"), cfg.lemmas)))
+        if whitelist is None:
+            return w.select("t", F.when(_accepted(F.col("_p"), cfg), F.col("_p")).otherwise(K.UNK).alias("o"))
+        w = _with_table(w, F.col("_p"), whitelist, "_k", F.lit(True))
+        return w.select("t", F.when(F.coalesce("_k", F.lit(False)) | K.member(F.col("_p"), cfg.always_include), F.col("_p")).otherwise(K.UNK).alias("o"))
+
+    out = converted(counts.select("year", "occurrences", "documents", "ngram"), K.split_words(F.col("ngram")), table, lookup)
     out = out.where((K.known_tokens(F.col("out")) >= cfg.min_context_tokens) & (F.size("out") > 0))
     return out.groupBy(S.year_bin(F.col("year"), cfg.bin_size).alias("year"), F.array_join("out", " ").alias("ngram")).agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
 
