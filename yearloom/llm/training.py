@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, and models fitted on them by one task."""
+"""Bounded samples of labelled documents, models fitted on them by one task, and exact places in an order."""
 
 from __future__ import annotations
 
@@ -45,6 +45,23 @@ def fit(sample: DataFrame, train: Callable[[Iterator[pa.RecordBatch]], Any], *or
     return train(iter(())) if found is None else pickle.loads(found[0])
 
 
+def least_but(bits: DataFrame, more: np.ndarray, k: int) -> int:
+    """The value with k others before it in the order of column bits and of more (ints from 0 to 2 ** 31 - 1), exactly: counts by the upper half, then by the lower one."""
+
+    def chosen(counts: DataFrame, own: np.ndarray, k: int) -> tuple[int, int]:
+        total = np.bincount(own, minlength=1 << 16)
+        for value, n in counts.collect():
+            total[value] += n
+        sums = np.cumsum(total)
+        at = int(np.searchsorted(sums, k, side="right"))
+        return at, k - int(sums[at] - total[at])
+
+    upper = F.shiftright("bits", 16)
+    high, k = chosen(bits.groupBy(upper).count(), more >> 16, k)
+    low, _ = chosen(bits.where(upper == high).groupBy(F.col("bits").bitwiseAND(0xFFFF)).count(), more[more >> 16 == high] & 0xFFFF, k)
+    return high << 16 | low
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of y on x by Newton steps with a little shrinkage."""
     a, b = 0.0, 0.0
