@@ -22,7 +22,7 @@ from yearloom.llm import toxicity as TX
 from yearloom.llm import training as TR
 from yearloom.llm.components import connected_components
 from yearloom.llm.text import ALNUM as ALNUM_BYTES
-from yearloom.llm.text import hash_words, words_of
+from yearloom.llm.text import buffer_of, hash_words, words_of
 
 from ..conftest import SF
 from .common import ALNUM, SOLID, empty, union_find, with_edges, words
@@ -325,6 +325,40 @@ def test_quality_on_held_out_documents(spark):
     assert got.where("(crc32(cast(doc_id as string)) % 3 = 1) <> held_out or score < 0 or score > 1 or (score >= 0.5) <> (predicted = 1)").isEmpty()
 
 
+@pytest.mark.parametrize(("n", "cuts"), [(9, []), (15, [4]), (400, []), (400, [3, 90, 391])])
+def test_votes_of_all_blocks(n, cuts):
+    rng = np.random.default_rng(n)
+    unit = lambda x: (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    points, z, y = unit(rng.normal(size=(n, 8))), unit(rng.normal(size=(70, 8))), rng.integers(0, 2, n).astype(np.float32)
+    cos = np.maximum(z @ points.T, 1e-6).astype(np.float64) ** 4
+    near = np.argsort(-(z @ points.T), axis=1)[:, :15]
+    w = np.take_along_axis(cos, near, axis=1)
+    got = QU.vote(z, zip(np.split(y, cuts), np.split(points, cuts)), rows=32)
+    assert np.allclose(got, (w * y[near]).sum(axis=1) / w.sum(axis=1), atol=1e-5)
+    assert (QU.vote(z, iter(())) == 1).all()
+
+
+def test_every_labelled_document_votes(spark):
+    # 3,300 of the 5,000 labelled documents of each class may be learnt from: more than a sample of 1,500
+    rng = np.random.default_rng(8)
+    made = ["".join(w) for w in rng.choice(list("abcdefghijklmnop      "), (10_000, 40))]
+    rows = [(i, t, i % 2) for i, t in enumerate(made)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4).cache()
+    # copies under ids without a label
+    more = table.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")
+    learnt = table.where("crc32(cast(doc_id as string)) % 3 <> 1")
+    known = QU.write_table(QU.labelled(table, table, "quality", QU.remainder(3) != 1, {0: None, 1: None}), "known")
+    assert known.count() == learnt.count()
+    x = QU.features(*buffer_of(pa.array([r.text for r in learnt.orderBy("doc_id").collect()])))
+    space = QU.latent(known)
+    y = np.array([r.quality for r in learnt.orderBy("doc_id").collect()], np.float32)
+    assert np.allclose(space.mean, x.mean(axis=0), atol=1e-5)
+    some = more.where("doc_id % 97 = 0").orderBy("doc_id").collect()
+    want = QU.vote(space.project(QU.features(*buffer_of(pa.array([r.text for r in some])))), [(y, space.project(x))])
+    got = {r.doc_id: r.score for r in QU.quality(table.select("doc_id", "text").union(more), table.select("doc_id", "quality")).collect()}
+    assert np.mean(np.abs(np.array([got[r.doc_id] for r in some]) - want) < 1e-3) > 0.97
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{SMALL.replace('sf0.01', 'sf0.1')}/{t}.parquet") for t in ("documents", "labels"))
     got = TX.toxicity(docs.join(labels, "doc_id", "left_semi"), labels)

@@ -7,15 +7,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded, tidied
+from .storage import bounded, tidied, write_table
 from .text import NONSPACE, buffer_of, hash_words, slices, words_of
-from .training import fit, labelled, remainder
+from .training import labelled, remainder
 
 #: Buckets of byte trigrams and of trigrams of character kinds; measures of form; kept dimensions; voting neighbours.
 RAW, KIND, FORM, LATENT, VOTERS = 1024, 1024, 6, 64, 15
+#: Features of a text; rows of a block of their products.
+SIZE, BLOCK = RAW + KIND + FORM, 128
 
 _KIND = np.arange(256, dtype=np.uint32)
 _KIND[0x61:0x7B] = _KIND[0x80:] = 0x61
@@ -78,88 +82,160 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-class Neighbours:
-    """Unit vectors of labelled documents in the latent space, with their labels."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.y = y.astype(np.float32)
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(RAW + KIND + FORM, np.float32)
-        z = x
-        z -= self.mean  # x is no longer needed as it was
-        if len(x):
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the documents of a task: sums of products of features, in blocks of rows, and as the last block the sums of features and the number of documents."""
+    product, sums, n, first = None, np.zeros(SIZE), 0, 0
+    for whole in batches:
+        for batch in slices(whole, "text", 1 << 20):
+            x = features(*buffer_of(batch.column("text")))
+            if product is None:
+                product, first = np.zeros((SIZE, SIZE)), batch.column("doc_id")[0].as_py()
+            product += x.T @ x
+            sums += x.sum(axis=0, dtype=np.float64)
+            n += len(x)
+    if product is not None:
+        for block, at in enumerate(range(0, SIZE, BLOCK)):
+            yield _block(first, block, product[at : at + BLOCK].astype(np.float32))
+        yield _block(first, block + 1, np.append(sums, n))
+
+
+def _block(first: int, block: int, part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["first", "block", "part"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the parts of each block, which stand together."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, part in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist()):
+            own = np.frombuffer(part, np.float32 if block * BLOCK < SIZE else np.float64)
+            total[block] = total.get(block, 0.0) + own.astype(np.float64)
+    for block, own in total.items():
+        yield _block(0, block, own)
+
+
+class Latent:
+    """The latent space of documents, from their number, the sums of their features and the sums of products."""
+
+    def __init__(self, n: int, sums: np.ndarray, product: np.ndarray):
+        self.mean = (sums / max(1, n)).astype(np.float32)
+        self.axes = np.zeros((SIZE, 1), np.float32)
+        if n:
+            spread = product - np.outer(sums, sums) / n
             rng = np.random.default_rng(3)
-            basis = z.T @ (z @ rng.standard_normal((z.shape[1], LATENT + 16)).astype(np.float32))
+            basis = spread @ rng.standard_normal((SIZE, LATENT + 16))
             for _ in range(2):
-                basis = z.T @ (z @ np.linalg.qr(basis)[0])
+                basis = spread @ np.linalg.qr(basis)[0]
             q = np.linalg.qr(basis)[0]
-            _, _, vt = np.linalg.svd(z @ q, full_matrices=False)
-            self.axes = (q @ vt.T)[:, :LATENT].astype(np.float32)
-        else:
-            self.axes = np.zeros((len(self.mean), 1), np.float32)
-        z += self.mean
-        self.points = self.project(z)
+            power, turn = np.linalg.eigh(q.T @ spread @ q)
+            power, turn = power[::-1][:LATENT], turn[:, ::-1][:, :LATENT]
+            # directions that hold no more than rounding are none
+            if (real := power > 1e-6 * max(power[0], 1e-9 * n)).any():
+                self.axes = (q @ turn[:, real]).astype(np.float32)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.axes - self.mean @ self.axes
         return z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-9)
 
-    def vote(self, x: np.ndarray, block: int = 1024) -> np.ndarray:
-        """Share of label 1 among the nearest by cosine, weighted by similarity; 1 without labelled documents."""
-        if not len(self.y):
-            return np.ones(len(x))
-        out, k = np.empty(len(x)), min(VOTERS, len(self.y))
-        for at in range(0, len(x), block):
-            cos = self.project(x[at : at + block]) @ self.points.T
-            near = np.argpartition(cos, -k, axis=1)[:, -k:]
-            w = np.maximum(np.take_along_axis(cos, near, axis=1).astype(np.float64), 1e-6) ** 4
-            out[at : at + block] = (w * self.y[near]).sum(axis=1) / w.sum(axis=1)
-        return np.clip(out, 0, 1)
-
-
-def train(batches: Iterator[pa.RecordBatch]) -> Neighbours:
-    x, y = [], []
+
+def latent(known: DataFrame) -> Latent:
+    """The latent space of all of known (doc_id, text): tasks add up products, and the sums alone (34 MB) come to the driver."""
+    parts = known.select("doc_id", "text").mapInArrow(tidied(_products), "first long, block int, part binary").repartition(-(-SIZE // BLOCK) + 1, "block")
+    found = {r.block: r.part for r in parts.sortWithinPartitions("block", "first").mapInArrow(tidied(_added), "first long, block int, part binary").collect()}
+    if not found:
+        return Latent(0, np.zeros(SIZE), np.zeros((SIZE, SIZE)))
+    *rows, last = (np.frombuffer(found[k], np.float64) for k in sorted(found))
+    return Latent(int(last[-1]), last[:-1], np.concatenate(rows).reshape(SIZE, SIZE))
+
+
+def _project(space, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text"):
-            x.append(features(*buffer_of(batch.column("text"))))
-            y.append(batch.column("label").to_numpy(zero_copy_only=False))
-    # one array is filled from the parts, each given up at once
-    whole_x = np.empty((sum(map(len, x)), RAW + KIND + FORM), np.float32)
-    at = 0
-    while x:
-        part = x.pop(0)
-        whole_x[at : at + len(part)] = part
-        at += len(part)
-    return Neighbours(whole_x if at else np.zeros((0, RAW + KIND + FORM), np.float32), np.concatenate(y) if y else np.zeros(0))
-
-
-def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(whole, "text", 1 << 20):
+            z = space.value.project(features(*buffer_of(batch.column("text")))).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([row.tobytes() for row in z], pa.binary())], names=["label", "point"])
+
+
+def voters(files: list[str], width: int, rows: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Labels and points of the files' rows, block by block."""
+    for uri in files:
+        system, path = pa.fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as file:
+            for batch in pq.ParquetFile(file).iter_batches(rows, columns=["label", "point"]):
+                points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.float32).reshape(-1, width)
+                yield batch.column("label").to_numpy(zero_copy_only=False).astype(np.float32), points
+
+
+def vote(z: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int = VOTERS, rows: int = 512) -> np.ndarray:
+    """Share of label 1 among the k of all blocks nearest by cosine, weighted by similarity; 1 without labelled documents."""
+    best, said = np.full((len(z), k), -np.inf, np.float32), np.zeros((len(z), k), np.float32)
+    for y, points in blocks:
+        for at in range(0, len(z), rows):
+            cos = z[at : at + rows] @ points.T
+            own, tag = best[at : at + rows], said[at : at + rows]
+            if len(y) > k and np.isinf(own).any():
+                near = np.argpartition(cos, -k, axis=1)[:, -k:]
+                row, value, label = np.repeat(np.arange(len(own)), k), np.take_along_axis(cos, near, axis=1).ravel(), y[near].ravel()
+            else:
+                row, col = np.nonzero(cos > own.min(axis=1)[:, None])
+                value, label = cos[row, col], y[col]
+            if len(row):
+                row = np.concatenate([np.repeat(np.arange(len(own)), k), row])
+                value, label = np.concatenate([own.ravel(), value]), np.concatenate([tag.ravel(), label])
+                order = np.lexsort((-value, row))
+                counts = np.bincount(row, minlength=len(own))
+                first = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts) < k
+                own[:], tag[:] = value[order][first].reshape(-1, k), label[order][first].reshape(-1, k)
+    w = np.where(np.isinf(best), 0, np.maximum(best.astype(np.float64), 1e-6) ** 4)
+    total = w.sum(axis=1)
+    return np.clip(np.where(total > 0, (w * said).sum(axis=1) / np.where(total > 0, total, 1), 1), 0, 1)
+
+
+def _score(space, files: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def voted(held: list[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        score = vote(np.concatenate([z for _, z in held]), voters(files, space.value.axes.shape[1]))
+        at = 0
+        for batch, z in held:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score[at : at + len(z)])], names=[*batch.schema.names, "score"])
+            at += len(z)
+
+    # the voters are read once for each 16 MB of documents
+    held: list[tuple[pa.RecordBatch, np.ndarray]] = []
+    size = 0
     for whole in batches:
         for batch in slices(whole, "text", 1 << 20):
-            score = pa.array(model.value.vote(features(*buffer_of(batch.column("text")))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
+            held.append((batch, space.value.project(features(*buffer_of(batch.column("text"))))))
+            size += batch.nbytes
+            if size >= 16 << 20:
+                yield from voted(held)
+                held, size = [], 0
+    if held:
+        yield from voted(held)
 
 
-def scored(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text and any columns but score) with score: how likely each whole text is of quality 1.
 
-    Learns from at most per_class documents of either label (columns doc_id and quality of labels, repeated
-    rows once, a document labelled both counts for both) whose crc32(doc_id) mod 3 isn't 1: their latent vectors, at most 2 * per_class * 256 bytes, are
-    broadcast. Null and empty texts have zero counts and are voted on like others. Without labels every score
+    Learns from all documents of either label (columns doc_id and quality of labels, repeated
+    rows once, a document labelled both counts for both) whose crc32(doc_id) mod 3 isn't 1: the latent space is theirs, and
+    all of them vote. Their latent vectors (256 bytes each) are a table in the shared folder that tasks read in blocks, so
+    the time for votes is in proportion to documents times labelled ones. Null and empty texts have zero counts and are voted on like others. Without labels every score
     is 1, so that nothing is rejected for want of evidence.
     """
     plain = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit(labelled(plain, labels, "quality", remainder(3) != 1, {0: per_class, 1: per_class}), train, F.col("doc_id"))
+    known = write_table(labelled(plain, labels, "quality", remainder(3) != 1, {0: None, 1: None}).sortWithinPartitions("doc_id", "label"), "labelled")
+    space = docs.sparkSession.sparkContext.broadcast(latent(known))
+    points = write_table(known.mapInArrow(tidied(partial(_project, space)), "label int, point binary"), "points")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(tidied(partial(_score, docs.sparkSession.sparkContext.broadcast(model))), schema)
+    return docs.mapInArrow(tidied(partial(_score, space, sorted(points.inputFiles()))), schema)
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (crc32(doc_id) mod 3 is 1), score, predicted (1 if score >= 0.5) for every row of docs; see scored."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return scored(own, labels, per_class).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(own, labels).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with their columns doc_id, text, lang, source and n_chars, whose score is at least 0.5."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang", "source", "n_chars")
-    return scored(own, labels, per_class).where("score >= 0.5").drop("score")
+    return scored(own, labels).where("score >= 0.5").drop("score")

@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, models fitted on them by one task, and exact places in an order."""
+"""Labelled documents, models fitted on them by one task, and exact places in an order."""
 
 from __future__ import annotations
 
@@ -19,17 +19,19 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: dict[int, int]) -> DataFrame:
-    """doc_id, text, label of at most per_class documents a class, those of the least hash; labels that aren't 0 or 1 don't count.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: dict[int, int | None]) -> DataFrame:
+    """doc_id, text, label of at most per_class documents a class (None: of all), those of the least hash; labels that aren't 0 or 1 don't count.
 
     A document labelled both is learnt as both; of rows that repeat a doc_id the least text counts, so the bound holds.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(learn & F.col("doc_id").isNotNull())
     chosen = None
     for label, most in per_class.items():
-        own = known.where(F.col("label") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        own = known.where(F.col("label") == label).distinct()
+        if most is not None:
+            own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = own if chosen is None else chosen.union(own)
-    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    met = docs.select("doc_id", "text").join(chosen if None in per_class.values() else F.broadcast(chosen), "doc_id")
     return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
