@@ -249,6 +249,19 @@ def test_groups_of_documents_with_edge_cases(spark, docs, plain):
     assert MH.near_duplicates(empty(spark)).isEmpty()
 
 
+def test_buckets_are_shuffled_by_ids_alone(spark):
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(map(str, rng.integers(0, 10_000, 30)))) for i in range(4000)]
+    df, before = spark.createDataFrame(rows, "doc_id long, text string"), written()
+    assert MH.near_duplicates(df).where("kept").count() == 4000
+    # a text has 32 buckets: 192 bits in each, sent twice, make more than 1,536 bytes
+    assert written() - before < 4000 * 1536
+
+
 @pytest.mark.parametrize("hot", [100_000, 1])
 def test_rows_that_repeat_an_id_or_have_none(spark, hot):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")

@@ -200,9 +200,10 @@ def grouped(rows: DataFrame, width: int = 3, percent: int = 85, per_salt: int =
     same = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("row").alias("head"), F.count("*").alias("copies"), F.first(F.struct("bits", "bands")).alias("s"))
     same = write_table(same, "sets")
 
-    signed = same.select(F.col("head").alias("id"), F.col("n_shingles").alias("n"), F.col("s.bits").alias("bits"), F.explode("s.bands").alias("band"))
-    least = signed.groupBy("band").agg(F.min(F.struct("id", "n", "bits")).alias("least"), F.count("*").alias("size")).where("size > 1")
-    least = least.select("band", F.col("least.id").alias("h"), F.col("least.n").alias("hn"), F.col("least.bits").alias("hbits"))
+    # buckets are made of ids alone; sizes and bits join only the pairs and rows that are left
+    marks = same.select(F.col("head").alias("id"), F.col("n_shingles").alias("n"), F.col("s.bits").alias("bits"))
+    signed = same.select(F.col("head").alias("id"), F.explode("s.bands").alias("band"))
+    least = signed.groupBy("band").agg(F.min("id").alias("h"), F.count("*").alias("size")).where("size > 1").drop("size")
     bucketed = write_table(signed.join(least, "band"), "buckets")
 
     def close(x: str, y: str, nx: str, ny: str) -> str:
@@ -210,14 +211,15 @@ def grouped(rows: DataFrame, width: int = 3, percent: int = 85, per_salt: int =
         # one bit agrees with a chance of (1 + J) / 2
         return f"100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny}) and {bits} <= {round(192 * ((1 - percent / 100) / 2 + 5 * ((1 - (percent / 100) ** 2) / 4 / 192) ** 0.5))}"
 
-    first = bucketed.where(f"id <> h and {close('bits', 'hbits', 'n', 'hn')}").select(F.col("id").alias("a"), F.col("h").alias("head")).distinct()
+    first = bucketed.where("id <> h").select("id", "h").distinct().join(marks, "id").join(marks.toDF("h", "hn", "hbits"), "h")
+    first = write_table(first.where(close("bits", "hbits", "n", "hn")).select(F.col("id").alias("a"), F.col("h").alias("head")), "first")
     stars = write_table(_confirmed(first, texts, width, percent, per_salt, broadcast_rows), "links")
     joined = connected_components(stars)
 
-    left = bucketed.select("band", "id", "n", "bits").join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    left = bucketed.select("band", "id").join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     split = left.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     # a large bucket is cut into blocks, and each pair of blocks is a cell of its own
-    left = left.join(split.select("band", F.ceil(F.col("size") / cell).cast("int").alias("blocks")), "band")
+    left = left.join(split.select("band", F.ceil(F.col("size") / cell).cast("int").alias("blocks")), "band").join(marks, "id")
     left = write_table(left.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")), "open")
     cells = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     x, y = cells.where("block = i").alias("x"), cells.where("block = j").alias("y")
