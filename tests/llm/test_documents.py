@@ -366,6 +366,10 @@ def test_every_labelled_document_votes(spark):
     space = QU.latent(known)
     y = np.array([r.quality for r in learnt.orderBy("doc_id").collect()], np.float32)
     assert np.allclose(space.mean, x.mean(axis=0), atol=1e-5)
+    shuffled = QU.labelled(table, table, "quality", QU.remainder(3) != 1, {0: None, 1: None}, broadcast_rows=10)
+    assert sorted(shuffled.collect()) == sorted(known.collect())
+    power = lambda a: (((x - x.mean(axis=0)) @ a) ** 2).sum()
+    assert power(space.axes) > 0.99 * power(np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][: QU.LATENT].T)
     some = more.where("doc_id % 97 = 0").orderBy("doc_id").collect()
     want = QU.vote(space.project(QU.features(*buffer_of(pa.array([r.text for r in some])))), [(y, space.project(x))])
     got = {r.doc_id: r.score for r in QU.quality(table.select("doc_id", "text").union(more), table.select("doc_id", "quality")).collect()}

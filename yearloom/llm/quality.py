@@ -83,7 +83,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the documents of a task: sums of products of features, in blocks of rows, and as the last block the sums of features and the number of documents."""
+    """Of the documents of a task: sums of products of features, in blocks of rows from the diagonal on, and as the last block the sums of features and the number of documents."""
     product, sums, n, first = None, np.zeros(SIZE), 0, 0
     for whole in batches:
         for batch in slices(whole, "text", 1 << 20):
@@ -95,7 +95,7 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += len(x)
     if product is not None:
         for block, at in enumerate(range(0, SIZE, BLOCK)):
-            yield _block(first, block, product[at : at + BLOCK].astype(np.float32))
+            yield _block(first, block, product[at : at + BLOCK, at:].astype(np.float32))
         yield _block(first, block + 1, np.append(sums, n))
 
 
@@ -124,7 +124,7 @@ class Latent:
             spread = product - np.outer(sums, sums) / n
             rng = np.random.default_rng(3)
             basis = spread @ rng.standard_normal((SIZE, LATENT + 16))
-            for _ in range(2):
+            for _ in range(10):
                 basis = spread @ np.linalg.qr(basis)[0]
             q = np.linalg.qr(basis)[0]
             power, turn = np.linalg.eigh(q.T @ spread @ q)
@@ -139,13 +139,18 @@ class Latent:
 
 
 def latent(known: DataFrame) -> Latent:
-    """The latent space of all of known (doc_id, text): tasks add up products, and the sums alone (34 MB) come to the driver."""
+    """The latent space of all of known (doc_id, text): tasks add up products, and the sums alone (18 MB) come to the driver."""
     parts = known.select("doc_id", "text").mapInArrow(tidied(_products), "first long, block int, part binary").repartition(-(-SIZE // BLOCK) + 1, "block")
     found = {r.block: r.part for r in parts.sortWithinPartitions("block", "first").mapInArrow(tidied(_added), "first long, block int, part binary").collect()}
     if not found:
         return Latent(0, np.zeros(SIZE), np.zeros((SIZE, SIZE)))
     *rows, last = (np.frombuffer(found[k], np.float64) for k in sorted(found))
-    return Latent(int(last[-1]), last[:-1], np.concatenate(rows).reshape(SIZE, SIZE))
+    product = np.zeros((SIZE, SIZE))
+    for at, own in zip(range(0, SIZE, BLOCK), rows):
+        own = own.reshape(-1, SIZE - at)
+        product[at : at + BLOCK, at:] = own
+        product[at:, at : at + BLOCK] = own.T
+    return Latent(int(last[-1]), last[:-1], product)
 
 
 def _project(space, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: dict[int, int | None]) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: dict[int, int | None], broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, text, label of at most per_class documents a class (None: of all), those of the least hash; labels that aren't 0 or 1 don't count.
 
     A document labelled both is learnt as both; of rows that repeat a doc_id the least text counts, so the bound holds.
@@ -31,7 +31,9 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per
         if most is not None:
             own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = own if chosen is None else chosen.union(own)
-    met = docs.select("doc_id", "text").join(chosen if None in per_class.values() else F.broadcast(chosen), "doc_id")
+    # beyond broadcast_rows labels the texts are shuffled
+    small = None not in per_class.values() or chosen.count() <= broadcast_rows
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen) if small else chosen.hint("merge"), "doc_id")
     return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
