@@ -351,6 +351,29 @@ def test_votes_of_all_blocks(n, cuts):
     assert (QU.vote(z, iter(())) == 1).all()
 
 
+def test_votes_by_cell_are_those_of_all(spark):
+    """Cells that can't hold one of the nearest are passed over, and no vote changes; the points are all there."""
+    rng = np.random.default_rng(8)
+    heart = rng.standard_normal((40, 16))
+    x = (heart[rng.integers(0, 40, 6000)] + 0.1 * rng.standard_normal((6000, 16))).astype(np.float32)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[7] = 0
+    y = (rng.random(6000) < 0.5).astype(np.float32)
+    points = spark.createDataFrame([(int(a), b.tobytes(), 0) for a, b in zip(y, x)], "label int, point binary, cell int")
+    cells, centres, seeds = QU.celled(points, 16, 500)
+    assert len(centres) > 20 and len(seeds) == 500
+    blocks = list(QU.voters(sorted(cells.inputFiles()), 16, 700))
+    assert sorted((a, p.tobytes()) for ys, ps, _ in blocks for a, p in zip(ys.tolist(), ps)) == sorted((a, p.tobytes()) for a, p in zip(y.tolist(), x))
+    z = np.concatenate([x[:300] + 0.05 * rng.standard_normal((300, 16)), rng.standard_normal((50, 16))]).astype(np.float32)
+    z /= np.sqrt((z * z).sum(axis=1, keepdims=True))
+    z[3] = 0
+    cut = QU.vote(z, iter(blocks), rows=64, centres=centres, seeds=seeds)
+    some = np.arange(len(z)) != 3  # all cosines with an empty vector are equal
+    np.testing.assert_allclose(cut[some], QU.vote(z, [(y, x)])[some], atol=1e-5)
+    here = [(QU._reach(z @ centres[c[0]], p, centres[c[0]]) > 0.9).mean() for _, ps, cs in blocks for c, p in zip(np.split(cs, np.flatnonzero(np.diff(cs)) + 1), np.split(ps, np.flatnonzero(np.diff(cs)) + 1)) if (p * p).sum(axis=1).min() > 0.9]
+    assert np.mean(here) < 0.3
+
+
 def test_every_labelled_document_votes(spark):
     # 3,300 of the 5,000 labelled documents of each class may be learnt from: more than a sample of 1,500
     rng = np.random.default_rng(8)

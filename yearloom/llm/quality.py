@@ -18,6 +18,8 @@ from .training import labelled, remainder
 
 #: Buckets of byte trigrams and of trigrams of character kinds; measures of form; kept dimensions; voting neighbours.
 RAW, KIND, FORM, LATENT, VOTERS = 1024, 1024, 6, 64, 15
+#: Labelled documents whose votes are looked at first, so that most others needn't be.
+SEEDS = 4096
 #: Features of a text; rows of a block of their products.
 SIZE, BLOCK = RAW + KIND + FORM, 128
 
@@ -160,44 +162,127 @@ def _project(space, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([row.tobytes() for row in z], pa.binary())], names=["label", "point"])
 
 
-def voters(files: list[str], width: int, rows: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Labels and points of the files' rows, block by block."""
+def _cell(centres, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.float32).reshape(-1, centres.value.shape[1])
+        own = [(points[at : at + 4096] @ centres.value.T).argmax(axis=1) for at in range(0, len(points), 4096)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int32)), batch.column("label"), batch.column("point")], names=["cell", "label", "point"])
+
+
+def celled(points: DataFrame, width: int, seeds: int = SEEDS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """points by cell, those around the nearest of some centres; the centres; and some of the points, those of the least hash.
+
+    Cells and seeds only spare comparisons: see vote. Up to seeds points aren't worth it, and stay as they are.
+    """
+    n = points.count()
+    if n <= seeds:
+        return points, *(np.zeros((0, width), np.float32),) * 2
+    some = points.orderBy(F.xxhash64("point"), "point").limit(seeds).select("point").collect()
+    some = np.frombuffer(b"".join(bytes(r.point) for r in some), np.float32).reshape(-1, width)
+    distinct = np.unique(some[_unit(some)], axis=0)
+    centres = distinct[np.random.default_rng(5).permutation(len(distinct))[: min(2048, int(n**0.5))]]
+    if not len(centres):
+        return points, centres, some
+    own = points.select("label", "point").mapInArrow(tidied(partial(_cell, points.sparkSession.sparkContext.broadcast(centres))), "cell int, label int, point binary")
+    return write_table(own.repartitionByRange("cell").sortWithinPartitions("cell"), "cells"), centres, some
+
+
+def _unit(z: np.ndarray) -> np.ndarray:
+    return np.abs(np.sqrt((z * z).sum(axis=1)) - 1) < 1e-5
+
+
+def voters(files: list[str], width: int, rows: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, points and cells of the files' rows, block by block."""
     for uri in files:
         system, path = pa.fs.FileSystem.from_uri(uri)
         with system.open_input_file(path) as file:
-            for batch in pq.ParquetFile(file).iter_batches(rows, columns=["label", "point"]):
+            for batch in pq.ParquetFile(file).iter_batches(rows, columns=["label", "point", "cell"]):
                 points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.float32).reshape(-1, width)
-                yield batch.column("label").to_numpy(zero_copy_only=False).astype(np.float32), points
+                yield batch.column("label").to_numpy(zero_copy_only=False).astype(np.float32), points, batch.column("cell").to_numpy(zero_copy_only=False)
 
 
-def vote(z: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int = VOTERS, rows: int = 512) -> np.ndarray:
-    """Share of label 1 among the k of all blocks nearest by cosine, weighted by similarity; 1 without labelled documents."""
-    best, said = np.full((len(z), k), -np.inf, np.float32), np.zeros((len(z), k), np.float32)
-    for y, points in blocks:
+#: What rounding may add to or take from a cosine.
+_SLACK = np.float32(1e-5)
+
+
+def _floor(z: np.ndarray, seeds: np.ndarray, k: int, rows: int) -> np.ndarray:
+    """A cosine that the k nearest of each of z reach, since k seeds do."""
+    out = np.full(len(z), -np.inf, np.float32)
+    if len(seeds) >= k:
         for at in range(0, len(z), rows):
-            cos = z[at : at + rows] @ points.T
-            own, tag = best[at : at + rows], said[at : at + rows]
-            if len(y) > k and np.isinf(own).any():
-                near = np.argpartition(cos, -k, axis=1)[:, -k:]
-                row, value, label = np.repeat(np.arange(len(own)), k), np.take_along_axis(cos, near, axis=1).ravel(), y[near].ravel()
-            else:
-                row, col = np.nonzero(cos > own.min(axis=1)[:, None])
-                value, label = cos[row, col], y[col]
-            if len(row):
-                row = np.concatenate([np.repeat(np.arange(len(own)), k), row])
-                value, label = np.concatenate([own.ravel(), value]), np.concatenate([tag.ravel(), label])
-                order = np.lexsort((-value, row))
-                counts = np.bincount(row, minlength=len(own))
-                first = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts) < k
-                own[:], tag[:] = value[order][first].reshape(-1, k), label[order][first].reshape(-1, k)
+            out[at : at + rows] = np.partition(z[at : at + rows] @ seeds.T, -k, axis=1)[:, -k] - _SLACK
+    return out
+
+
+def _reach(near: np.ndarray, points: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The most that the cosine with any of points can be for vectors whose cosine with centre is near: by the angles of a triangle."""
+    a = np.minimum(near + _SLACK, np.float32(1))
+    r = np.float32(max(float((points @ centre).min()) - float(_SLACK), -1.0))
+    return np.where(a >= r, np.float32(1), a * r + np.sqrt(np.maximum(0, (1 - a * a) * (1 - r * r)))) + _SLACK
+
+
+def vote(z: np.ndarray, blocks: Iterator[tuple[np.ndarray, ...]], k: int = VOTERS, rows: int = 512, centres: np.ndarray | None = None, seeds: np.ndarray | None = None) -> np.ndarray:
+    """Share of label 1 among the k of all blocks nearest by cosine, weighted by similarity; 1 without labelled documents.
+
+    Blocks are labels and points, with centres also cells in runs. A run that can't hold one of the k nearest
+    is left out for the rows where that is certain, so the k nearest are the same as without centres.
+    """
+    best, said = np.full((len(z), k), -np.inf, np.float32), np.zeros((len(z), k), np.float32)
+    by_cell = centres is not None and len(centres) > 0
+    least = _floor(z, seeds, k, rows) if by_cell else np.full(len(z), -np.inf, np.float32)
+    near, free = (np.ascontiguousarray(centres @ z.T), ~_unit(z)) if by_cell else (None, None)
+
+    def met(here: np.ndarray | slice, y: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of here, cosines and labels of the points that may be among their nearest."""
+        cos, limit = z[here] @ points.T, least[here]
+        at = np.arange(len(z))[here]
+        if len(y) > k and np.isinf(limit).any():
+            nearest = np.argpartition(cos, -k, axis=1)[:, -k:]
+            return np.repeat(at, k), np.take_along_axis(cos, nearest, axis=1).ravel(), y[nearest].ravel()
+        row, col = np.divmod(np.flatnonzero(cos > limit[:, None]), len(y))
+        return at[row], cos[row, col], y[col]
+
+    def merge(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        row, value, label = (np.concatenate(x) for x in zip(*found))
+        if len(row):
+            some, row = np.unique(row, return_inverse=True)
+            row = np.concatenate([np.repeat(np.arange(len(some)), k), row])
+            value, label = np.concatenate([best[some].ravel(), value]), np.concatenate([said[some].ravel(), label])
+            order = np.lexsort((-value, row))
+            counts = np.bincount(row, minlength=len(some))
+            first = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts) < k
+            best[some], said[some] = value[order][first].reshape(-1, k), label[order][first].reshape(-1, k)
+            least[some] = np.maximum(least[some], best[some].min(axis=1))
+
+    for y, points, *cell in blocks:
+        if not len(y):
+            continue
+        if not by_cell:
+            for at in range(0, len(z), rows):
+                merge([met(slice(at, at + rows), y, points)])
+            continue
+        found, size = [], 0
+        cuts = [0, *(np.flatnonzero(np.diff(cell[0])) + 1).tolist(), len(y)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            own, at = points[lo:hi], cell[0][lo]
+            reach = _reach(near[at], own, centres[at]) if _unit(own).all() else np.float32(np.inf)
+            rest = np.flatnonzero(free | (reach > least))
+            for i in range(0, len(rest), rows):
+                found.append(met(rest[i : i + rows], y[lo:hi], own))
+                size += len(found[-1][0])
+            # what waits is bounded
+            if found and (size > 1 << 20 or hi == len(y)):
+                merge(found)
+                found, size = [], 0
     w = np.where(np.isinf(best), 0, np.maximum(best.astype(np.float64), 1e-6) ** 4)
     total = w.sum(axis=1)
     return np.clip(np.where(total > 0, (w * said).sum(axis=1) / np.where(total > 0, total, 1), 1), 0, 1)
 
 
-def _score(space, files: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(space, files: list[str], found, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def voted(held: list[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        score = vote(np.concatenate([z for _, z in held]), voters(files, space.value.axes.shape[1]))
+        centres, seeds = found.value
+        score = vote(np.concatenate([z for _, z in held]), voters(files, space.value.axes.shape[1]), centres=centres, seeds=seeds)
         at = 0
         for batch, z in held:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score[at : at + len(z)])], names=[*batch.schema.names, "score"])
@@ -222,16 +307,18 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Learns from all documents of either label (columns doc_id and quality of labels, repeated
     rows once, a document labelled both counts for both) whose crc32(doc_id) mod 3 isn't 1: the latent space is theirs, and
-    all of them vote. Their latent vectors (256 bytes each) are a table in the shared folder that tasks read in blocks, so
-    the time for votes is in proportion to documents times labelled ones. Null and empty texts have zero counts and are voted on like others. Without labels every score
+    all of them vote. Their latent vectors (256 bytes each) are a table in the shared folder, by cell, that tasks read in
+    blocks; cells that can't hold one of the nearest are passed over, yet the time for votes grows with documents times labelled ones. Null and empty texts have zero counts and are voted on like others. Without labels every score
     is 1, so that nothing is rejected for want of evidence.
     """
     plain = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = write_table(labelled(plain, labels, "quality", remainder(3) != 1, {0: None, 1: None}).sortWithinPartitions("doc_id", "label"), "labelled")
     space = docs.sparkSession.sparkContext.broadcast(latent(known))
-    points = write_table(known.mapInArrow(tidied(partial(_project, space)), "label int, point binary"), "points")
+    points = write_table(known.mapInArrow(tidied(partial(_project, space)), "label int, point binary").withColumn("cell", F.lit(0)), "points")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(tidied(partial(_score, space, sorted(points.inputFiles()))), schema)
+    cells, *found = celled(points, space.value.axes.shape[1])
+    files = sorted(cells.inputFiles())
+    return docs.mapInArrow(tidied(partial(_score, space, files, docs.sparkSession.sparkContext.broadcast(tuple(found)))), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
