@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -10,6 +9,8 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,12 +79,22 @@ def _with_table(words: DataFrame, key: Column, table: DataFrame | None, token: s
     return words.withColumn("_w", key).join(own, "_w", "left").drop("_w")
 
 
-def _swap(name: str, pairs, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if name not in _HELD:
+def _known(files: tuple[str, ...]) -> tuple[pa.Array, pa.Array]:
+    """The tokens of a table's files, and what they become, the unknown mark behind the last; a worker keeps those of one table."""
+    if files not in _HELD:
         _HELD.clear()
-        tokens, out = pairs.value
-        _HELD[name] = (pa.array(tokens, pa.string()), pa.array([*out, K.UNK], pa.string()))
-    tokens, out = _HELD[name]
+        tables = []
+        for uri in files:
+            system, path = pa.fs.FileSystem.from_uri(uri)
+            with system.open_input_file(path) as file:
+                tables.append(pq.read_table(file, columns=["t", "o"]))
+        tokens, out = ([c.cast(pa.string()) for t in tables for c in t.column(name).chunks] for name in ("t", "o"))
+        _HELD[files] = (pa.concat_arrays([*tokens, pa.array([], pa.string())]), pa.concat_arrays([*out, pa.array([K.UNK], pa.string())]))
+    return _HELD[files]
+
+
+def _swap(files: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens, out = _known(files)
     for batch in batches:
         t = batch.column("_t")
         t = t.cast(pa.list_(pa.string())) if t.type != pa.list_(pa.string()) else t
@@ -93,23 +104,24 @@ def _swap(name: str, pairs, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns) if n != "_t"), pa.ListArray.from_arrays(pa.array(offsets), out.take(at))], names=[*(n for n in batch.schema.names if n != "_t"), "out"])
 
 
-_HELD: dict[str, tuple[pa.Array, pa.Array]] = {}
+_HELD: dict[tuple[str, ...], tuple[pa.Array, pa.Array]] = {}
 
 
-def converted(df: DataFrame, tokens: Column, table: Callable[[DataFrame], DataFrame], lookup: int = LOOKUP) -> DataFrame:
+def converted(df: DataFrame, tokens: Column, table: Callable[[DataFrame], DataFrame], lookup: int = LOOKUP, alone: Callable[[Column], Column] | None = None) -> DataFrame:
     """df with out: tokens as table converts them, the unknown mark for those it leaves out.
 
     table takes the distinct tokens (t), so each is converted once, and returns (t, o). Where at most lookup of them
-    are known, tasks look them up in memory without a shuffle; else occurrences are joined to the table, frequent ones
-    spread over salts.
+    are known, tasks read their files and look them up in memory, without a shuffle or the driver. Beyond, each occurrence is
+    converted by alone, what a token becomes where no list has a say; with lists occurrences are joined to the table,
+    frequent ones spread over salts.
     """
     df = df.withColumn("_t", tokens)
     known = write_table(table(df.select(F.explode("_t").alias("t")).distinct()).where(F.col("o") != K.UNK).select("t", "o"), "tokens")
     if known.count() <= lookup:
-        rows = known.toPandas()
-        held = df.sparkSession.sparkContext.broadcast((rows["t"].tolist(), rows["o"].tolist()))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_t") + ", out array<string>"
-        return df.mapInArrow(partial(_swap, uuid.uuid4().hex, held), schema)
+        return df.mapInArrow(partial(_swap, tuple(sorted(known.inputFiles()))), schema)
+    if alone is not None:
+        return df.withColumn("out", F.transform("_t", alone)).drop("_t")
     rest = [c for c in df.columns if c != "_t"]
     rows = write_table(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
     salted = rows.select("_id", F.posexplode("_t").alias("_i", "t")).withColumn("_s", F.pmod(F.col("_id"), F.lit(SALTS)))
@@ -138,7 +150,11 @@ def filter_ngrams(counts: DataFrame, cfg: FilterConfig, whitelist: DataFrame | N
         w = _with_table(w, F.col("_p"), whitelist, "_k", F.lit(True))
         return w.select("t", F.when(F.coalesce("_k", F.lit(False)) | K.member(F.col("_p"), cfg.always_include), F.col("_p")).otherwise(K.UNK).alias("o"))
 
-    out = converted(counts.select("year", "occurrences", "documents", "ngram"), K.split_words(F.col("ngram")), table, lookup)
+    def alone(t: Column) -> Column:
+        p = K.lemma(K.lowered(K.word_part(t), cfg.lower), cfg.lemmas)
+        return F.when(_accepted(p, cfg), p).otherwise(K.UNK)
+
+    out = converted(counts.select("year", "occurrences", "documents", "ngram"), K.split_words(F.col("ngram")), table, lookup, alone if whitelist is None and lemmas is None else None)
     out = out.where((K.known_tokens(F.col("out")) >= cfg.min_context_tokens) & (F.size("out") > 0))
     return out.groupBy(S.year_bin(F.col("year"), cfg.bin_size).alias("year"), F.array_join("out", " ").alias("ngram")).agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
 
@@ -155,7 +171,8 @@ def filter_sentences(sentences: DataFrame, cfg: FilterConfig, whitelist: DataFra
         own = _with_table(own, w, lemmas, "_l", F.col("lemma") if lemmas is not None else F.lit(None))
         return own.select("t", sentence_token(F.col("t"), cfg, F.coalesce("_k", F.lit(False)) if whitelist is not None else None, F.col("_l") if lemmas is not None else None).alias("o"))
 
-    out = converted(sentences.select("genre", "year", "occurrences", "documents", "sentence"), K.split_words(F.col("sentence")), table, lookup)
+    alone = None if whitelist is not None or lemmas is not None else lambda t: sentence_token(t, cfg)
+    out = converted(sentences.select("genre", "year", "occurrences", "documents", "sentence"), K.split_words(F.col("sentence")), table, lookup, alone)
     valid = F.size("out") if cfg.unk_is_valid and (cfg.whitelist is not None or whitelist is not None) else K.known_tokens(F.col("out"))
     out = out.where(valid >= 2)
     return out.groupBy("genre", "year", F.array_join("out", " ").alias("sentence")).agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
