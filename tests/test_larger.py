@@ -28,6 +28,18 @@ def _sentences(spark):
 CONFIG = P.FilterConfig(stop_words=frozenset({"the"}), always_include=frozenset({"it's"}), lemmas={"was": "be"})
 
 
+def test_tasks_read_the_tokens_of_a_sentence_filter(spark, monkeypatch):
+    df = _sentences(spark)
+    with monkeypatch.context() as m:
+        _no_list_to_the_driver(m)
+        out = P.filter_sentences(df, CONFIG)
+    got = {r.sentence: r.occurrences for r in out.collect()}
+    assert len(got) == 676 and got["wordaa <UNK> be it's <UNK>"] == 1 + 677
+    one_by_one = P.filter_sentences(df, CONFIG, lookup=0)
+    assert {r.sentence: r.occurrences for r in one_by_one.collect()} == got
+    assert "SortMergeJoin" not in one_by_one._jdf.queryExecution().toString()
+
+
 def test_tasks_read_the_tokens_of_a_corpus_filter(spark, monkeypatch):
     df = _sentences(spark)
     with monkeypatch.context() as m:
