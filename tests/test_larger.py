@@ -48,3 +48,15 @@ def test_tasks_read_the_tokens_of_a_corpus_filter(spark, monkeypatch):
     # "it's" is added to the 20 most frequent
     got = {(r.sentence, r.occurrences) for r in out.collect()}
     assert got == {(r.sentence, r.occurrences) for r in P.filter_corpus(df, CONFIG, 20, lookup=0).collect()} and len(got) > 10
+
+
+@pytest.mark.parametrize("name", ["e11_local_stability"])
+def test_stability_of_a_word_that_some_models_lack(spark, tmp_path, name):
+    spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 46").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(df.columns)} from ({SQL[name]})").fetchall()
+    assert len(want) == 5
+    for a, b in zip(sorted(tuple(r) for r in df.orderBy("word").collect()), sorted(want)):
+        assert a == pytest.approx(b, abs=2e-6)

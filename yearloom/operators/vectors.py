@@ -219,19 +219,25 @@ def compare_dimensions(a: DataFrame, b: DataFrame) -> DataFrame:
 # stability
 
 
-def local_stability(vectors: DataFrame) -> DataFrame:
-    v = restrict(vectors, shared_words(vectors))
+def _vocabulary(vectors: DataFrame, shared: bool) -> DataFrame:
+    """The words that all models have, without special tokens; else all words, each over the models that have it."""
+    return restrict(vectors, shared_words(vectors)) if shared else vectors
+
+
+def local_stability(vectors: DataFrame, shared: bool = True) -> DataFrame:
+    """word, local; a word that no two consecutive models have drops out."""
+    v = _vocabulary(vectors, shared)
     return previous_model(v).groupBy("word").agg(F.avg(dot(F.col("vector"), F.col("before"))).alias("local"))
 
 
-def global_stability(vectors: DataFrame) -> DataFrame:
-    v = restrict(vectors, shared_words(vectors))
+def global_stability(vectors: DataFrame, shared: bool = True) -> DataFrame:
+    v = _vocabulary(vectors, shared)
     m = mean_vectors(v, "word").withColumnRenamed("vector", "mean")
     return v.join(m, "word").groupBy("word").agg((1 / (1 + F.var_pop(norm(minus(F.col("vector"), F.col("mean")))))).alias("global"))
 
 
-def frequency_stability(vectors: DataFrame) -> DataFrame:
-    v = restrict(vectors, shared_words(vectors))
+def frequency_stability(vectors: DataFrame, shared: bool = True) -> DataFrame:
+    v = _vocabulary(vectors, shared)
     s = v.groupBy("word").agg(F.count("count").alias("n"), F.avg("count").alias("m"), F.stddev_pop("count").alias("d"))
     return s.select("word", F.when((F.col("n") < 2) | (F.col("m") == 0), 0.0).otherwise(1 / (1 + F.col("d") / F.col("m"))).alias("frequency"), F.log1p("m").alias("log_count"))
 
@@ -244,18 +250,18 @@ def _unit_range(df: DataFrame, *columns: str) -> DataFrame:
     return out.withColumns({c: one(c) for c in columns}).drop(*b.columns)
 
 
-def stability_weights(vectors: DataFrame, method: str = "combined", alpha: float | None = 0.3) -> DataFrame:
-    """word, weight: a measure of stability within 0 to 1, and the share alpha of the same of the mean log count.
+def stability_weights(vectors: DataFrame, method: str = "combined", alpha: float | None = 0.3, shared: bool = True) -> DataFrame:
+    """word, weight of the words that all models have, or (shared=False) of all that have the measures: a measure of stability within 0 to 1, and the share alpha of the same of the mean log count.
 
     The measures, one row a word, are written once: their extremes and what follows read the files.
     """
-    f = frequency_stability(vectors)
+    f = frequency_stability(vectors, shared)
     s = {"local": local_stability, "global": global_stability, "frequency": frequency_stability}
     if method == "combined":
-        m = _unit_range(write_table(f.join(local_stability(vectors), "word").join(global_stability(vectors), "word"), "measures"), "local", "global", "frequency")
+        m = _unit_range(write_table(f.join(local_stability(vectors, shared), "word").join(global_stability(vectors, shared), "word"), "measures"), "local", "global", "frequency")
         m = m.withColumn("stability", (F.col("local") + F.col("global") + F.col("frequency")) / 3)
     elif method in s:
-        m = write_table(f.select("word", "log_count").join(s[method](vectors).select("word", F.col(method).alias("stability")), "word"), "measures")
+        m = write_table(f.select("word", "log_count").join(s[method](vectors, shared).select("word", F.col(method).alias("stability")), "word"), "measures")
     else:
         raise ValueError(f"unknown method {method!r}")
     if alpha is None:
