@@ -60,3 +60,12 @@ def test_stability_of_a_word_that_some_models_lack(spark, tmp_path, name):
     assert len(want) == 5
     for a, b in zip(sorted(tuple(r) for r in df.orderBy("word").collect()), sorted(want)):
         assert a == pytest.approx(b, abs=2e-6)
+
+
+def test_archives_of_odd_texts(spark, tmp_path):
+    rows = [(1, "## head\nbody"), (2, " "), (3, ""), (4, None), (5, "@@12\n@@13\nx"), (6, "plain ## text\n@@7"), (7, "\n@@ a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(SQL["s17_s18_zip_reader"]).fetchall()
+    assert sorted(tuple(r) for r in QUERIES["s17_s18_zip_reader"](spark, str(tmp_path)).collect()) == sorted(want)

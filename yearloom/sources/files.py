@@ -86,10 +86,11 @@ def zip_documents(spark: SparkSession, folder: str, glob: str = "text_*.zip") ->
     return zip_members(files)
 
 
-def zip_members(files: DataFrame) -> DataFrame:
-    """path, member, content, text_id of the text files in archives (path, content: an archive of less than 2 GiB); content without the marker line, blank ones dropped."""
+def zip_members(files: DataFrame, blank: bool = False) -> DataFrame:
+    """path, member, content, text_id of the text files in archives (path, content: an archive of less than 2 GiB); content without the marker line, blank ones dropped unless asked for."""
     docs = files.select("path", "content").mapInPandas(_members, "path string, member string, content string")
-    return docs.withColumn("text_id", text_id(F.col("content"))).withColumn("content", without_marker(F.col("content"))).where(F.trim("content") != "")
+    docs = docs.withColumn("text_id", text_id(F.col("content"))).withColumn("content", without_marker(F.col("content")))
+    return docs if blank else docs.where(F.trim("content") != "")
 
 
 def described(docs: DataFrame, metadata: DataFrame, archive: Column | None = None) -> DataFrame:
